@@ -152,10 +152,10 @@ def snippet(abstract, ai_summary=None, max_length: int = 200) -> Column:
     '.' when it lies past 70 % of the budget; else cut and add '...'."""
     a = F.coalesce(_c(abstract), F.lit(""))
     cut = F.left(a, F.lit(max_length))
-    k = F.instr(F.reverse(cut), ".")             # 1-based from the end, 0 = none
-    last_period = F.lit(max_length) - k           # 0-based index of the last '.'
-    shortened = (F.when((k > 0) & (last_period > F.lit(0.7 * max_length)),
-                        F.left(cut, last_period + 1))
+    # 0-based index of the last '.' (length of the text before it); -1 = none
+    last_period = F.when(F.instr(cut, ".") > 0,
+                         F.length(F.regexp_extract(cut, r"(?s)^(.*)\.", 1))).otherwise(F.lit(-1))
+    shortened = (F.when(last_period > F.lit(0.7 * max_length), F.left(cut, last_period + 1))
                  .otherwise(F.concat(cut, F.lit("..."))))
     body = F.when(F.length(a) <= max_length, a).otherwise(shortened)
     if ai_summary is None:

@@ -110,7 +110,8 @@ def score_kernel(query_ids: np.ndarray, query_mat: np.ndarray, k: int, id_col: s
     against the broadcast query block and only each query's local top-k leaves
     the task."""
     qn = unit_rows(query_mat)
-    qpos = {int(q): j for j, q in enumerate(query_ids)} if exclude_self else None
+    q_order = np.argsort(query_ids, kind="stable")
+    q_sorted = np.asarray(query_ids, dtype=np.int64)[q_order]
 
     def run(batches):
         for batch in batches:
@@ -119,15 +120,17 @@ def score_kernel(query_ids: np.ndarray, query_mat: np.ndarray, k: int, id_col: s
                 continue
             ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
             d = unit_rows(list_to_matrix(batch.column(vec_col), dim))
+            if exclude_self:   # (row, query column) pairs where the ids are equal
+                pos = np.clip(np.searchsorted(q_sorted, ids), 0, max(len(q_sorted) - 1, 0))
+                hit = q_sorted[pos] == ids if len(q_sorted) else np.zeros(n, bool)
+                self_rows, self_cols = np.flatnonzero(hit), q_order[pos[hit]]
             step = max(1, chunk_cells // n)
             for lo in range(0, qn.shape[0], step):
                 q = qn[lo:lo + step]
                 s = np.round(d @ q.T, SCORE_DECIMALS)
                 if exclude_self:
-                    for r, i in enumerate(ids):
-                        j = qpos.get(int(i))
-                        if j is not None and lo <= j < lo + q.shape[0]:
-                            s[r, j - lo] = -np.inf
+                    inside = (self_cols >= lo) & (self_cols < lo + q.shape[0])
+                    s[self_rows[inside], self_cols[inside] - lo] = -np.inf
                 rows, cols, sc = top_k_per_column(s, ids, k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(query_ids[lo + cols], pa.int64()), pa.array(ids[rows], pa.int64()),
@@ -163,25 +166,25 @@ def nearest_rows_kernel(ref_ids: np.ndarray, ref_mat: np.ndarray, k: int, id_col
     return run
 
 
-def bucket_count_kernel(id_col: str, bucket_col: str, dim: int, out_col: str):
-    """Dense L2-normalised bag-of-buckets vectors from per-row bucket lists."""
+def bucket_count_kernel(bucket_col: str, dim: int, out_col: str):
+    """Dense L2-normalised bag-of-buckets vectors from per-row bucket lists.
+    All other columns pass through unchanged; ``bucket_col`` is replaced by
+    ``out_col``."""
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            if n == 0:
-                continue
             lists = batch.column(bucket_col)
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.combine_chunks()
             lens = np.diff(lists.offsets.to_numpy()) if n else np.zeros(0, np.int64)
-            lens = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, lens)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(n), lens)
             counts = np.bincount(row * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
             nrm = np.linalg.norm(counts, axis=1, keepdims=True)
             vec = np.divide(counts, nrm, out=np.zeros_like(counts), where=nrm > 0)
             offsets = pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.ListArray.from_arrays(offsets, pa.array(vec.ravel()))],
-                names=[id_col, out_col])
+            keep = [i for i, name in enumerate(batch.schema.names) if name != bucket_col]
+            arrays = [batch.column(i) for i in keep]
+            names = [batch.schema.names[i] for i in keep]
+            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(vec.ravel(), pa.float64())))
+            names.append(out_col)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run

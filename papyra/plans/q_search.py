@@ -1 +1,143 @@
-"""placeholder."""
+"""Search queries: expansion, rerank, full search, filters, envelopes."""
+
+from __future__ import annotations
+
+import datetime as dt
+from dataclasses import replace
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from papyra.functions import encode as E
+from papyra.functions import vectors as V
+from papyra.operators import retrieval as R
+from papyra.plans import adapters as A
+from papyra.plans import sqlsearch as Q
+from papyra.plans import sqltext as S
+from papyra.plans.catalog import register
+from papyra.plans.q_ingest import papers
+
+DEFAULT = R.SearchOptions()
+FILTERED = R.SearchOptions(category_filter=("src3", "src7", "src11"), start_date=dt.date(2023, 6, 1),
+                           end_date=dt.date(2024, 6, 30), use_reranking=False)
+PRE = replace(FILTERED, filter_mode="pre")
+
+
+def queries_table(spark, sf_dir):
+    """User turns of the conversations table as search queries."""
+    c = A.table(spark, sf_dir, "conversations")
+    return c.where(F.col("role") == "user").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
+
+
+def _out(df):
+    return df.select("query_id", "rank", "candidate_rank", "doc_id", "document_id", "title",
+                     "similarity_score", "update_date", "arxiv_id", "abstract_url", "pdf_url",
+                     "pdf_available", "ai_summary", F.array_join("authors", "|").alias("authors"),
+                     F.array_join("categories", "|").alias("categories"))
+
+
+def run_search(spark, sf_dir, opts):
+    return R.search(queries_table(spark, sf_dir), papers(spark, sf_dir), opts)
+
+
+@register("query_expand", f"""WITH {Q.QUERIES_CTE}
+SELECT query_id, {S.expand_query('query')} AS expanded FROM qs""")
+def query_expand(spark, sf_dir):
+    q = queries_table(spark, sf_dir)
+    return q.select("query_id", E.expand_query("query").alias("expanded"))
+
+
+@register("query_expand_vector", "WITH " + ",\n".join(
+    [Q.QUERIES_CTE, Q.search_ctes(DEFAULT)[0], S.encode_cte("qe1", "qx", "query_id", "query"),
+     S.encode_cte("qe2", "qx", "query_id", "expanded"), Q.search_ctes(DEFAULT)[3]]) + """
+SELECT * FROM (SELECT query_id, CAST(generate_subscripts(qvec, 1) - 1 AS INTEGER) AS bucket,
+  round(unnest(qvec), 6) AS weight FROM qv) WHERE weight <> 0""")
+def query_expand_vector(spark, sf_dir):
+    """0.7 * enc(query) + 0.3 * enc(expanded query), nonzero buckets."""
+    qv = R.query_vectors(queries_table(spark, sf_dir), expand=True)
+    out = qv.select("query_id", F.posexplode("qvec").alias("bucket", "weight")) \
+        .withColumn("weight", V.round_score("weight"))
+    return out.where(F.col("weight") != 0)
+
+
+@register("search_full", Q.with_search(DEFAULT) + f"SELECT {Q.RESULT_COLS} FROM res")
+def search_full(spark, sf_dir):
+    """Expansion, rerank of the top 50, threshold 0.3, 10 results, summaries."""
+    return _out(run_search(spark, sf_dir, DEFAULT))
+
+
+@register("knn_filtered_post", Q.with_search(FILTERED) + f"SELECT {Q.RESULT_COLS} FROM res")
+def knn_filtered_post(spark, sf_dir):
+    """Category and date filters after a x3 candidate fetch (reference meaning)."""
+    return _out(run_search(spark, sf_dir, FILTERED))
+
+
+@register("knn_filtered_pre", Q.with_search(PRE) + f"SELECT {Q.RESULT_COLS} FROM res")
+def knn_filtered_pre(spark, sf_dir):
+    """Same filters applied to the corpus before the top-k (full recall)."""
+    return _out(run_search(spark, sf_dir, PRE))
+
+
+RERANK_ONLY = replace(DEFAULT, min_similarity=0.0, generate_summaries=False)
+
+
+@register("rerank", Q.with_search(RERANK_ONLY) + """SELECT query_id, doc_id, similarity_score AS score,
+  candidate_rank AS rank FROM res""")
+def rerank(spark, sf_dir):
+    """Two-stage retrieval: top-50 cosine candidates re-scored by the pair
+    scorer, min-max normalised; first 10 per query."""
+    r = run_search(spark, sf_dir, RERANK_ONLY)
+    return r.select("query_id", "doc_id", F.col("similarity_score").alias("score"),
+                    F.col("candidate_rank").alias("rank"))
+
+
+@register("minmax_norm", "WITH " + ",\n".join(
+    [S.raw_cte(), S.flagged_cte(), S.papers_cte(), Q.QUERIES_CTE] + Q.search_ctes(DEFAULT)[:8]) + """
+SELECT query_id, doc_id, raw, round((raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w + 1e-8), 6) AS norm_score
+FROM pairs WINDOW w AS (PARTITION BY query_id)""")
+def minmax_norm(spark, sf_dir):
+    """Raw pair scores of the rerank candidates and their min-max normal form."""
+    p = papers(spark, sf_dir)
+    qv = R.query_vectors(queries_table(spark, sf_dir), True)
+    n = p.count()
+    pool = min(R.fetch_size(DEFAULT, n), R.RERANK_CAP)
+    from papyra.operators import knn as K
+    hits = K.exact_knn(R.doc_vectors(p), qv, pool, id_col="doc_id", query_vec_col="qvec")
+    text = p.select("doc_id", E.rerank_text("title", "abstract").alias("_t"))
+    pairs = hits.join(qv.select("query_id", "query"), "query_id").join(text, "doc_id") \
+        .withColumn("raw", E.overlap_score(F.col("query"), F.col("_t")))
+    w = Window.partitionBy("query_id")
+    norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
+    return pairs.select("query_id", "doc_id", "raw", V.round_score(norm).alias("norm_score"))
+
+
+@register("search_envelope", Q.with_search(DEFAULT) + f"""SELECT q.query_id,
+  coalesce(r.n, 0) AS total_results, coalesce(r.s, 0) AS ai_summaries_count, coalesce(r.d, 0) AS downloadable_pdfs,
+  round(coalesce(r.a, 0.0), 6) AS average_similarity,
+  round((least(coalesce(r.n, 0), 5) * 350 + 800) / 1000.0 * 0.002, 8) AS estimated_cost
+FROM qs q LEFT JOIN (SELECT query_id, count(*) AS n, count(ai_summary) AS s, count_if(pdf_available) AS d,
+  avg(similarity_score) AS a FROM res GROUP BY query_id) r ON r.query_id = q.query_id""")
+def search_envelope(spark, sf_dir):
+    """Per query, also blank or hit-less ones: totals, mean score, cost."""
+    q = queries_table(spark, sf_dir)
+    res = R.search(q, papers(spark, sf_dir), DEFAULT)
+    return R.envelope(q, res)
+
+
+def _method_sql():
+    runs = [("basic", replace(DEFAULT, top_k=5, use_reranking=False, use_query_expansion=False)),
+            ("expanded", replace(DEFAULT, top_k=5, use_reranking=False, use_query_expansion=True)),
+            ("expanded_rerank", replace(DEFAULT, top_k=5, use_reranking=True, use_query_expansion=True))]
+    ctes = [S.raw_cte(), S.flagged_cte(), S.papers_cte(), Q.QUERIES_CTE]
+    selects = []
+    for i, (name, o) in enumerate(runs):
+        ctes += Q.search_ctes(o, tag=str(i))
+        selects.append(f"SELECT '{name}' AS method, query_id, rank, doc_id, similarity_score FROM res{i}")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(selects)
+
+
+@register("method_compare", _method_sql())
+def method_compare(spark, sf_dir):
+    r = R.compare_methods(queries_table(spark, sf_dir), papers(spark, sf_dir), top_k=5)
+    return r.select("method", "query_id", "rank", "doc_id", "similarity_score")

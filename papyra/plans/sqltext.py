@@ -178,3 +178,101 @@ def cosine(a: str, b: str) -> str:
 def blend(a: str, b: str, wa: float, wb: float) -> str:
     z = f"list_transform({a}, lambda x, i: x * {wa} + ({b})[i] * {wb})"
     return normalize(z)
+
+
+# ---- text results -----------------------------------------------------------
+
+def last_period(t: str) -> str:
+    return f"(CASE WHEN strpos({t}, '.') > 0 THEN length(regexp_extract({t}, '(?s)^(.*)\\.', 1)) ELSE -1 END)"
+
+
+def snippet(a: str, summary: str | None = None, n: int = 200) -> str:
+    a = f"coalesce({a}, '')"
+    cut = f"left({a}, {n})"
+    lp = last_period(cut)
+    body = (f"CASE WHEN length({a}) <= {n} THEN {a} WHEN {lp} > {0.7 * n} THEN left({cut}, {lp} + 1) "
+            f"ELSE {cut} || '...' END")
+    if summary is None:
+        return f"({body})"
+    return f"(CASE WHEN coalesce({summary}, '') <> '' THEN {summary} ELSE {body} END)"
+
+
+def rule_summary(a: str, budget: int = 200) -> str:
+    a = f"coalesce({a}, '')"
+    parts = f"string_split({a}, '.')"
+    s = [strip(f"{parts}[{i}]") for i in (1, 2, 3)]
+    t1 = f"(coalesce({s[0]}, '') <> '' AND length({s[0]}) < {budget})"
+    t2 = f"({t1} AND coalesce({s[1]}, '') <> '' AND length({s[0]}) + length({s[1]}) < {budget})"
+    t3 = (f"({t2} AND coalesce({s[2]}, '') <> '' AND "
+          f"length({s[0]}) + length({s[1]}) + length({s[2]}) < {budget})")
+    joined = (f"CASE WHEN {t3} THEN {s[0]} || '. ' || {s[1]} || '. ' || {s[2]} "
+              f"WHEN {t2} THEN {s[0]} || '. ' || {s[1]} ELSE {s[0]} END || '.'")
+    fallback = f"CASE WHEN length({a}) > 150 THEN left({a}, 150) || '...' ELSE {a} END"
+    return f"(CASE WHEN {t1} THEN {joined} ELSE {fallback} END)"
+
+
+def extract_arxiv_id(x: str) -> str:
+    y = x
+    for p in T.ID_PREFIXES:
+        y = f"replace({y}, {q(p)}, '')"
+    new = f"nullif(regexp_extract({y}, {q(T.NEW_STYLE_ID)}, 1), '')"
+    old = f"nullif(regexp_extract({y}, {q(T.OLD_STYLE_ID)}, 1), '')"
+    return f"(CASE WHEN coalesce({x}, '') <> '' THEN coalesce({new}, {old}) END)"
+
+
+def validate_arxiv_id(x: str) -> str:
+    y = f"coalesce({x}, '')"
+    return (f"({y} <> '' AND (regexp_matches({y}, {q(T.VALID_NEW_ID)}) OR "
+            f"regexp_matches({y}, {q(T.VALID_OLD_ID)})))")
+
+
+def clamp01(x: str) -> str:
+    return f"greatest(0.0, least({x}, 1.0))"
+
+
+def cache_key(title: str, abstract: str) -> str:
+    return f"md5(coalesce({title}, '') || '|' || left(coalesce({abstract}, ''), 500))"
+
+
+# ---- encoder / expansion / scorer ---------------------------------------------
+
+def tokens(x: str) -> str:
+    from papyra.functions import encode as E
+    return (f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), {q(E.TOKEN_SPLIT)}), "
+            f"lambda t: t <> '')")
+
+
+def encode_cte(name: str, source: str, key: str, text: str, dim: int | None = None) -> str:
+    """``name(key, vec)``: hashed bag of words, unit length, dense."""
+    from papyra.functions import encode as E
+    dim = dim or E.ENCODER_DIM
+    return f"""{name}_tok AS (
+  SELECT {key} AS k, unnest(list_slice({tokens(text)}, 1, {E.MAX_TOKENS})) AS t FROM {source}),
+{name}_cnt AS (
+  SELECT k, ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS b, count(*)::DOUBLE AS c FROM {name}_tok GROUP BY ALL),
+{name}_raw AS (
+  SELECT s.{key} AS k, list(coalesce(c.c, 0.0) ORDER BY r.i) AS v
+  FROM {source} s CROSS JOIN range({dim}) r(i) LEFT JOIN {name}_cnt c ON c.k = s.{key} AND c.b = r.i
+  GROUP BY s.{key}),
+{name} AS (SELECT k AS {key}, {normalize('v')} AS vec FROM {name}_raw)"""
+
+
+def expand_query(x: str) -> str:
+    from papyra.functions import encode as E
+    toks = f"string_split(lower(coalesce({x}, '')), ' ')"
+    grams = (f"list_concat({toks}, list_transform(generate_series(1, len({toks}) - 1), "
+             f"lambda i: {toks}[i] || ' ' || {toks}[i + 1]))")
+    lit = "[" + ", ".join("{'term': " + q(t) + ", 'expansion': " + q(e) + "}" for t, e in E.EXPANSIONS) + "]"
+    exp = f"list_transform(list_filter({lit}, lambda e: list_contains({grams}, e.term)), lambda e: e.expansion)"
+    return (f"(CASE WHEN len({exp}) > 0 THEN coalesce({x}, '') || ' ' || array_to_string({exp}, ' ') "
+            f"ELSE coalesce({x}, '') END)")
+
+
+def overlap_score(query: str, text: str) -> str:
+    qt = f"list_distinct({tokens(query)})"
+    return (f"round(coalesce(CAST(len(list_intersect({qt}, {tokens(text)})) AS DOUBLE) / "
+            f"nullif(len({qt}), 0), 0.0), 6)")
+
+
+def rerank_text(title: str, abstract: str) -> str:
+    return f"(coalesce({title}, '') || ' ' || left(coalesce({abstract}, ''), 500))"
