@@ -79,27 +79,23 @@ def hash_encode(df: DataFrame, text_col: str, out_col: str = "vec", dim: int = E
     return staged.mapInArrow(V.bucket_count_kernel(tmp, dim, out_col), schema)
 
 
-def _expansion_literal() -> Column:
-    return F.array(*[F.struct(F.lit(t).alias("term"), F.lit(e).alias("expansion"))
-                     for t, e in EXPANSIONS])
-
-
 def word_grams(text) -> Column:
-    """Single-space tokens of the lower-cased text and their adjacent pairs."""
+    """Single-space tokens of the lower-cased text and their adjacent pairs.
+    (Lambdas only touch their own arguments, so each row is split once.)"""
     toks = F.split(F.lower(F.coalesce(_c(text), F.lit(""))), " ", -1)
     n = F.size(toks)
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1),
-                                       lambda i: F.concat(F.get(toks, i - 1), F.lit(" "), F.get(toks, i)))
-                   ).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(F.slice(toks, 1, n - 1), F.slice(toks, 2, n - 1),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(toks, pairs)
 
 
 def matched_expansions(text) -> Column:
     """Dictionary expansions whose term occurs as a whole space-delimited
     word (or word pair) of the query, in dictionary order."""
-    grams = word_grams(text)
-    hit = F.filter(_expansion_literal(), lambda e: F.array_contains(grams, e["term"]))
-    return F.transform(hit, lambda e: e["expansion"])
+    terms = F.array(*[F.lit(t) for t, _ in EXPANSIONS])
+    lookup = F.create_map(*[x for t, e in EXPANSIONS for x in (F.lit(t), F.lit(e))])
+    hit = F.array_intersect(terms, word_grams(text))        # keeps dictionary order
+    return F.transform(hit, lambda t: F.element_at(lookup, t))
 
 
 def expand_query(text) -> Column:

@@ -38,10 +38,12 @@ def norm(a) -> Column:
 
 
 def normalize(a) -> Column:
-    """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: x / n)).otherwise(
-        F.transform(_c(a), lambda x: x * 0.0))
+    """Unit length; a zero vector stays zero. The squared norm is folded once
+    and handed to the finishing lambda (a lambda that referenced ``norm(a)``
+    directly would recompute it for every component)."""
+    v = _c(a)
+    return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x,
+                       lambda ss: F.transform(v, lambda x: F.when(ss > 0, x / F.sqrt(ss)).otherwise(x * 0.0)))
 
 
 def cosine(a, b, eps: float = EPS) -> Column:

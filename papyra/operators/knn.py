@@ -45,11 +45,13 @@ def top_k(scored: DataFrame, k: int, partition_cols=("query_id",), score_col: st
     return scored.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int, max_block_bytes: int):
-    """Yield (ids, matrix) blocks of the query side, each within the byte bound."""
+def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int, max_block_bytes: int,
+                  n_queries: int | None = None):
+    """Yield (ids, matrix) blocks of the query side, each within the byte bound.
+    ``n_queries`` (an upper bound on the row count) skips the counting job."""
     q = queries.select(F.col(qid).cast("long").alias("qid"), V.to_double(qvec).alias("qvec")) \
         .where(F.col("qvec").isNotNull() & (F.size("qvec") == dim))
-    n = q.count()
+    n = q.count() if n_queries is None else n_queries
     if n == 0:
         return
     n_blocks = max(1, math.ceil(n * dim * 8 / max_block_bytes))
@@ -65,7 +67,7 @@ def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int, max_block_b
 def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
               vec_col: str = "vec", query_id_col: str = "query_id", query_vec_col: str = "vec",
               exclude_self: bool = False, dim: int | None = None,
-              max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
+              max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES, n_queries: int | None = None) -> DataFrame:
     """Top-k corpus rows per query by cosine; ``(query_id, id, score, rank)``.
 
     Scores are rounded to 6 decimals before ranking and ties go to the smaller
@@ -78,7 +80,7 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
         .where(F.col("_v").isNotNull() & (F.size("_v") == dim))
     schema = f"query_id long, {id_col} long, score double"
     parts = []
-    for ids, mat in _query_blocks(queries, query_id_col, query_vec_col, dim, max_block_bytes):
+    for ids, mat in _query_blocks(queries, query_id_col, query_vec_col, dim, max_block_bytes, n_queries):
         bc = spark.sparkContext.broadcast((ids, mat))
 
         def kernel(batches, bc=bc):

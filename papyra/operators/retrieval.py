@@ -114,21 +114,36 @@ def passes_filters(opts: SearchOptions) -> F.Column:
     return ok & (d.isNull() | date_ok)
 
 
-def candidates(qv: DataFrame, dv: DataFrame, papers: DataFrame, opts: SearchOptions,
-               n_docs: int) -> DataFrame:
-    """``(query_id, doc_id, cosine, score, candidate_rank)`` before filters."""
-    search_k = fetch_size(opts, n_docs)
-    if search_k <= 0:
-        return qv.sparkSession.createDataFrame(
-            [], "query_id long, doc_id long, cosine double, score double, candidate_rank int")
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage: write ``df`` once as Parquet under the cluster's shared
+    checkpoint folder and read it back, so later branches and actions do not
+    recompute it (one pass, unlike ``checkpoint()``, which runs the plan a
+    second time to write it)."""
+    import uuid
+    from papyra.session import scratch_path
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOptions,
+               n_queries: int | None = None, dim: int = E.ENCODER_DIM) -> DataFrame:
+    """``(query_id, doc_id, cosine, score, candidate_rank)`` before filters.
+
+    The fetch size needs no corpus count: a top-k over fewer than k rows
+    returns them all, which is what min(k * multiplier, n) asks for.
+    ``text`` holds ``(doc_id, _text)`` for the pair scorer.
+    """
+    search_k = opts.k * (max(FILTER_OVERFETCH if opts.has_filters and opts.filter_mode == "post" else 1,
+                             RERANK_OVERFETCH if opts.use_reranking else 1))
     pool = min(search_k, RERANK_CAP) if opts.use_reranking else search_k
-    hits = K.exact_knn(dv, qv, pool, id_col="doc_id", vec_col="vec", query_vec_col="qvec") \
-        .withColumnRenamed("score", "cosine")
+    hits = K.exact_knn(dv, qv, pool, id_col="doc_id", vec_col="vec", query_vec_col="qvec",
+                       dim=dim, n_queries=n_queries).withColumnRenamed("score", "cosine")
     if not opts.use_reranking:
         return hits.select("query_id", "doc_id", "cosine", F.col("cosine").alias("score"),
                            F.col("rank").alias("candidate_rank"))
     scorer = opts.scorer or E.overlap_score
-    text = papers.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
     pairs = hits.join(qv.select("query_id", "query"), "query_id").join(text, "doc_id") \
         .withColumn("raw", scorer(F.col("query"), F.col("_text")))
     w = Window.partitionBy("query_id")
@@ -138,21 +153,33 @@ def candidates(qv: DataFrame, dv: DataFrame, papers: DataFrame, opts: SearchOpti
                         F.row_number().over(order).alias("candidate_rank"))
 
 
+def encoded_corpus(papers: DataFrame, dv: DataFrame | None = None) -> DataFrame:
+    """Paper rows with their vector ``vec`` (built-in encoder unless ``dv``
+    with ``(doc_id, vec)`` is given)."""
+    if dv is None:
+        return E.hash_encode(papers, "combined_text", "vec")
+    return papers.join(dv.select("doc_id", "vec"), "doc_id")
+
+
 def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOptions(),
-           dv: DataFrame | None = None) -> DataFrame:
+           dv: DataFrame | None = None, corpus: DataFrame | None = None,
+           materialize_inputs: bool = True) -> DataFrame:
     """Results per query: ``query_id, rank, candidate_rank, doc_id`` + the
-    result fields. ``papers`` must carry ``doc_id``; ``dv`` defaults to the
-    built-in encoding of ``combined_text``."""
-    corpus = papers.where(passes_filters(opts)) if opts.filter_mode == "pre" else papers
-    dv = dv if dv is not None else doc_vectors(corpus)
-    if opts.filter_mode == "pre" and dv is not None:
-        dv = dv.join(corpus.select("doc_id"), "doc_id", "left_semi")
-    n_docs = corpus.count()
+    result fields. ``papers`` must carry ``doc_id``. ``corpus`` may pass an
+    already encoded (and materialised) paper table to share between runs."""
+    if corpus is None:
+        corpus = prepare_corpus(papers, dv, materialize_inputs)
+    if opts.filter_mode == "pre":
+        corpus = corpus.where(passes_filters(opts))
     qv = query_vectors(queries, opts.use_query_expansion)
-    cand = candidates(qv, dv, corpus, opts, n_docs)
+    if materialize_inputs:
+        qv = materialize(qv, "queries")
+    n_queries = qv.count()
+    text = corpus.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
+    cand = candidates(qv, corpus.select("doc_id", "vec"), text, opts, n_queries)
     # first paper row per doc id (a corpus may hold duplicates)
     first = Window.partitionBy("doc_id").orderBy("id")
-    docs = corpus.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    docs = corpus.drop("vec").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     hits = cand.where(F.col("score") >= opts.threshold).join(docs, "doc_id")
     if opts.filter_mode == "post":
         hits = hits.where(passes_filters(opts))
@@ -169,6 +196,12 @@ def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOp
     return result_projection(hits)
 
 
+def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None, materialize_inputs: bool = True) -> DataFrame:
+    """Encoded paper table, written once to the checkpoint folder."""
+    enc = encoded_corpus(papers, dv)
+    return materialize(enc, "corpus") if materialize_inputs else enc
+
+
 def result_projection(hits: DataFrame) -> DataFrame:
     """The exported result row (score clamp, identifier, URLs)."""
     arxiv = T.extract_arxiv_id("id")
@@ -223,12 +256,12 @@ def cost_per_search(n_results, summaries_enabled: bool = True) -> F.Column:
 def compare_methods(queries: DataFrame, papers: DataFrame, top_k: int = 5,
                     base: SearchOptions = SearchOptions()) -> DataFrame:
     """Plain, expanded, expanded + rerank runs tagged with ``method``."""
-    dv = doc_vectors(papers)
+    corpus = prepare_corpus(papers)
     runs = [("basic", replace(base, top_k=top_k, use_reranking=False, use_query_expansion=False)),
             ("expanded", replace(base, top_k=top_k, use_reranking=False, use_query_expansion=True)),
             ("expanded_rerank", replace(base, top_k=top_k, use_reranking=True, use_query_expansion=True))]
     out = None
     for name, o in runs:
-        r = search(queries, papers, o, dv=dv).withColumn("method", F.lit(name))
+        r = search(queries, papers, o, corpus=corpus).withColumn("method", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return out

@@ -23,7 +23,7 @@ EDGE_WS = q(rf"\A{T.WS_RUN}|{T.WS_RUN}\z")
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {EDGE_WS}, '', 'g')"
+    return f"trim({x}, {q(T.WS_CHARS)})"
 
 
 def squeeze(x: str) -> str:
