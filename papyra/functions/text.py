@@ -95,11 +95,24 @@ def is_blank(c) -> Column:
     return strip(F.coalesce(_c(c), F.lit(""))) == ""
 
 
+def _guarded(t: Column, pattern: str, needles) -> Column:
+    """``regexp_replace`` only on rows that contain a character the pattern
+    needs (a cheap substring test); other rows pass unchanged."""
+    hit = None
+    for n in needles:
+        h = F.instr(t, n) > 0
+        hit = h if hit is None else (hit | h)
+    return F.when(hit, F.regexp_replace(t, pattern, "")).otherwise(t)
+
+
 def clean_text(c) -> Column:
     """The ordered cleaning chain for titles and abstracts; null -> ''."""
     t = F.coalesce(_c(c), F.lit(""))
-    for pattern in (LATEX_COMMAND, INLINE_MATH, DISPLAY_MATH, URL_RULE, EMAIL_RULE_LINEAR):
-        t = F.regexp_replace(t, pattern, "")
+    t = _guarded(t, LATEX_COMMAND, ["\\"])
+    t = _guarded(t, INLINE_MATH, ["$"])
+    t = _guarded(t, DISPLAY_MATH, ["$$"])
+    t = _guarded(t, URL_RULE, ["http", "www"])
+    t = _guarded(t, EMAIL_RULE_LINEAR, ["@"])
     # whitespace runs -> one space, then trim; only spaces remain at the edges
     return F.trim(F.regexp_replace(t, WS_RUN, " "))
 
@@ -148,8 +161,9 @@ def parse_date(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """``len(s.split())``."""
-    return F.regexp_count(F.coalesce(_c(c), F.lit("")), F.lit(NON_WS_RUN))
+    """``len(s.split())``: pieces of the stripped text split on whitespace runs."""
+    s = strip(F.coalesce(_c(c), F.lit("")))
+    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, WS_RUN)))
 
 
 def char_count(c) -> Column:

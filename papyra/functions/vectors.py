@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,13 +79,29 @@ def unit_rows(m: np.ndarray, eps: float = EPS) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + eps)
 
 
-def top_k_per_column(scores: np.ndarray, ids: np.ndarray, k: int):
-    """For each column of ``scores`` the best ``k`` rows by (score desc, id asc).
-
-    Returns (row_index, column_index, score) arrays. Rows whose score is -inf
-    are never returned. Ties at the cut are broken by id, so the union of
-    per-batch results merges into the exact global top-k.
-    """
+def tie_keys(ids) -> np.ndarray:
+    """Integer keys that order like the ids (ascending): the ids themselves
+    when integral, else their rank in binary (UTF-8) order, which is Spark's
+    string order."""
+    if isinstance(ids, (pa.Array, pa.ChunkedArray)):
+        if pa.types.is_integer(ids.type):
+            return ids.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = pc.sort_indices(ids).to_numpy()
+    else:
+        ids = np.asarray(ids)
+        if ids.dtype.kind in "iu":
+            return ids.astype(np.int64)
+        order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return rank
+
+
+def top_k_per_column(scores: np.ndarray, ties: np.ndarray, k: int):
+    """For each column of ``scores`` the best ``k`` rows by (score desc, tie
+    key asc). Returns (row_index, column_index, score) arrays; -inf scores
+    are never returned. Breaking ties by id makes the union of per-batch
+    results merge into the exact global top-k."""
     n, m = scores.shape
     if n == 0 or m == 0:
         e = np.empty(0, dtype=np.int64)
@@ -97,7 +114,7 @@ def top_k_per_column(scores: np.ndarray, ids: np.ndarray, k: int):
     s = scores[rows, cols]
     ok = np.isfinite(s)
     rows, cols, s = rows[ok], cols[ok], s[ok]
-    order = np.lexsort((ids[rows], -s, cols))
+    order = np.lexsort((ties[rows], -s, cols))
     rows, cols, s = rows[order], cols[order], s[order]
     start = np.r_[0, np.flatnonzero(cols[1:] != cols[:-1]) + 1]
     counts = np.diff(np.r_[start, cols.size])
@@ -106,26 +123,26 @@ def top_k_per_column(scores: np.ndarray, ids: np.ndarray, k: int):
     return rows[keep], cols[keep], s[keep]
 
 
-def score_kernel(query_ids: np.ndarray, query_mat: np.ndarray, k: int, id_col: str,
+def score_kernel(query_ids: pa.Array, query_mat: np.ndarray, k: int, id_col: str,
                  vec_col: str, dim: int, exclude_self: bool, chunk_cells: int = 8_000_000):
     """Build the ``mapInArrow`` function: each batch of corpus vectors is scored
     against the broadcast query block and only each query's local top-k leaves
-    the task."""
+    the task. Ids may be integers or strings."""
     qn = unit_rows(query_mat)
-    q_order = np.argsort(query_ids, kind="stable")
-    q_sorted = np.asarray(query_ids, dtype=np.int64)[q_order]
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             if n == 0:
                 continue
-            ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(id_col)
+            ties = tie_keys(ids)
             d = unit_rows(list_to_matrix(batch.column(vec_col), dim))
             if exclude_self:   # (row, query column) pairs where the ids are equal
-                pos = np.clip(np.searchsorted(q_sorted, ids), 0, max(len(q_sorted) - 1, 0))
-                hit = q_sorted[pos] == ids if len(q_sorted) else np.zeros(n, bool)
-                self_rows, self_cols = np.flatnonzero(hit), q_order[pos[hit]]
+                pos = pc.index_in(ids, value_set=query_ids)
+                hit = pos.is_valid().to_numpy(zero_copy_only=False)
+                self_rows = np.flatnonzero(hit)
+                self_cols = pos.filter(pos.is_valid()).to_numpy().astype(np.int64)
             step = max(1, chunk_cells // n)
             for lo in range(0, qn.shape[0], step):
                 q = qn[lo:lo + step]
@@ -133,9 +150,9 @@ def score_kernel(query_ids: np.ndarray, query_mat: np.ndarray, k: int, id_col: s
                 if exclude_self:
                     inside = (self_cols >= lo) & (self_cols < lo + q.shape[0])
                     s[self_rows[inside], self_cols[inside] - lo] = -np.inf
-                rows, cols, sc = top_k_per_column(s, ids, k)
+                rows, cols, sc = top_k_per_column(s, ties, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_ids[lo + cols], pa.int64()), pa.array(ids[rows], pa.int64()),
+                    [query_ids.take(pa.array(lo + cols, pa.int64())), ids.take(pa.array(rows, pa.int64())),
                      pa.array(sc, pa.float64())], names=["query_id", id_col, "score"])
     return run
 
@@ -152,7 +169,7 @@ def nearest_rows_kernel(ref_ids: np.ndarray, ref_mat: np.ndarray, k: int, id_col
             n = batch.num_rows
             if n == 0:
                 continue
-            ids = batch.column(id_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column(id_col)
             d = unit_rows(list_to_matrix(batch.column(vec_col), dim))
             s = np.round(d @ rn.T, SCORE_DECIMALS)               # (n, c)
             kk = min(k, s.shape[1])
@@ -160,7 +177,7 @@ def nearest_rows_kernel(ref_ids: np.ndarray, ref_mat: np.ndarray, k: int, id_col
             order = np.lexsort((np.broadcast_to(order_ids, s.shape), -s), axis=1)[:, :kk]
             sc = np.take_along_axis(s, order, axis=1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, kk), pa.int64()),
+                [ids.take(pa.array(np.repeat(np.arange(n), kk), pa.int64())),
                  pa.array(order_ids[order].ravel(), pa.int64()),
                  pa.array(np.tile(np.arange(1, kk + 1), n), pa.int32()),
                  pa.array(sc.ravel(), pa.float64())],

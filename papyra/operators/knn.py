@@ -49,7 +49,7 @@ def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int, max_block_b
                   n_queries: int | None = None):
     """Yield (ids, matrix) blocks of the query side, each within the byte bound.
     ``n_queries`` (an upper bound on the row count) skips the counting job."""
-    q = queries.select(F.col(qid).cast("long").alias("qid"), V.to_double(qvec).alias("qvec")) \
+    q = queries.select(F.col(qid).alias("qid"), V.to_double(qvec).alias("qvec")) \
         .where(F.col("qvec").isNotNull() & (F.size("qvec") == dim))
     n = q.count() if n_queries is None else n_queries
     if n == 0:
@@ -60,8 +60,7 @@ def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int, max_block_b
         tbl = part.toArrow()
         if tbl.num_rows == 0:
             continue
-        ids = tbl.column("qid").to_numpy().astype(np.int64)
-        yield ids, V.list_to_matrix(tbl.column("qvec"), dim)
+        yield tbl.column("qid").combine_chunks(), V.list_to_matrix(tbl.column("qvec"), dim)
 
 
 def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
@@ -72,13 +71,15 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
 
     Scores are rounded to 6 decimals before ranking and ties go to the smaller
     id, so results are deterministic. ``exclude_self`` drops corpus rows whose
-    id equals the query id.
+    id equals the query id. Ids may be integers or strings.
     """
     spark = corpus.sparkSession
     dim = dim or vector_width(queries, query_vec_col)
-    docs = corpus.select(F.col(id_col).cast("long").alias(id_col), V.to_double(vec_col).alias("_v")) \
+    id_type = corpus.schema[id_col].dataType.simpleString()
+    q_type = queries.schema[query_id_col].dataType.simpleString()
+    docs = corpus.select(F.col(id_col), V.to_double(vec_col).alias("_v")) \
         .where(F.col("_v").isNotNull() & (F.size("_v") == dim))
-    schema = f"query_id long, {id_col} long, score double"
+    schema = f"query_id {q_type}, {id_col} {id_type}, score double"
     parts = []
     for ids, mat in _query_blocks(queries, query_id_col, query_vec_col, dim, max_block_bytes, n_queries):
         bc = spark.sparkContext.broadcast((ids, mat))
@@ -127,25 +128,26 @@ def probe_clusters(queries: DataFrame, centroids: DataFrame, n_probe: int, *,
     def kernel(batches):
         cids, cmat = bc.value
         return V.nearest_rows_kernel(cids, cmat, n_probe, "query_id", "_v", dim, "cluster_id")(batches)
-    q = queries.select(F.col(query_id_col).cast("long").alias("query_id"),
+    q = queries.select(F.col(query_id_col).alias("query_id"),
                        V.to_double(query_vec_col).alias("_v")) \
         .where(F.col("_v").isNotNull() & (F.size("_v") == dim))
-    return q.mapInArrow(kernel, "query_id long, cluster_id long, probe_rank int, score double")
+    q_type = q.schema["query_id"].dataType.simpleString()
+    return q.mapInArrow(kernel, f"query_id {q_type}, cluster_id long, probe_rank int, score double")
 
 
 def _group_scorer(k: int, dim: int, exclude_self: bool):
     def run(docs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if docs.empty or qs.empty:
-            return pd.DataFrame({"query_id": pd.Series([], "int64"), "id": pd.Series([], "int64"),
+            return pd.DataFrame({"query_id": qs["query_id"].iloc[:0], "id": docs["id"].iloc[:0],
                                  "score": pd.Series([], "float64")})
         d = V.unit_rows(np.vstack(docs["_v"].to_numpy()).astype(np.float64).reshape(len(docs), dim))
         q = V.unit_rows(np.vstack(qs["_q"].to_numpy()).astype(np.float64).reshape(len(qs), dim))
-        ids = docs["id"].to_numpy(np.int64)
-        qids = qs["query_id"].to_numpy(np.int64)
+        ids = docs["id"].to_numpy()
+        qids = qs["query_id"].to_numpy()
         s = np.round(d @ q.T, V.SCORE_DECIMALS)
         if exclude_self:
             s[ids[:, None] == qids[None, :]] = -np.inf
-        rows, cols, sc = V.top_k_per_column(s, ids, k)
+        rows, cols, sc = V.top_k_per_column(s, V.tie_keys(ids), k)
         return pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "score": sc})
     return run
 
@@ -160,7 +162,7 @@ def clustered_knn(corpus: DataFrame, centroids: DataFrame, queries: DataFrame, k
     dim = vector_width(centroids)
     probes = probe_clusters(queries, centroids, n_probe, query_id_col=query_id_col,
                             query_vec_col=query_vec_col).select("query_id", "cluster_id")
-    docs = corpus.select(F.col("id").cast("long").alias("id"), F.col("cluster_id").cast("long"),
+    docs = corpus.select(F.col("id"), F.col("cluster_id").cast("long"),
                          V.to_double("vec").alias("_v")) \
         .where(F.col("_v").isNotNull() & (F.size("_v") == dim))
     # split factors per cluster: bounded by the number of clusters
@@ -176,15 +178,17 @@ def clustered_knn(corpus: DataFrame, centroids: DataFrame, queries: DataFrame, k
         .withColumn("dsub", F.pmod(F.xxhash64("id"), F.col("sd")).cast("int")) \
         .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("sq") - 1))) \
         .select("cluster_id", "dsub", "qsub", "id", "_v")
-    qv = queries.select(F.col(query_id_col).cast("long").alias("query_id"),
+    qv = queries.select(F.col(query_id_col).alias("query_id"),
                         V.to_double(query_vec_col).alias("_q"))
     q = probes.join(qv, "query_id").join(split, "cluster_id") \
         .withColumn("qsub", F.pmod(F.xxhash64("query_id"), F.col("sq")).cast("int")) \
         .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("sd") - 1))) \
         .select("cluster_id", "dsub", "qsub", "query_id", "_q")
     keys = ["cluster_id", "dsub", "qsub"]
+    id_type = docs.schema["id"].dataType.simpleString()
+    q_type = qv.schema["query_id"].dataType.simpleString()
     scored = d.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(
-        _group_scorer(k, dim, exclude_self), "query_id long, id long, score double")
+        _group_scorer(k, dim, exclude_self), f"query_id {q_type}, id {id_type}, score double")
     return top_k(scored, k)
 
 
