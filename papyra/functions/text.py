@@ -295,7 +295,7 @@ def format_categories(arr, limit: int = 3) -> Column:
 def format_file_size(c) -> Column:
     """1024-step units with two decimals (half-even, like Python's round)."""
     n = _c(c).cast("double")
-    i = F.floor(F.log(F.lit(1024.0), n)).cast("int")
+    i = F.floor(F.log(1024.0, n)).cast("int")
     value = F.bround(n / F.pow(F.lit(1024.0), i), 2)
     unit = F.element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), i + 1)
     return F.when(n == 0, F.lit("0B")).otherwise(F.concat(value.cast("string"), F.lit(" "), unit))

@@ -203,10 +203,14 @@ def kmeans_index(vectors: DataFrame, n_clusters: int | None = None, *, vec_col:
     unit = vectors.withColumn("_u", V.normalize(V.to_double(vec_col)))
     if n_clusters is None:
         n_clusters = min(256, max(10, unit.count() // 10))
-    feats = unit.withColumn("_f", array_to_vector("_u"))
+    # cosine k-means is undefined for zero vectors: they score 0 against any
+    # query, so they go to cluster 0 without taking part in training
+    nonzero = F.exists("_u", lambda x: x != 0)
+    feats = unit.where(nonzero).withColumn("_f", array_to_vector("_u"))
     model = KMeans(k=n_clusters, seed=seed, maxIter=max_iter, featuresCol="_f",
                    predictionCol="cluster_id", distanceMeasure="cosine").fit(feats)
-    assigned = model.transform(feats).drop("_f", "_u")
+    zeros = unit.where(~nonzero | F.col("_u").isNull()).withColumn("cluster_id", F.lit(0))
+    assigned = model.transform(feats).drop("_f").unionByName(zeros).drop("_u")
     spark = vectors.sparkSession
     centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = spark.createDataFrame(centers, "cluster_id long, vec array<double>") \
