@@ -95,26 +95,25 @@ def is_blank(c) -> Column:
     return strip(F.coalesce(_c(c), F.lit(""))) == ""
 
 
-def _guarded(t: Column, pattern: str, needles) -> Column:
-    """``regexp_replace`` only on rows that contain a character the pattern
-    needs (a cheap substring test); other rows pass unchanged."""
-    hit = None
-    for n in needles:
-        h = F.instr(t, n) > 0
-        hit = h if hit is None else (hit | h)
-    return F.when(hit, F.regexp_replace(t, pattern, "")).otherwise(t)
-
-
 def clean_text(c) -> Column:
-    """The ordered cleaning chain for titles and abstracts; null -> ''."""
+    """The ordered cleaning chain for titles and abstracts; null -> ''.
+
+    The five removal rules only run on texts that contain a character one of
+    them needs. Removals never create a backslash, '$' or '@', and a new
+    "http"/"www" can only appear after a LaTeX or math removal (which needs a
+    backslash or '$'), so testing the original text is exact. Each rule
+    refers to the previous step once, so nothing is evaluated twice.
+    """
     t = F.coalesce(_c(c), F.lit(""))
-    t = _guarded(t, LATEX_COMMAND, ["\\"])
-    t = _guarded(t, INLINE_MATH, ["$"])
-    t = _guarded(t, DISPLAY_MATH, ["$$"])
-    t = _guarded(t, URL_RULE, ["http", "www"])
-    t = _guarded(t, EMAIL_RULE_LINEAR, ["@"])
+    needs = None
+    for n in ("\\", "$", "@", "http", "www"):
+        h = F.instr(t, n) > 0
+        needs = h if needs is None else (needs | h)
+    chain = t
+    for pattern in (LATEX_COMMAND, INLINE_MATH, DISPLAY_MATH, URL_RULE, EMAIL_RULE_LINEAR):
+        chain = F.regexp_replace(chain, pattern, "")
     # whitespace runs -> one space, then trim; only spaces remain at the edges
-    return F.trim(F.regexp_replace(t, WS_RUN, " "))
+    return F.trim(F.regexp_replace(F.when(needs, chain).otherwise(t), WS_RUN, " "))
 
 
 def split_categories(c) -> Column:

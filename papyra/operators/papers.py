@@ -86,24 +86,31 @@ def with_reject_reason(raw: DataFrame, language: str | None = None,
 
 
 def project(raw: DataFrame) -> DataFrame:
-    """The 12-column paper row (cleaned fields, parsed lists and date)."""
-    title = T.clean_text("title")
-    abstract = T.clean_text("abstract")
-    combined = F.concat(title, F.lit(". "), abstract)
+    """The 12-column paper row (cleaned fields, parsed lists and date).
+
+    Two steps: cleaned title/abstract first, then the columns derived from
+    them. The optimizer keeps the steps apart (it does not duplicate costly
+    expressions that are referenced several times), so each text is cleaned
+    once.
+    """
     journal = F.col("`journal-ref`") if "journal-ref" in raw.columns else F.lit(None).cast("string")
-    extra = [F.col("doc_id")] if "doc_id" in raw.columns else []
-    return raw.select(
+    extra = ["doc_id"] if "doc_id" in raw.columns else []
+    cleaned = raw.select(
         *extra,
         T.strip(F.col("id")).alias("id"),
-        title.alias("title"),
-        abstract.alias("abstract"),
-        combined.alias("combined_text"),
+        T.clean_text("title").alias("title"),
+        T.clean_text("abstract").alias("abstract"),
         T.parse_authors("authors_parsed", "authors").alias("authors"),
         T.split_categories("categories").alias("categories"),
         T.parse_date("update_date").alias("update_date"),
         F.col("submitter"), F.col("doi"), journal.alias("journal_ref"),
-        F.length(combined).alias("text_length"),
-        T.word_count(combined).alias("word_count"),
+    )
+    combined = cleaned.withColumn("combined_text", F.concat("title", F.lit(". "), "abstract"))
+    return combined.select(
+        *extra, "id", "title", "abstract", "combined_text", "authors", "categories", "update_date",
+        "submitter", "doi", "journal_ref",
+        F.length("combined_text").alias("text_length"),
+        T.word_count("combined_text").alias("word_count"),
     )
 
 
