@@ -27,6 +27,11 @@ from papyra.functions import text as T
 from papyra.functions import vectors as V
 from papyra.operators import knn as K
 
+# Hit tables (queries x candidates, a few numbers per row) up to this many rows
+# are broadcast into the joins with the paper table, so the corpus is only
+# streamed; beyond it Spark's shuffle join is used.
+MAX_BROADCAST_HIT_ROWS = 2_000_000
+
 TOP_K_RESULTS = 10
 SIMILARITY_THRESHOLD = 0.3
 MAX_SUMMARIES_PER_SEARCH = 5
@@ -144,7 +149,9 @@ def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOption
         return hits.select("query_id", "doc_id", "cosine", F.col("cosine").alias("score"),
                            F.col("rank").alias("candidate_rank"))
     scorer = opts.scorer or E.overlap_score
-    pairs = hits.join(qv.select("query_id", "query"), "query_id").join(text, "doc_id") \
+    small = n_queries is not None and n_queries * pool <= MAX_BROADCAST_HIT_ROWS
+    with_q = hits.join(qv.select("query_id", "query"), "query_id")
+    pairs = text.join(F.broadcast(with_q) if small else with_q, "doc_id") \
         .withColumn("raw", scorer(F.col("query"), F.col("_text")))
     w = Window.partitionBy("query_id")
     norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
@@ -177,10 +184,15 @@ def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOp
     n_queries = qv.count()
     text = corpus.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
     cand = candidates(qv, corpus.select("doc_id", "vec"), text, opts, n_queries)
-    # first paper row per doc id (a corpus may hold duplicates)
-    first = Window.partitionBy("doc_id").orderBy("id")
-    docs = corpus.drop("vec").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    hits = cand.where(F.col("score") >= opts.threshold).join(docs, "doc_id")
+    kept = cand.where(F.col("score") >= opts.threshold)
+    pool = opts.k * max(FILTER_OVERFETCH if opts.has_filters and opts.filter_mode == "post" else 1,
+                        RERANK_OVERFETCH if opts.use_reranking else 1)
+    small = n_queries * pool <= MAX_BROADCAST_HIT_ROWS
+    # hits are broadcast into the paper table (the corpus streams, no shuffle);
+    # a corpus holding an id twice yields one row per (query, doc): the first
+    hits = corpus.drop("vec").join(F.broadcast(kept) if small else kept, "doc_id")
+    first = Window.partitionBy("query_id", "doc_id").orderBy("id")
+    hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     if opts.filter_mode == "post":
         hits = hits.where(passes_filters(opts))
     acc = Window.partitionBy("query_id").orderBy("candidate_rank")
