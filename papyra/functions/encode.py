@@ -112,6 +112,13 @@ def overlap_score(query, text) -> Column:
                                            F.size(qt)), F.lit(0.0)), V.SCORE_DECIMALS)
 
 
+def overlap_of_tokens(query_tokens, text_tokens) -> Column:
+    """:func:`overlap_score` on already tokenised, de-duplicated inputs."""
+    qt = _c(query_tokens)
+    return F.round(F.coalesce(F.try_divide(F.size(F.array_intersect(qt, _c(text_tokens))).cast("double"),
+                                           F.size(qt)), F.lit(0.0)), V.SCORE_DECIMALS)
+
+
 def rerank_text(title, abstract, chars: int = 500) -> Column:
     return F.concat_ws(" ", F.coalesce(_c(title), F.lit("")),
                        F.left(F.coalesce(_c(abstract), F.lit("")), F.lit(chars)))

@@ -133,7 +133,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOptions,
-               n_queries: int | None = None, dim: int = E.ENCODER_DIM) -> DataFrame:
+               n_queries: int | None = None, dim: int = E.ENCODER_DIM,
+               query_text: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, cosine, score, candidate_rank)`` before filters.
 
     The fetch size needs no corpus count: a top-k over fewer than k rows
@@ -148,11 +149,18 @@ def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOption
     if not opts.use_reranking:
         return hits.select("query_id", "doc_id", "cosine", F.col("cosine").alias("score"),
                            F.col("rank").alias("candidate_rank"))
-    scorer = opts.scorer or E.overlap_score
     small = n_queries is not None and n_queries * pool <= MAX_BROADCAST_HIT_ROWS
-    with_q = hits.join(qv.select("query_id", "query"), "query_id")
-    pairs = text.join(F.broadcast(with_q) if small else with_q, "doc_id") \
-        .withColumn("raw", scorer(F.col("query"), F.col("_text")))
+    qtext = query_text if query_text is not None else qv.select("query_id", "query")
+    if opts.scorer is None:
+        # built-in token-overlap scorer: each query and each paper is
+        # tokenised once, not once per (query, paper) pair
+        qtext = qtext.select("query_id", F.array_distinct(E.tokens("query")).alias("_qtok"))
+        text = text.select("doc_id", F.array_distinct(E.tokens("_text")).alias("_ttok"))
+        score = E.overlap_of_tokens(F.col("_qtok"), F.col("_ttok"))
+    else:
+        score = opts.scorer(F.col("query"), F.col("_text"))
+    with_q = hits.join(qtext, "query_id")
+    pairs = text.join(F.broadcast(with_q) if small else with_q, "doc_id").withColumn("raw", score)
     w = Window.partitionBy("query_id")
     norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
     order = Window.partitionBy("query_id").orderBy(F.col("raw").desc(), F.col("doc_id"))
@@ -178,12 +186,13 @@ def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOp
         corpus = prepare_corpus(papers, dv, materialize_inputs)
     if opts.filter_mode == "pre":
         corpus = corpus.where(passes_filters(opts))
+    # query vectors are read once (collected in size-checked blocks), so they
+    # are not materialised; the count of non-blank queries bounds the blocks
+    live = queries.where(~T.is_blank("query")).select("query_id", "query")
+    n_queries = live.count()
     qv = query_vectors(queries, opts.use_query_expansion)
-    if materialize_inputs:
-        qv = materialize(qv, "queries")
-    n_queries = qv.count()
     text = corpus.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
-    cand = candidates(qv, corpus.select("doc_id", "vec"), text, opts, n_queries)
+    cand = candidates(qv, corpus.select("doc_id", "vec"), text, opts, n_queries, query_text=live)
     kept = cand.where(F.col("score") >= opts.threshold)
     pool = opts.k * max(FILTER_OVERFETCH if opts.has_filters and opts.filter_mode == "post" else 1,
                         RERANK_OVERFETCH if opts.use_reranking else 1)
@@ -198,11 +207,12 @@ def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOp
     acc = Window.partitionBy("query_id").orderBy("candidate_rank")
     hits = hits.withColumn("rank", F.row_number().over(acc)).where(F.col("rank") <= opts.k)
     if opts.generate_summaries:
-        rule = T.rule_summary("abstract")
-        has = hits.withColumn("_s", rule)
-        slot = Window.partitionBy("query_id", (F.col("_s") != "")).orderBy("rank")
-        hits = has.withColumn("ai_summary", F.when((F.col("_s") != "") & (F.row_number().over(slot)
-                                                   <= MAX_SUMMARIES_PER_SEARCH), F.col("_s"))).drop("_s")
+        # the extractive summary is empty exactly when the abstract is, so the
+        # slots are chosen first and only those rows are summarised
+        has_text = F.coalesce(F.col("abstract"), F.lit("")) != ""
+        slot = Window.partitionBy("query_id", has_text).orderBy("rank")
+        hits = hits.withColumn("_slot", has_text & (F.row_number().over(slot) <= MAX_SUMMARIES_PER_SEARCH)) \
+            .withColumn("ai_summary", F.when(F.col("_slot"), T.rule_summary("abstract"))).drop("_slot")
     else:
         hits = hits.withColumn("ai_summary", F.lit(None).cast("string"))
     return result_projection(hits)
