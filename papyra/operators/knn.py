@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +46,40 @@ def top_k(scored: DataFrame, k: int, partition_cols=("query_id",), score_col: st
     return scored.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int, max_block_bytes: int,
-                  n_queries: int | None = None):
+def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None, max_block_bytes: int,
+                  n_queries: int | None = None, assumed_dim: int = 1024):
     """Yield (ids, matrix) blocks of the query side, each within the byte bound.
-    ``n_queries`` (an upper bound on the row count) skips the counting job."""
+
+    One bounded job first: at most ``max_rows + 1`` rows are collected (the
+    width is then read off the block). Only when that overflows is the query
+    side counted and split into hash blocks, one collect per block.
+    ``n_queries`` (an upper bound on the row count) is a hint for the same
+    decision.
+    """
     q = queries.select(F.col(qid).alias("qid"), V.to_double(qvec).alias("qvec")) \
-        .where(F.col("qvec").isNotNull() & (F.size("qvec") == dim))
+        .where(F.col("qvec").isNotNull())
+    if dim is not None:
+        q = q.where(F.size("qvec") == dim)
+    max_rows = max(1, max_block_bytes // (8 * (dim or assumed_dim)))
+    if n_queries is None or n_queries <= max_rows:
+        tbl = q.limit(max_rows + 1).toArrow()
+        if tbl.num_rows <= max_rows:
+            if tbl.num_rows == 0:
+                return
+            vecs = tbl.column("qvec").combine_chunks()
+            width = dim or len(vecs[0].values)
+            if dim is None:   # keep the rows of the common width, as the corpus side does
+                keep = pc.equal(pc.list_value_length(vecs), width)
+                tbl = tbl.filter(keep)
+                vecs = tbl.column("qvec").combine_chunks()
+            yield tbl.column("qid").combine_chunks(), V.list_to_matrix(vecs, width)
+            return
+    dim = dim or vector_width(queries, qvec)
+    q = q.where(F.size("qvec") == dim)
     n = q.count() if n_queries is None else n_queries
-    if n == 0:
-        return
     n_blocks = max(1, math.ceil(n * dim * 8 / max_block_bytes))
     for b in range(n_blocks):
-        part = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        tbl = part.toArrow()
+        tbl = q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).toArrow()
         if tbl.num_rows == 0:
             continue
         yield tbl.column("qid").combine_chunks(), V.list_to_matrix(tbl.column("qvec"), dim)
@@ -74,19 +96,19 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
     id equals the query id. Ids may be integers or strings.
     """
     spark = corpus.sparkSession
-    dim = dim or vector_width(queries, query_vec_col)
     id_type = corpus.schema[id_col].dataType.simpleString()
     q_type = queries.schema[query_id_col].dataType.simpleString()
-    docs = corpus.select(F.col(id_col), V.to_double(vec_col).alias("_v")) \
-        .where(F.col("_v").isNotNull() & (F.size("_v") == dim))
     schema = f"query_id {q_type}, {id_col} {id_type}, score double"
     parts = []
     for ids, mat in _query_blocks(queries, query_id_col, query_vec_col, dim, max_block_bytes, n_queries):
+        width = mat.shape[1]
+        docs = corpus.select(F.col(id_col), V.to_double(vec_col).alias("_v")) \
+            .where(F.col("_v").isNotNull() & (F.size("_v") == width))
         bc = spark.sparkContext.broadcast((ids, mat))
 
-        def kernel(batches, bc=bc):
+        def kernel(batches, bc=bc, width=width):
             qids, qmat = bc.value
-            return V.score_kernel(qids, qmat, k, id_col, "_v", dim, exclude_self)(batches)
+            return V.score_kernel(qids, qmat, k, id_col, "_v", width, exclude_self)(batches)
         parts.append(docs.mapInArrow(kernel, schema))
     if not parts:
         return spark.createDataFrame([], schema + ", rank int")

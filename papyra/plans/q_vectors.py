@@ -15,6 +15,7 @@ from papyra.plans import adapters as A
 from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
 from papyra.plans.q_ingest import papers
+from papyra.operators.retrieval import materialize
 
 K_NN = 10
 SIMILAR_K = 5
@@ -54,7 +55,9 @@ def similar_docs(spark, sf_dir):
     """For every paper with a vector: its most similar other papers (top
     k+1 candidates, threshold 0.3, self removed, first k)."""
     p = papers(spark, sf_dir)
-    v = A.vectors(spark, sf_dir).join(p.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    # the paper-backed vectors feed both sides: written once, read twice
+    v = materialize(A.vectors(spark, sf_dir).join(p.select(F.col("doc_id").alias("id")), "id", "left_semi"),
+                    "paper-vectors")
     cand = K.exact_knn(v, v.withColumnRenamed("id", "query_id"), SIMILAR_K + 1)
     kept = cand.where((F.col("score") >= 0.3) & (F.col("id") != F.col("query_id")))
     w = Window.partitionBy("query_id").orderBy("rank")
