@@ -20,6 +20,14 @@ from papyra.plans.catalog import register
 from papyra.plans.q_ingest import papers
 from papyra.plans.q_search import DEFAULT, queries_table, run_search
 
+
+def results_table(spark, sf_dir, opts=DEFAULT, q=None):
+    """Search results written once (queries x k rows) for consumers that read
+    them several times."""
+    q = q if q is not None else queries_table(spark, sf_dir)
+    return R.materialize(R.search(q, papers(spark, sf_dir), opts), "results")
+
+
 ASOF = dt.date(2024, 12, 31)
 WP = S.with_papers()
 NO_SUMMARY = replace(DEFAULT, generate_summaries=False)
@@ -114,7 +122,7 @@ FROM per JOIN qs q ON q.query_id = per.query_id LEFT JOIN top5 ON top5.query_id
 @register("batch_digest", _digest_sql())
 def batch_digest(spark, sf_dir):
     q = queries_table(spark, sf_dir)
-    return RS.batch_digest(q, R.search(q, papers(spark, sf_dir), DEFAULT), ASOF)
+    return RS.batch_digest(q, results_table(spark, sf_dir, DEFAULT, q), ASOF)
 
 
 @register("prompt_table", WP + f"""SELECT doc_id, {S.q(T.INDIVIDUAL_SUMMARY_PROMPT.split('{title}')[0])}
@@ -142,7 +150,7 @@ FROM cnt c JOIN firsts f ON f.query_id = c.query_id JOIN qs q ON q.query_id = c.
 @register("batch_prompt", _batch_prompt_sql())
 def batch_prompt(spark, sf_dir):
     q = queries_table(spark, sf_dir)
-    return RS.batch_prompt(q, R.search(q, papers(spark, sf_dir), DEFAULT))
+    return RS.batch_prompt(q, results_table(spark, sf_dir, DEFAULT, q))
 
 
 DISPLAY = "least(greatest(CASE WHEN similarity_score > 1.0 THEN least(similarity_score / 10.0, 1.0) ELSE similarity_score END, 0.0), 1.0)"
@@ -168,7 +176,7 @@ a AS (SELECT query_id, count(DISTINCT x) AS unique_authors FROM (SELECT query_id
 SELECT b.query_id, b.n, avg_score, max_score, coalesce(unique_categories, 0) AS unique_categories,
   coalesce(unique_authors, 0) AS unique_authors FROM b LEFT JOIN c USING (query_id) LEFT JOIN a USING (query_id)""")
 def result_summary(spark, sf_dir):
-    return RS.result_summary(run_search(spark, sf_dir, DEFAULT))
+    return RS.result_summary(results_table(spark, sf_dir))
 
 
 @register("relevance_profile", Q.with_search(DEFAULT) + """
@@ -180,7 +188,7 @@ SELECT round(avg(similarity_score), 6) AS mean_all_scores, round(min(similarity_
   round((SELECT avg(top1) FROM pq), 6) AS mean_top1_score, round((SELECT avg(top5) FROM pq), 6) AS mean_top5_score
 FROM res""")
 def relevance_profile(spark, sf_dir):
-    return RS.relevance_profile(run_search(spark, sf_dir, DEFAULT))
+    return RS.relevance_profile(results_table(spark, sf_dir))
 
 
 @register("diversity_profile", Q.with_search(DEFAULT) + """
@@ -191,7 +199,7 @@ pq AS (SELECT q.query_id, coalesce(nc, 0) AS nc, coalesce(na, 0) AS na FROM (SEL
 SELECT round(avg(nc), 6) AS mean_category_diversity, round(avg(na), 6) AS mean_author_diversity,
   min(nc) AS min_categories, max(nc) AS max_categories FROM pq""")
 def diversity_profile(spark, sf_dir):
-    return RS.diversity_profile(run_search(spark, sf_dir, DEFAULT))
+    return RS.diversity_profile(results_table(spark, sf_dir))
 
 
 def _agreement_sql() -> str:
@@ -216,8 +224,8 @@ def rerank_agreement(spark, sf_dir):
     q = queries_table(spark, sf_dir).where(~T.is_blank("query"))
     p = papers(spark, sf_dir)
     corpus = R.prepare_corpus(p)
-    a = R.search(q, p, PLAIN, corpus=corpus)
-    b = R.search(q, p, DEFAULT, corpus=corpus)
+    a = R.materialize(R.search(q, p, PLAIN, corpus=corpus), "results")
+    b = R.materialize(R.search(q, p, DEFAULT, corpus=corpus), "results")
     return RS.rerank_agreement(q, a, b, DEFAULT.k)
 
 
