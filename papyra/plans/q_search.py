@@ -141,3 +141,12 @@ def _method_sql():
 def method_compare(spark, sf_dir):
     r = R.compare_methods(queries_table(spark, sf_dir), papers(spark, sf_dir), top_k=5)
     return r.select("method", "query_id", "rank", "doc_id", "similarity_score")
+
+
+YEARS = R.SearchOptions(years_back=1, use_reranking=False)
+
+
+@register("knn_filtered_years", Q.with_search(YEARS) + f"SELECT {Q.RESULT_COLS} FROM res")
+def knn_filtered_years(spark, sf_dir):
+    """Date filter relative to the as-of date (last year; undated papers pass)."""
+    return _out(run_search(spark, sf_dir, YEARS))

@@ -156,3 +156,50 @@ def remove_docs(spark, sf_dir):
     rejected = P.with_reject_reason(A.raw_papers(spark, sf_dir)) \
         .where(F.col("reject_reason").isNotNull()).select(F.col("doc_id").alias("id"))
     return IX.remove(A.vectors(spark, sf_dir), rejected).select("id")
+
+
+@register("truncate_tokens", f"""WITH {S.raw_cte()}
+SELECT doc_id, array_to_string(list_slice(string_split({S.squeeze('abstract')}, ' '), 1, 512), ' ') AS truncated FROM raw""")
+def truncate_tokens(spark, sf_dir):
+    """Whitespace-token truncation to 512 tokens before encoding (whole raw texts)."""
+    from papyra.functions import text as TX
+    return A.raw_papers(spark, sf_dir).select("doc_id", TX.truncate_tokens("abstract").alias("truncated"))
+
+
+ENCODER_MODELS = {"hash64": 64, "hash128": 128}
+
+
+def _multi_encode_sql() -> str:
+    ctes, sel = [], []
+    for name, dim in ENCODER_MODELS.items():
+        ctes.append(S.encode_cte(f"e_{name}", "papers", "doc_id", "combined_text", dim))
+        sel.append(f"SELECT '{name}' AS model, doc_id, CAST(len(list_filter(vec, lambda x: x <> 0)) AS INTEGER) AS nonzero, "
+                   f"round(list_reduce(vec, lambda a, b: a + b, 0.0), 6) AS weight_sum FROM e_{name}")
+    return S.with_papers(extra=",\n".join(ctes)) + "\nUNION ALL ".join(sel)
+
+
+@register("multi_model_encode", _multi_encode_sql())
+def multi_model_encode(spark, sf_dir):
+    """One encoding per model (here two bucket widths), tagged with ``model``."""
+    p = papers(spark, sf_dir).select("doc_id", "combined_text")
+    out = None
+    for name, dim in ENCODER_MODELS.items():
+        e = E.hash_encode(p, "combined_text", "vec", dim).select(
+            F.lit(name).alias("model"), "doc_id",
+            F.size(F.filter("vec", lambda x: x != 0)).alias("nonzero"),
+            V.round_score(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b)).alias("weight_sum"))
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+@register("engine_stats", S.with_papers() + """SELECT (SELECT count(*) FROM papers) AS total_documents,
+  'm64' AS embedding_model, CAST(max(len(embedding)) AS INTEGER) AS embedding_dimension,
+  count(*) AS total_vectors, count(DISTINCT label) AS n_clusters FROM embeddings""")
+def engine_stats(spark, sf_dir):
+    """Corpus and index figures in one row."""
+    n_docs = papers(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
+    v = A.vectors(spark, sf_dir)
+    return v.agg(F.max(F.size("vec")).alias("embedding_dimension"), F.count(F.lit(1)).alias("total_vectors"),
+                  F.count_distinct("label").alias("n_clusters")) \
+        .select(n_docs.alias("total_documents"), F.lit("m64").alias("embedding_model"), "embedding_dimension",
+                "total_vectors", "n_clusters")
