@@ -42,25 +42,32 @@ REASONS = ["missing_id", "missing_title", "missing_abstract", "abstract_too_shor
 
 def detect_language(text_col) -> F.Column:
     """Language with most stop-word hits in the first 200 characters
-    (ties -> alphabetical); null when there is no hit."""
+    (ties -> alphabetical); null when there is no hit.
+
+    One pass over the tokens counts hits for every language at once; the
+    finishing lambda picks the first maximum, so nothing is evaluated twice.
+    """
     tokens = F.split(F.lower(F.left(text_col, F.lit(LANGUAGE_SAMPLE_CHARS))), LETTER_SPLIT)
     langs = sorted(STOPWORDS)
-    def in_list(words):
-        lit = F.array(*[F.lit(x) for x in words])
-        return lambda t: F.array_contains(lit, t)
-    hits = [F.size(F.filter(tokens, in_list(STOPWORDS[lang]))) for lang in langs]
-    best = F.greatest(*hits)
-    pick = F.lit(None).cast("string")
-    for lang, h in reversed(list(zip(langs, hits))):
-        pick = F.when((h == best) & (h > 0), F.lit(lang)).otherwise(pick)
-    return pick
+    lists = [F.array(*[F.lit(w) for w in STOPWORDS[lang]]) for lang in langs]
+    init = F.array(*[F.lit(0) for _ in langs])
+
+    def count(acc, t):
+        return F.array(*[acc[i] + F.when(F.array_contains(lists[i], t), 1).otherwise(0)
+                         for i in range(len(langs))])
+
+    def pick(acc):
+        best = F.array_max(acc)
+        return F.when(best > 0, F.element_at(F.array(*[F.lit(x) for x in langs]),
+                                             F.array_position(acc, best).cast("int")))
+    return F.aggregate(tokens, init, count, pick)
 
 
 def is_english(text_col) -> F.Column:
     """Keep English, short (<20 chars stripped) and undetectable texts."""
     stripped = T.strip(F.coalesce(text_col, F.lit("")))
     lang = detect_language(stripped)
-    return (F.length(stripped) < LANGUAGE_MIN_CHARS) | lang.isNull() | (lang == "en")
+    return (F.length(stripped) < LANGUAGE_MIN_CHARS) | (F.coalesce(lang, F.lit("en")) == "en")
 
 
 def with_reject_reason(raw: DataFrame, language: str | None = None,
