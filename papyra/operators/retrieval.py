@@ -168,38 +168,57 @@ def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOption
                         F.row_number().over(order).alias("candidate_rank"))
 
 
-def encoded_corpus(papers: DataFrame, dv: DataFrame | None = None) -> DataFrame:
-    """Paper rows with their vector ``vec`` (built-in encoder unless ``dv``
-    with ``(doc_id, vec)`` is given)."""
+@dataclass(frozen=True)
+class Corpus:
+    """A searchable corpus: the paper rows and their vectors ``(doc_id, vec)``."""
+    papers: DataFrame
+    vectors: DataFrame
+
+
+def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None,
+                   materialize_inputs: bool = True, materialize_vectors: bool = False) -> Corpus:
+    """The paper table (written once to the checkpoint folder, since search
+    reads it several times) and its vectors. Vectors come from ``dv`` or the
+    built-in encoder over ``combined_text``; only ``(doc_id, text)`` crosses
+    into Python, and the vectors stay lazy (read by one scan per query
+    block)."""
+    p = materialize(papers, "papers") if materialize_inputs else papers
     if dv is None:
-        return E.hash_encode(papers, "combined_text", "vec")
-    return papers.join(dv.select("doc_id", "vec"), "doc_id")
+        dv = E.hash_encode(p.select("doc_id", "combined_text"), "combined_text", "vec").select("doc_id", "vec")
+    dv = dv.select("doc_id", "vec")
+    if materialize_vectors:      # shared by several searches: encode once
+        dv = materialize(dv, "vectors")
+    return Corpus(p, dv)
 
 
 def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOptions(),
-           dv: DataFrame | None = None, corpus: DataFrame | None = None,
+           dv: DataFrame | None = None, corpus: Corpus | None = None,
            materialize_inputs: bool = True) -> DataFrame:
     """Results per query: ``query_id, rank, candidate_rank, doc_id`` + the
-    result fields. ``papers`` must carry ``doc_id``. ``corpus`` may pass an
-    already encoded (and materialised) paper table to share between runs."""
+    result fields. ``papers`` must carry ``doc_id``. ``corpus`` may pass a
+    prepared corpus (a stored index) to share between runs."""
     if corpus is None:
         corpus = prepare_corpus(papers, dv, materialize_inputs)
+    paper_rows, vectors = corpus.papers, corpus.vectors
     if opts.filter_mode == "pre":
-        corpus = corpus.where(passes_filters(opts))
+        paper_rows = paper_rows.where(passes_filters(opts))
+        vectors = vectors.join(paper_rows.select("doc_id"), "doc_id", "left_semi")
     # query vectors are read once (collected in size-checked blocks), so they
     # are not materialised; the count of non-blank queries bounds the blocks
     live = queries.where(~T.is_blank("query")).select("query_id", "query")
     n_queries = live.count()
+    if materialize_inputs and n_queries * E.ENCODER_DIM * 8 > K.DEFAULT_MAX_BLOCK_BYTES:
+        vectors = materialize(vectors, "vectors")      # several blocks scan it: write once
     qv = query_vectors(queries, opts.use_query_expansion)
-    text = corpus.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
-    cand = candidates(qv, corpus.select("doc_id", "vec"), text, opts, n_queries, query_text=live)
+    text = paper_rows.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
+    cand = candidates(qv, vectors, text, opts, n_queries, query_text=live)
     kept = cand.where(F.col("score") >= opts.threshold)
     pool = opts.k * max(FILTER_OVERFETCH if opts.has_filters and opts.filter_mode == "post" else 1,
                         RERANK_OVERFETCH if opts.use_reranking else 1)
     small = n_queries * pool <= MAX_BROADCAST_HIT_ROWS
     # hits are broadcast into the paper table (the corpus streams, no shuffle);
     # a corpus holding an id twice yields one row per (query, doc): the first
-    hits = corpus.drop("vec").join(F.broadcast(kept) if small else kept, "doc_id")
+    hits = paper_rows.join(F.broadcast(kept) if small else kept, "doc_id")
     first = Window.partitionBy("query_id", "doc_id").orderBy("id")
     hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     if opts.filter_mode == "post":
@@ -218,12 +237,6 @@ def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOp
     return result_projection(hits)
 
 
-def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None, materialize_inputs: bool = True) -> DataFrame:
-    """Encoded paper table, written once to the checkpoint folder."""
-    enc = encoded_corpus(papers, dv)
-    return materialize(enc, "corpus") if materialize_inputs else enc
-
-
 def result_projection(hits: DataFrame) -> DataFrame:
     """The exported result row (score clamp, identifier, URLs)."""
     arxiv = T.extract_arxiv_id("id")
@@ -278,7 +291,7 @@ def cost_per_search(n_results, summaries_enabled: bool = True) -> F.Column:
 def compare_methods(queries: DataFrame, papers: DataFrame, top_k: int = 5,
                     base: SearchOptions = SearchOptions()) -> DataFrame:
     """Plain, expanded, expanded + rerank runs tagged with ``method``."""
-    corpus = prepare_corpus(papers)
+    corpus = prepare_corpus(papers, materialize_vectors=True)
     runs = [("basic", replace(base, top_k=top_k, use_reranking=False, use_query_expansion=False)),
             ("expanded", replace(base, top_k=top_k, use_reranking=False, use_query_expansion=True)),
             ("expanded_rerank", replace(base, top_k=top_k, use_reranking=True, use_query_expansion=True))]

@@ -223,7 +223,7 @@ def rerank_agreement(spark, sf_dir):
     """Same queries with and without rerank: overlap / 10, top-score change."""
     q = queries_table(spark, sf_dir).where(~T.is_blank("query"))
     p = papers(spark, sf_dir)
-    corpus = R.prepare_corpus(p)
+    corpus = R.prepare_corpus(p, materialize_vectors=True)
     a = R.materialize(R.search(q, p, PLAIN, corpus=corpus), "results")
     b = R.materialize(R.search(q, p, DEFAULT, corpus=corpus), "results")
     return RS.rerank_agreement(q, a, b, DEFAULT.k)

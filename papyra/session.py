@@ -40,14 +40,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+_CHOSEN: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a scratch one only when unset."""
+    """Return the cluster's checkpoint folder (``spark.checkpoint.dir``); only
+    when it is unset (tests, local runs) is a scratch folder chosen, once per
+    application."""
+    sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        sc.getConf().get("spark.checkpoint.dir", None) or _CHOSEN.get(sc.applicationId)
     if not current:
         current = tempfile.mkdtemp(prefix="papyra-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        _CHOSEN[sc.applicationId] = current
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # a session may refuse runtime changes of core settings
+            pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
