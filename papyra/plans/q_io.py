@@ -134,12 +134,13 @@ def union_dedupe(spark, sf_dir):
 
 @register("stream_index_update", None)
 def stream_index_update(spark, sf_dir):
-    """Structured Streaming ingest of raw papers in two arrivals (even
-    doc_ids, then all): per-batch existing / added / duplicates / total."""
+    """Structured Streaming ingest of raw papers in two arrivals (papers
+    dated before 2024 first, then the whole set again): per-batch existing /
+    added / duplicates / total."""
     base = scratch(spark, "stream")
     src, index, stats = f"{base}/incoming", f"{base}/index", f"{base}/stats"
     raw = A.raw_papers(spark, sf_dir).drop("doc_id")
-    raw.where(F.col("id").substr(-1, 1).cast("int") % 2 == 0).write.mode("append").json(f"{src}/a")
+    raw.where(F.col("update_date") < "2024").write.mode("append").json(f"{src}/a")
     INC.start_index_stream(spark, f"{src}/a", index, f"{base}/ck-a", stats, language=None).awaitTermination()
     raw.write.mode("append").json(f"{src}/b")
     INC.start_index_stream(spark, f"{src}/b", index, f"{base}/ck-b", stats, language=None).awaitTermination()
