@@ -121,16 +121,17 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
 def label_centroids(vectors: DataFrame, cluster_col: str = "label", vec_col: str = "vec") -> DataFrame:
     """Mean of the unit vectors of each cluster, re-normalised: ``(cluster_id, vec)``.
 
-    Element-wise mean via ``posexplode`` + grouped ``avg``; partial aggregation
-    keeps the shuffle at (#clusters x width) rows per task.
+    MLlib's ``Summarizer.mean`` aggregates dense vectors in the JVM with one
+    partial buffer per (task, cluster), so the shuffle carries #clusters
+    vectors per task, not one row per component.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     unit = vectors.select(F.col(cluster_col).alias("cluster_id"),
-                          V.normalize(V.to_double(vec_col)).alias("u"))
-    per_dim = unit.select("cluster_id", F.posexplode("u").alias("pos", "x")) \
-        .groupBy("cluster_id", "pos").agg(F.avg("x").alias("m"))
-    return per_dim.groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("s")) \
-        .select("cluster_id", V.normalize(F.transform("s", lambda e: e["m"])).alias("vec"))
+                          array_to_vector(V.normalize(V.to_double(vec_col))).alias("u"))
+    means = unit.groupBy("cluster_id").agg(Summarizer.mean(F.col("u")).alias("m"))
+    return means.select("cluster_id", V.normalize(vector_to_array("m")).alias("vec"))
 
 
 def probe_clusters(queries: DataFrame, centroids: DataFrame, n_probe: int, *,
