@@ -31,6 +31,8 @@ from papyra.operators import knn as K
 # are broadcast into the joins with the paper table, so the corpus is only
 # streamed; beyond it Spark's shuffle join is used.
 MAX_BROADCAST_HIT_ROWS = 2_000_000
+# Query rows (text or tokens, a few hundred bytes each) broadcast up to this.
+MAX_BROADCAST_QUERY_ROWS = 200_000
 
 TOP_K_RESULTS = 10
 SIMILARITY_THRESHOLD = 0.3
@@ -159,8 +161,12 @@ def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOption
         score = E.overlap_of_tokens(F.col("_qtok"), F.col("_ttok"))
     else:
         score = opts.scorer(F.col("query"), F.col("_text"))
-    with_q = hits.join(qtext, "query_id")
-    pairs = text.join(F.broadcast(with_q) if small else with_q, "doc_id").withColumn("raw", score)
+    # only the narrow hit rows are broadcast into the streamed paper text; the
+    # query side (one row per query) is attached afterwards, broadcast while
+    # the number of queries is within its own bound
+    few_queries = n_queries is not None and n_queries <= MAX_BROADCAST_QUERY_ROWS
+    pairs = text.join(F.broadcast(hits) if small else hits, "doc_id")
+    pairs = pairs.join(F.broadcast(qtext) if few_queries else qtext, "query_id").withColumn("raw", score)
     w = Window.partitionBy("query_id")
     norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
     order = Window.partitionBy("query_id").orderBy(F.col("raw").desc(), F.col("doc_id"))
