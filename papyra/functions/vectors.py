@@ -207,3 +207,43 @@ def bucket_count_kernel(bucket_col: str, dim: int, out_col: str):
             names.append(out_col)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
     return run
+
+
+def ivf_kernel(query_ids: pa.Array, query_mat: np.ndarray, probes: dict, k: int, id_col: str,
+               cluster_col: str, vec_col: str, dim: int, exclude_self: bool):
+    """Clustered scoring against a broadcast query block: within a batch, the
+    rows of each cluster are scored only against the queries that probe that
+    cluster (``probes``: cluster id -> query column indices)."""
+    qn = unit_rows(query_mat)
+    qid_np = np.asarray(query_ids.to_pylist(), dtype=object) if exclude_self else None
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            ids = batch.column(id_col)
+            ties = tie_keys(ids)
+            clusters = batch.column(cluster_col).to_numpy(zero_copy_only=False).astype(np.int64)
+            d = unit_rows(list_to_matrix(batch.column(vec_col), dim))
+            id_np = np.asarray(ids.to_pylist(), dtype=object) if exclude_self else None
+            out_rows, out_cols, out_sc = [], [], []
+            for c in np.unique(clusters):
+                js = probes.get(int(c))
+                if js is None:
+                    continue
+                r = np.flatnonzero(clusters == c)
+                s = np.round(d[r] @ qn[js].T, SCORE_DECIMALS)
+                if exclude_self:
+                    s[id_np[r][:, None] == qid_np[js][None, :]] = -np.inf
+                rows, cols, sc = top_k_per_column(s, ties[r], k)
+                out_rows.append(r[rows])
+                out_cols.append(js[cols])
+                out_sc.append(sc)
+            if not out_rows:
+                continue
+            rows, cols, sc = np.concatenate(out_rows), np.concatenate(out_cols), np.concatenate(out_sc)
+            yield pa.RecordBatch.from_arrays(
+                [query_ids.take(pa.array(cols, pa.int64())), ids.take(pa.array(rows, pa.int64())),
+                 pa.array(sc, pa.float64())], names=["query_id", id_col, "score"])
+    return run

@@ -177,14 +177,67 @@ def _group_scorer(k: int, dim: int, exclude_self: bool):
 
 def clustered_knn(corpus: DataFrame, centroids: DataFrame, queries: DataFrame, k: int,
                   n_probe: int, *, query_id_col: str = "query_id", query_vec_col: str = "vec",
-                  exclude_self: bool = False,
-                  max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
+                  exclude_self: bool = False, max_group_rows: int = DEFAULT_MAX_GROUP_ROWS,
+                  max_block_bytes: int = DEFAULT_MAX_BLOCK_BYTES, method: str = "auto") -> DataFrame:
     """IVF search. ``corpus`` has ``(id, vec, cluster_id)``; returns
     ``(query_id, id, score, rank)``. With ``n_probe`` = #clusters it equals
-    :func:`exact_knn`."""
+    :func:`exact_knn`.
+
+    ``method="broadcast"`` (chosen by ``auto`` when the query vectors and the
+    probe lists fit ``max_block_bytes``): the corpus is read only for probed
+    clusters (a partition filter on ``cluster_id``) and scored in place
+    against the broadcast queries; no shuffle of the corpus.
+    ``method="cogroup"``: corpus and probing queries meet in groups keyed by
+    (cluster, doc sub-block, query sub-block), each bounded by
+    ``max_group_rows``, for query sets beyond the broadcast bound.
+    """
     dim = vector_width(centroids)
     probes = probe_clusters(queries, centroids, n_probe, query_id_col=query_id_col,
                             query_vec_col=query_vec_col).select("query_id", "cluster_id")
+    if method in ("auto", "broadcast"):
+        out = _clustered_broadcast(corpus, queries, probes, k, dim, query_id_col, query_vec_col,
+                                   exclude_self, max_block_bytes, n_probe, force=(method == "broadcast"))
+        if out is not None:
+            return out
+    return _clustered_cogroup(corpus, queries, probes, k, dim, query_id_col, query_vec_col,
+                              exclude_self, max_group_rows)
+
+
+def _clustered_broadcast(corpus, queries, probes, k, dim, query_id_col, query_vec_col, exclude_self,
+                         max_block_bytes, n_probe, force=False):
+    """Broadcast plan, or None when the query side exceeds the byte bound."""
+    spark = corpus.sparkSession
+    max_rows = max(1, max_block_bytes // (8 * (dim + n_probe)))
+    q = queries.select(F.col(query_id_col).alias("query_id"), V.to_double(query_vec_col).alias("qvec")) \
+        .where(F.col("qvec").isNotNull() & (F.size("qvec") == dim))
+    tbl = q.limit(max_rows + 1).toArrow()
+    if tbl.num_rows > max_rows and not force:
+        return None
+    qids = tbl.column("query_id").combine_chunks()
+    qmat = V.list_to_matrix(tbl.column("qvec"), dim)
+    pr = probes.toArrow()                                      # n_queries x n_probe rows
+    col_of = pc.index_in(pr.column("query_id"), value_set=qids).to_numpy(zero_copy_only=False)
+    cl = pr.column("cluster_id").to_numpy()
+    keep = ~np.isnan(col_of.astype(float)) if col_of.dtype.kind == "f" else np.ones(len(cl), bool)
+    col_of, cl = col_of[keep].astype(np.int64), cl[keep].astype(np.int64)
+    probe_lists = {int(c): np.sort(col_of[cl == c]) for c in np.unique(cl)}
+    bc = spark.sparkContext.broadcast((qids, qmat, probe_lists))
+    id_type = corpus.schema["id"].dataType.simpleString()
+    q_type = queries.schema[query_id_col].dataType.simpleString()
+    docs = corpus.select("id", F.col("cluster_id").cast("long").alias("cluster_id"),
+                         V.to_double("vec").alias("_v")) \
+        .where(F.col("cluster_id").isin(list(probe_lists)))       # partition pruning
+    docs = docs.where(F.col("_v").isNotNull() & (F.size("_v") == dim))
+
+    def kernel(batches):
+        ids_, mat_, lists_ = bc.value
+        return V.ivf_kernel(ids_, mat_, lists_, k, "id", "cluster_id", "_v", dim, exclude_self)(batches)
+    scored = docs.mapInArrow(kernel, f"query_id {q_type}, id {id_type}, score double")
+    return top_k(scored, k)
+
+
+def _clustered_cogroup(corpus, queries, probes, k, dim, query_id_col, query_vec_col, exclude_self,
+                       max_group_rows):
     docs = corpus.select(F.col("id"), F.col("cluster_id").cast("long"),
                          V.to_double("vec").alias("_v")) \
         .where(F.col("_v").isNotNull() & (F.size("_v") == dim))

@@ -88,13 +88,22 @@ def test_clustered_all_probes_equals_exact(spark, vectors):
     corpus = df.withColumn("cluster_id", F.col("label").cast("long"))
     q = df.where("id < 30").withColumnRenamed("id", "query_id")
     exact = as_dict(K.exact_knn(df, q, 5))
-    full = as_dict(K.clustered_knn(corpus, cen, q, 5, n_probe=6))
-    assert full == exact
-    # a hot cluster split into many cogroup groups gives the same answer
+    for method in ("broadcast", "cogroup"):
+        assert as_dict(K.clustered_knn(corpus, cen, q, 5, n_probe=6, method=method)) == exact
+    # a hot cluster split into many cogroup groups gives the broadcast answer
     hot = corpus.withColumn("cluster_id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("cluster_id")))
-    a = as_dict(K.clustered_knn(hot, cen, q, 5, n_probe=2))
-    b = as_dict(K.clustered_knn(hot, cen, q, 5, n_probe=2, max_group_rows=7))
+    a = as_dict(K.clustered_knn(hot, cen, q, 5, n_probe=2, method="broadcast"))
+    b = as_dict(K.clustered_knn(hot, cen, q, 5, n_probe=2, method="cogroup", max_group_rows=7))
     assert a == b
+    # the automatic choice falls back to cogroup beyond the byte bound
+    c = as_dict(K.clustered_knn(hot, cen, q, 5, n_probe=2, max_block_bytes=64))
+    assert c == a
+    # string ids and self exclusion agree between the two plans
+    sc = hot.withColumn("id", F.format_string("d%04d", "id"))
+    sq = sc.where("id < 'd0030'").withColumnRenamed("id", "query_id")
+    x = as_dict(K.clustered_knn(sc, cen, sq, 4, n_probe=3, exclude_self=True, method="broadcast"))
+    y = as_dict(K.clustered_knn(sc, cen, sq, 4, n_probe=3, exclude_self=True, method="cogroup"))
+    assert x == y and all(qid not in [i for i, _ in v] for qid, v in x.items())
 
 
 def test_kmeans_index(spark, vectors):
