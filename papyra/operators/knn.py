@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from papyra.functions import vectors as V
 
 DEFAULT_MAX_BLOCK_BYTES = 64 * 1024 * 1024
+MAX_UNION_BLOCKS = 64
 DEFAULT_MAX_GROUP_ROWS = 50_000
 DEFAULT_MAX_CENTROID_BYTES = 256 * 1024 * 1024
 
@@ -100,6 +101,7 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
     q_type = queries.schema[query_id_col].dataType.simpleString()
     schema = f"query_id {q_type}, {id_col} {id_type}, score double"
     parts = []
+    spill = None
     for ids, mat in _query_blocks(queries, query_id_col, query_vec_col, dim, max_block_bytes, n_queries):
         width = mat.shape[1]
         docs = corpus.select(F.col(id_col), V.to_double(vec_col).alias("_v")) \
@@ -110,6 +112,20 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
             qids, qmat = bc.value
             return V.score_kernel(qids, qmat, k, id_col, "_v", width, exclude_self)(batches)
         parts.append(docs.mapInArrow(kernel, schema))
+        if len(parts) >= MAX_UNION_BLOCKS or spill is not None:
+            # many blocks: run them as separate jobs appending local top-k rows
+            # to a scratch table, so the plan does not grow with the blocks
+            if spill is None:
+                from papyra.session import scratch_path
+                import uuid
+                spill = scratch_path(spark, f"knn-blocks-{uuid.uuid4().hex}")
+            for part in parts:
+                part.write.mode("append").parquet(spill)
+            parts = []
+    if spill is not None:
+        for part in parts:
+            part.write.mode("append").parquet(spill)
+        return top_k(spark.read.parquet(spill), k, id_col=id_col)
     if not parts:
         return spark.createDataFrame([], schema + ", rank int")
     scored = parts[0]

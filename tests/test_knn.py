@@ -55,6 +55,13 @@ def test_exact_blocks_self_and_string_ids(spark, vectors):
     one_block = as_dict(K.exact_knn(df, q, 5, exclude_self=True))
     many_blocks = as_dict(K.exact_knn(df, q, 5, exclude_self=True, max_block_bytes=2048))
     assert one_block == many_blocks
+    old_cap = K.MAX_UNION_BLOCKS
+    K.MAX_UNION_BLOCKS = 2                         # force the spill-to-table path
+    try:
+        spilled = as_dict(K.exact_knn(df, q, 5, exclude_self=True, max_block_bytes=2048))
+    finally:
+        K.MAX_UNION_BLOCKS = old_cap
+    assert spilled == one_block
     exp = brute(vectors, vectors, 5, exclude_self=True)
     assert {k: [i for i, _ in v] for k, v in one_block.items()} == \
            {k: [int(i) for i, _ in v] for k, v in exp.items()}
