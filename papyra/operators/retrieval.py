@@ -188,9 +188,14 @@ def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None,
     built-in encoder over ``combined_text``; only ``(doc_id, text)`` crosses
     into Python, and the vectors stay lazy (read by one scan per query
     block)."""
-    p = materialize(papers, "papers") if materialize_inputs else papers
+    # combined_text is title + ". " + abstract: not stored twice, rebuilt for encoding
+    stored = papers.drop("combined_text") if "title" in papers.columns else papers
+    p = materialize(stored, "papers") if materialize_inputs else stored
     if dv is None:
-        dv = E.hash_encode(p.select("doc_id", "combined_text"), "combined_text", "vec").select("doc_id", "vec")
+        text = F.concat(F.col("title"), F.lit(". "), F.col("abstract")) if "combined_text" not in p.columns \
+            else F.col("combined_text")
+        dv = E.hash_encode(p.select("doc_id", text.alias("combined_text")), "combined_text", "vec") \
+            .select("doc_id", "vec")
     dv = dv.select("doc_id", "vec")
     if materialize_vectors:      # shared by several searches: encode once
         dv = materialize(dv, "vectors")

@@ -17,9 +17,10 @@ REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 
 def register(name: str, sql: str | None):
     def deco(fn: Builder) -> Builder:
-        if name in REGISTRY:
-            raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, sql)
+        prev = REGISTRY.get(name)
+        if prev is not None and prev[0].__module__ != fn.__module__:
+            raise ValueError(f"query {name} registered by two modules")
+        REGISTRY[name] = (fn, sql)            # a re-imported module re-registers its own
         return fn
     return deco
 
