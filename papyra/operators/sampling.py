@@ -45,11 +45,11 @@ def sample_diverse(df: DataFrame, n: int, seed: int = 42, id_col: str = "id",
     picked = members.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= per_cat)
     first = Window.partitionBy(id_col).orderBy("cat_rank", "pos")
     chosen = picked.withColumn("k", F.row_number().over(first)).where(F.col("k") == 1) \
-        .select(id_col, (F.col("cat_rank") * (per_cat + 1) + F.col("pos")).alias("sample_order"))
+        .select(id_col, (F.col("cat_rank") * (per_cat + 1) + F.col("pos")).cast("long").alias("sample_order"))
     # top-up: random papers not chosen yet, ordered after every chosen one
     rest = df.select(id_col).join(chosen, id_col, "left_anti") \
         .orderBy(random_key(id_col, seed), id_col).limit(n) \
-        .withColumn("sample_order", F.lit(10 ** 9) + F.row_number().over(
-            Window.orderBy(random_key(id_col, seed), id_col)))
+        .withColumn("sample_order", (F.lit(10 ** 9) + F.row_number().over(
+            Window.orderBy(random_key(id_col, seed), id_col))).cast("long"))
     both = chosen.unionByName(rest).orderBy("sample_order").limit(n)
     return df.join(both, id_col)

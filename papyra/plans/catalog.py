@@ -15,12 +15,36 @@ Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's ``count_if`` returns a 128-bit integer; cast it to BIGINT so
+    the oracle's column types equal Spark's ``count_if`` (bigint)."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        out.append(sql[i:j])
+        inner = sql[j + len(key):k]            # argument text between the parentheses
+        out.append("CAST(count_if(" + _bigint_count_if(inner) + ") AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None):
     def deco(fn: Builder) -> Builder:
         prev = REGISTRY.get(name)
         if prev is not None and prev[0].__module__ != fn.__module__:
             raise ValueError(f"query {name} registered by two modules")
-        REGISTRY[name] = (fn, sql)            # a re-imported module re-registers its own
+        REGISTRY[name] = (fn, _bigint_count_if(sql) if sql else sql)   # re-import re-registers
         return fn
     return deco
 

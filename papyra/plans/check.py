@@ -75,6 +75,10 @@ def compare(spark, sf_dir: str, name: str, builder, sql, con=None) -> dict:
     res["oracle_rows"] = len(dk)
     scols, srows = rows_of(sp)
     dcols, drows = rows_of(dk)
+    kinds = lambda df: {c: str(df[c].dtype) for c in df.columns}
+    sk, dkinds = kinds(sp), kinds(dk)
+    res["dtype_diffs"] = {c: (sk[c], dkinds.get(c)) for c in sk
+                          if c in dkinds and sk[c] != dkinds[c] and "object" not in (sk[c], dkinds[c])}
     res["schema_match"] = scols == dcols
     res["rows_match"] = len(srows) == len(drows)
     res["values_match"] = res["schema_match"] and srows == drows

@@ -95,7 +95,7 @@ def knn_clustered(spark, sf_dir):
 SELECT cluster_id, CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS pos, round(unnest(vec), 6) AS value FROM cen""")
 def centroids(spark, sf_dir):
     cen = K.label_centroids(A.vectors(spark, sf_dir), "label")
-    return cen.select(F.col("cluster_id").cast("long"), F.posexplode("vec").alias("pos", "value")) \
+    return cen.select("cluster_id", F.posexplode("vec").alias("pos", "value")) \
         .withColumn("value", V.round_score("value"))
 
 
