@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import chat, pii
+from papyra.llm import chat, pii, simhash, toxicity
 from papyra.llm.common import read_table
 
 
@@ -40,7 +40,18 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2))
+
+
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op3_pii": (op3_pii, None),
+    "op7_toxicity": (op7_toxicity, None),
+    "op8_simhash": (op8_simhash, None),
 }
