@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, mixing, pii, simhash, topk, toxicity
+from papyra.llm import chat, mixing, pii, simhash, suffix_array, suffix_tree, topk, toxicity
 from papyra.llm.common import read_table
 
 
@@ -41,6 +41,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
@@ -67,6 +71,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=2))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, power=0.5, block_rows=16, period=1000).drop("text")
@@ -75,8 +83,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op3_pii": (op3_pii, None),
+    "op5_suffix_array": (op5_suffix_array, None),
     "op6_topk": (op6_topk, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),
     "op8_simhash": (op8_simhash, None),
+    "op9_suffix_tree": (op9_suffix_tree, None),
     "op10_mix_sources": (op10_mix_sources, None),
 }
