@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, mixing, pii, simhash, suffix_array, suffix_tree, topk, toxicity
+from papyra.llm import chat, line_runs, mixing, pii, simhash, suffix_array, suffix_tree, topk, toxicity
 from papyra.llm.common import read_table
 
 
@@ -41,6 +41,30 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(read_table(spark, sf_dir, "documents"), min_lines=1)
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS x FROM p),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
+             row_number() OVER (PARTITION BY x ORDER BY doc_id, n) > 1 AS gone FROM l WHERE length(trim(x)) > 0),
+m AS (SELECT l.*, COALESCE(c.gone, false) AS gone FROM l LEFT JOIN c USING (doc_id, n)),
+r AS (SELECT *, gone AND NOT COALESCE(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS head FROM m),
+same AS (SELECT a.doc_id, b.doc_id AS other, a.i - b.i AS shift, a.i
+         FROM c a JOIN c b ON a.x = b.x AND (a.doc_id <> b.doc_id OR a.i <> b.i)),
+runs AS (SELECT doc_id, count(*) AS size FROM (
+           SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS g FROM same)
+         GROUP BY doc_id, other, shift, g),
+longest AS (SELECT doc_id, max(size) AS most FROM runs GROUP BY doc_id)
+SELECT r.doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+  CAST(count(*) FILTER (head) AS BIGINT) AS n_runs, COALESCE(any_value(most), 0) AS longest_repeat,
+  sha256(COALESCE(string_agg(x, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+FROM r LEFT JOIN longest USING (doc_id) GROUP BY r.doc_id
+"""
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -83,6 +107,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op3_pii": (op3_pii, None),
+    "op4_line_runs": (op4_line_runs, OP4_SQL),
     "op5_suffix_array": (op5_suffix_array, None),
     "op6_topk": (op6_topk, OP6_SQL),
     "op7_toxicity": (op7_toxicity, None),

@@ -136,9 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> dict:
         return {"bias": math.log((toxic + 0.5) / (clean + 0.5)) if rows else math.log(0.02 / 0.98), "weights": {}}
     words = F.array(*[F.lit(w) for w in vocab])
     keep = lambda c: F.array_intersect(c, words)
-    sample = staged.df.select("y", keep("words").alias("x"), F.transform(
-        "pairs", lambda p: F.struct(keep(p["plain"]).alias("a"), keep(p["swapped"]).alias("b"))).alias("pairs")) \
-        .orderBy("y", F.to_json("x"), F.to_json("pairs")).collect()
+    sample = sorted(staged.df.select("y", keep("words").alias("x"), F.transform(
+        "pairs", lambda p: F.struct(keep(p["plain"]).alias("a"), keep(p["swapped"]).alias("b"))).alias("pairs")).collect())
     staged.drop()
     index = {w: i for i, w in enumerate(vocab)}
     data, labels_, deltas = [], [], []
