@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, line_runs, mixing, pii, simhash, suffix_array, suffix_tree, topk, toxicity
+from papyra.llm import chat, decontaminate, line_runs, mixing, pii, simhash, suffix_array, suffix_tree, topk, toxicity
 from papyra.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ FROM s GROUP BY conv_id
 """
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read_table(spark, sf_dir, "documents"))
 
@@ -106,6 +110,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
+    "op2_decontaminate": (op2_decontaminate, None),
     "op3_pii": (op3_pii, None),
     "op4_line_runs": (op4_line_runs, OP4_SQL),
     "op5_suffix_array": (op5_suffix_array, None),
