@@ -1,10 +1,10 @@
 """Built-in text encoder, query expansion and pair scorer.
 
 The default encoder is a hashed bag of words: word tokens (lower-cased,
-split on anything that is not a letter or digit, first 512 tokens), each
-hashed with md5 into one of ``dim`` buckets, counts L2-normalised. Token and
-bucket computation are JVM column expressions; only the dense bucket count
-runs in an Arrow kernel (one ``bincount`` per batch). Any other encoder (a
+split on anything that is not a letter or digit, all tokens), each hashed
+with md5 into one of ``dim`` buckets, counts L2-normalised. Token and bucket
+computation are JVM column expressions; only the dense bucket count runs in
+an Arrow kernel (one ``bincount`` per batch). Any other encoder (a
 sentence model, say) plugs in through ``papyra.functions.plugins``.
 """
 
@@ -17,7 +17,6 @@ from pyspark.sql import types as Ty
 from papyra.functions import vectors as V
 
 ENCODER_DIM = 256
-MAX_TOKENS = 512
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # The query-expansion dictionary (term -> added text), in order.
@@ -62,15 +61,17 @@ def tokens(text) -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
-def buckets(text, dim: int = ENCODER_DIM, max_tokens: int = MAX_TOKENS) -> Column:
+def buckets(text, dim: int = ENCODER_DIM, max_tokens: int | None = None) -> Column:
     def bucket(t):
         return F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
-    return F.transform(F.slice(tokens(text), 1, max_tokens), bucket)
+    t = tokens(text)
+    return F.transform(t if max_tokens is None else F.slice(t, 1, max_tokens), bucket)
 
 
 def hash_encode(df: DataFrame, text_col: str, out_col: str = "vec", dim: int = ENCODER_DIM,
-                max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Append ``out_col`` (unit ``array<double>``; zero vector for blank text)."""
+                max_tokens: int | None = None) -> DataFrame:
+    """Append ``out_col`` (unit ``array<double>``; zero vector for blank text).
+    All tokens count unless ``max_tokens`` sets a limit."""
     tmp = "_buckets"
     staged = df.withColumn(tmp, F.coalesce(buckets(text_col, dim, max_tokens),
                                            F.array().cast("array<bigint>")))

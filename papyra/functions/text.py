@@ -165,10 +165,6 @@ def word_count(c) -> Column:
     return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, WS_RUN)))
 
 
-def char_count(c) -> Column:
-    return F.length(_c(c))
-
-
 def snippet(abstract, ai_summary=None, max_length: int = 200) -> Column:
     """Summary if present; else the abstract if short; else cut at the last
     '.' when it lies past 70 % of the budget; else cut and add '...'."""
@@ -294,7 +290,7 @@ def format_categories(arr, limit: int = 3) -> Column:
 def format_file_size(c) -> Column:
     """1024-step units with two decimals (half-even, like Python's round)."""
     n = _c(c).cast("double")
-    i = F.floor(F.log(1024.0, n)).cast("int")
+    i = F.least(F.floor(F.log(1024.0, n)).cast("int"), F.lit(len(SIZE_UNITS) - 1))
     value = F.bround(n / F.pow(F.lit(1024.0), i), 2)
     unit = F.element_at(F.array(*[F.lit(u) for u in SIZE_UNITS]), i + 1)
     return F.when(n == 0, F.lit("0B")).otherwise(F.concat(value.cast("string"), F.lit(" "), unit))

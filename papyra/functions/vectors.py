@@ -47,11 +47,6 @@ def normalize(a) -> Column:
                        lambda ss: F.transform(v, lambda x: F.when(ss > 0, x / F.sqrt(ss)).otherwise(x * 0.0)))
 
 
-def cosine(a, b, eps: float = EPS) -> Column:
-    """Cosine with ``eps`` added to both norms (zero vectors score 0)."""
-    return dot(a, b) / ((norm(a) + eps) * (norm(b) + eps))
-
-
 def blend(a, b, wa: float, wb: float) -> Column:
     """``wa*a + wb*b`` re-normalised."""
     return normalize(F.zip_with(_c(a), _c(b), lambda x, y: x * wa + y * wb))
@@ -123,14 +118,61 @@ def top_k_per_column(scores: np.ndarray, ties: np.ndarray, k: int):
     return rows[keep], cols[keep], s[keep]
 
 
+class RunningTopK:
+    """The best ``k`` rows per query over all batches of a task. Rows below a
+    query's k-th score so far are dropped on arrival; the buffer is cut back
+    whenever it holds several times what can survive."""
+
+    def __init__(self, n_queries: int, k: int, id_col: str):
+        self.k, self.id_col = k, id_col
+        self.kth = np.full(n_queries, -np.inf)
+        self.limit = max(4 * n_queries * k, 200_000)
+        self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, cols: np.ndarray, ids: pa.Array, scores: np.ndarray) -> None:
+        keep = scores >= self.kth[cols]
+        if not keep.all():
+            cols, ids, scores = cols[keep], ids.filter(pa.array(keep)), scores[keep]
+        if len(cols):
+            self.parts.append((cols, ids, scores))
+            self.size += len(cols)
+            if self.size > self.limit:
+                self._cut()
+
+    def _cut(self) -> None:
+        cols = np.concatenate([c for c, _, _ in self.parts])
+        ids = pa.concat_arrays([i for _, i, _ in self.parts])
+        scores = np.concatenate([x for _, _, x in self.parts])
+        order = np.lexsort((tie_keys(ids), -scores, cols))
+        cols, scores = cols[order], scores[order]
+        start = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]])
+        rank = np.arange(len(cols)) - np.repeat(start, np.diff(np.r_[start, len(cols)]))
+        keep = rank < self.k
+        last = rank == self.k - 1
+        self.kth[cols[last]] = scores[last]
+        self.parts = [(cols[keep], ids.take(pa.array(order[keep])), scores[keep])]
+        self.size = int(keep.sum())
+
+    def batches(self, query_ids: pa.Array, rows: int = 100_000):
+        if self.parts:
+            self._cut()
+            cols, ids, scores = self.parts[0]
+            for i in range(0, len(cols), rows):
+                yield pa.RecordBatch.from_arrays(
+                    [query_ids.take(pa.array(cols[i:i + rows], pa.int64())), ids.slice(i, rows),
+                     pa.array(scores[i:i + rows], pa.float64())], names=["query_id", self.id_col, "score"])
+
+
 def score_kernel(query_ids: pa.Array, query_mat: np.ndarray, k: int, id_col: str,
                  vec_col: str, dim: int, exclude_self: bool, chunk_cells: int = 8_000_000):
     """Build the ``mapInArrow`` function: each batch of corpus vectors is scored
-    against the broadcast query block and only each query's local top-k leaves
-    the task. Ids may be integers or strings."""
+    against the query block and only each query's top-k of the whole task
+    leaves it. Ids may be integers or strings."""
     qn = unit_rows(query_mat)
 
     def run(batches):
+        best = RunningTopK(len(query_ids), k, id_col)
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -151,14 +193,13 @@ def score_kernel(query_ids: pa.Array, query_mat: np.ndarray, k: int, id_col: str
                     inside = (self_cols >= lo) & (self_cols < lo + q.shape[0])
                     s[self_rows[inside], self_cols[inside] - lo] = -np.inf
                 rows, cols, sc = top_k_per_column(s, ties, k)
-                yield pa.RecordBatch.from_arrays(
-                    [query_ids.take(pa.array(lo + cols, pa.int64())), ids.take(pa.array(rows, pa.int64())),
-                     pa.array(sc, pa.float64())], names=["query_id", id_col, "score"])
+                best.add(lo + cols, ids.take(pa.array(rows, pa.int64())), sc)
+        yield from best.batches(query_ids)
     return run
 
 
 def nearest_rows_kernel(ref_ids: np.ndarray, ref_mat: np.ndarray, k: int, id_col: str,
-                        vec_col: str, dim: int, out_col: str):
+                        vec_col: str, dim: int, out_col: str, chunk_cells: int = 8_000_000):
     """Per scanned row, the ``k`` nearest rows of a small broadcast matrix
     (e.g. cluster centroids): output ``(id, out_col, probe_rank, score)``."""
     rn = unit_rows(ref_mat)
@@ -171,17 +212,17 @@ def nearest_rows_kernel(ref_ids: np.ndarray, ref_mat: np.ndarray, k: int, id_col
                 continue
             ids = batch.column(id_col)
             d = unit_rows(list_to_matrix(batch.column(vec_col), dim))
-            s = np.round(d @ rn.T, SCORE_DECIMALS)               # (n, c)
-            kk = min(k, s.shape[1])
-            # sort each row by (score desc, ref id asc)
-            order = np.lexsort((np.broadcast_to(order_ids, s.shape), -s), axis=1)[:, :kk]
-            sc = np.take_along_axis(s, order, axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.repeat(np.arange(n), kk), pa.int64())),
-                 pa.array(order_ids[order].ravel(), pa.int64()),
-                 pa.array(np.tile(np.arange(1, kk + 1), n), pa.int32()),
-                 pa.array(sc.ravel(), pa.float64())],
-                names=[id_col, out_col, "probe_rank", "score"])
+            step = max(1, chunk_cells // len(rn))
+            for lo in range(0, n, step):
+                s = np.round(d[lo:lo + step] @ rn.T, SCORE_DECIMALS)
+                # per scanned row: (score desc, ref id asc)
+                refs, row, sc = top_k_per_column(s.T, order_ids, k)
+                first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(lo + row, pa.int64())), pa.array(order_ids[refs], pa.int64()),
+                     pa.array(rank + 1, pa.int32()), pa.array(sc, pa.float64())],
+                    names=[id_col, out_col, "probe_rank", "score"])
     return run
 
 
@@ -210,14 +251,16 @@ def bucket_count_kernel(bucket_col: str, dim: int, out_col: str):
 
 
 def ivf_kernel(query_ids: pa.Array, query_mat: np.ndarray, probes: dict, k: int, id_col: str,
-               cluster_col: str, vec_col: str, dim: int, exclude_self: bool):
+               cluster_col: str, vec_col: str, dim: int, exclude_self: bool, chunk_cells: int = 8_000_000):
     """Clustered scoring against a broadcast query block: within a batch, the
     rows of each cluster are scored only against the queries that probe that
-    cluster (``probes``: cluster id -> query column indices)."""
+    cluster (``probes``: cluster id -> query column indices), a bounded number
+    of cells at a time; each query's top-k of the whole task leaves it."""
     qn = unit_rows(query_mat)
     qid_np = np.asarray(query_ids.to_pylist(), dtype=object) if exclude_self else None
 
     def run(batches):
+        best = RunningTopK(len(query_ids), k, id_col)
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -227,23 +270,18 @@ def ivf_kernel(query_ids: pa.Array, query_mat: np.ndarray, probes: dict, k: int,
             clusters = batch.column(cluster_col).to_numpy(zero_copy_only=False).astype(np.int64)
             d = unit_rows(list_to_matrix(batch.column(vec_col), dim))
             id_np = np.asarray(ids.to_pylist(), dtype=object) if exclude_self else None
-            out_rows, out_cols, out_sc = [], [], []
             for c in np.unique(clusters):
-                js = probes.get(int(c))
-                if js is None:
+                probing = probes.get(int(c))
+                if probing is None:
                     continue
                 r = np.flatnonzero(clusters == c)
-                s = np.round(d[r] @ qn[js].T, SCORE_DECIMALS)
-                if exclude_self:
-                    s[id_np[r][:, None] == qid_np[js][None, :]] = -np.inf
-                rows, cols, sc = top_k_per_column(s, ties[r], k)
-                out_rows.append(r[rows])
-                out_cols.append(js[cols])
-                out_sc.append(sc)
-            if not out_rows:
-                continue
-            rows, cols, sc = np.concatenate(out_rows), np.concatenate(out_cols), np.concatenate(out_sc)
-            yield pa.RecordBatch.from_arrays(
-                [query_ids.take(pa.array(cols, pa.int64())), ids.take(pa.array(rows, pa.int64())),
-                 pa.array(sc, pa.float64())], names=["query_id", id_col, "score"])
+                step = max(1, chunk_cells // len(r))
+                for lo in range(0, len(probing), step):
+                    js = probing[lo:lo + step]
+                    s = np.round(d[r] @ qn[js].T, SCORE_DECIMALS)
+                    if exclude_self:
+                        s[id_np[r][:, None] == qid_np[js][None, :]] = -np.inf
+                    rows, cols, sc = top_k_per_column(s, ties[r], k)
+                    best.add(js[cols], ids.take(pa.array(r[rows], pa.int64())), sc)
+        yield from best.batches(query_ids)
     return run

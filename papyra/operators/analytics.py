@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
@@ -57,30 +57,44 @@ def text_statistics(texts: DataFrame, col: str) -> DataFrame:
     return stats.where(F.col("total_texts") > 0)
 
 
+def _counts_with_total(papers: DataFrame) -> DataFrame:
+    """(category, n, total): each paper also counts once under a marker, so the
+    total comes out of the same pass. The window runs over the counts only (one
+    row a category)."""
+    marker = F.array(F.lit(None).cast("string"))
+    rows = papers.select(F.posexplode(F.concat(
+        marker, F.coalesce("categories", F.array().cast("array<string>")))).alias("pos", "category"))
+    n = rows.groupBy((F.col("pos") == 0).alias("all"), "category").agg(F.count(F.lit(1)).alias("n"))
+    total = F.max(F.when(F.col("all"), F.col("n"))).over(Window.partitionBy())
+    return n.withColumn("total", total).where(~F.col("all")).select("category", "n", "total")
+
+
 def trending_categories(papers: DataFrame, asof: dt.date, period_days: int = 30) -> DataFrame:
     """Category counts among papers updated in the last ``period_days``
     (inclusive of the cut-off), with the window size and paper count."""
     cutoff = F.lit(asof).cast("timestamp") - F.make_interval(days=F.lit(period_days))
-    recent = papers.where(F.col("update_date") >= cutoff)
-    total = recent.agg(F.count(F.lit(1))).scalar()
-    return category_distribution(recent) \
-        .withColumn("total_papers", total).withColumn("period_days", F.lit(period_days))
+    return _counts_with_total(papers.where(F.col("update_date") >= cutoff)).select(
+        "category", "n", F.col("total").alias("total_papers"), F.lit(period_days).alias("period_days"))
 
 
 def category_share(papers: DataFrame, n: int = 5) -> DataFrame:
     """Top categories with their share of papers in percent."""
-    total = papers.agg(F.count(F.lit(1))).scalar()
-    return top_categories(papers, n).withColumn("pct", F.round(F.col("n") * 100.0 / total, 6))
+    return _counts_with_total(papers).orderBy(F.col("n").desc(), F.col("category")).limit(n).select(
+        "category", "n", F.round(F.col("n") * 100.0 / F.col("total"), 6).alias("pct"))
 
 
 def corpus_kpis(papers: DataFrame, asof: dt.date) -> DataFrame:
-    """Papers, int(mean words), distinct authors, papers newer than 365 days."""
+    """Papers, int(mean words), distinct authors, papers newer than 365 days,
+    in one pass: a paper's own figures ride on its first author row."""
     cutoff = F.lit(asof).cast("timestamp") - F.make_interval(days=F.lit(365))
-    base = papers.agg(F.count(F.lit(1)).alias("papers"),
-                      F.floor(F.avg("word_count")).cast("long").alias("avg_words"),
-                      F.count_if(F.col("update_date") > cutoff).alias("recent_papers"))
-    authors = distinct_authors(papers).withColumnRenamed("unique_authors", "authors")
-    return base.withColumn("authors", authors.scalar())
+    marker = F.array(F.lit(None).cast("string"))
+    rows = papers.select("word_count", "update_date", F.posexplode(F.concat(
+        marker, F.coalesce("authors", F.array().cast("array<string>")))).alias("pos", "author"))
+    own = F.col("pos") == 0
+    return rows.agg(F.count_if(own).alias("papers"),
+                    F.floor(F.avg(F.when(own, F.col("word_count")))).cast("long").alias("avg_words"),
+                    F.count_if(own & (F.col("update_date") > cutoff)).alias("recent_papers"),
+                    F.count_distinct(F.when(~own, F.col("author"))).alias("authors"))
 
 
 NUMERIC_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
@@ -107,3 +121,20 @@ def describe(df: DataFrame, cols) -> DataFrame:
 def value_counts(df: DataFrame, array_col: str = "categories") -> DataFrame:
     return df.select(F.explode(array_col).alias("value")).groupBy("value") \
         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "value")
+
+
+def describe_text(df: DataFrame, cols) -> DataFrame:
+    """``(column, stat, value)`` for text columns: count, unique, top (most
+    frequent value, ties by value) and freq, as text. One grouped count per
+    column; the most frequent value is a partial maximum over those counts."""
+    out = None
+    for c in cols:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(
+            F.count(F.lit(1)).alias("n"))
+        one = counts.agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"),
+                         F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("top"), F.max("n").alias("freq"))
+        long = one.select(*[F.coalesce(F.col(x).cast("string"), F.lit("0" if x in ("count", "unique") else None))
+                            .alias(x) for x in one.columns]).unpivot([], ["count", "unique", "top", "freq"], "stat", "value")
+        long = long.select(F.lit(c).alias("column"), "stat", "value")
+        out = long if out is None else out.unionByName(long)
+    return out

@@ -13,18 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from papyra.session import path_exists
+
 
 def unseen(incoming: DataFrame, index: DataFrame, id_col: str = "id", index_id: str = "id") -> DataFrame:
     """Incoming rows whose id is not in the index (left anti join)."""
-    keys = index.select(F.col(index_id).alias(id_col)).distinct()
-    return incoming.join(keys, id_col, "left_anti")
+    return incoming.join(index.select(F.col(index_id).alias(id_col)), id_col, "left_anti")
 
 
 def already_indexed(incoming: DataFrame, index: DataFrame, id_col: str = "id",
                     index_id: str = "id") -> DataFrame:
     """Incoming rows whose id is already in the index (left semi join)."""
-    keys = index.select(F.col(index_id).alias(id_col)).distinct()
-    return incoming.join(keys, id_col, "left_semi")
+    return incoming.join(index.select(F.col(index_id).alias(id_col)), id_col, "left_semi")
 
 
 def update_stats(incoming: DataFrame, index: DataFrame, id_col: str = "id",
@@ -47,14 +47,9 @@ def first_per_id(df: DataFrame, id_col: str = "id", order_cols=None) -> DataFram
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
 
 
-def rows_to_add(batch: DataFrame, index: DataFrame, id_col: str = "id", order_cols=None) -> DataFrame:
-    """De-duplicate a batch, then drop ids the index already holds."""
-    return unseen(first_per_id(batch, id_col, order_cols), index, id_col, id_col)
-
-
 def remove(index: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Index without the given ids."""
-    return index.join(ids.select(id_col).distinct(), id_col, "left_anti")
+    return index.join(ids.select(id_col), id_col, "left_anti")
 
 
 def index_stats(index: DataFrame, vec_col: str = "vec", cluster_col: str | None = "cluster_id",
@@ -68,22 +63,37 @@ def index_stats(index: DataFrame, vec_col: str = "vec", cluster_col: str | None
     return index.groupBy("model").agg(*aggs)
 
 
+ROWS_PER_FILE = 250_000
+
+
 def write_index(vectors: DataFrame, path: str, centroids: DataFrame | None = None,
-                mode: str = "overwrite") -> None:
-    """Persist vectors partitioned by (model, cluster_id) and the centroids."""
+                mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Persist vectors partitioned by (model, cluster_id) and the centroids. A
+    cluster is written by as many tasks as its size asks for, so a hot one
+    is neither one task nor one file."""
     parts = [c for c in ("model", "cluster_id") if c in vectors.columns]
-    vectors.repartition(*parts).write.mode(mode).partitionBy(*parts).parquet(f"{path}/vectors")
+    if parts:
+        sizes = vectors.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+        salted = vectors.join(sizes, parts).withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_files")))
+        vectors = salted.repartition(*parts, "_salt").drop("_files", "_salt")
+    vectors.write.mode(mode).partitionBy(*parts).parquet(f"{path}/vectors")
     if centroids is not None:
         centroids.write.mode(mode).parquet(f"{path}/centroids")
 
 
 def read_index(spark: SparkSession, path: str):
+    """(vectors, centroids); a flat index has no centroids."""
     v = spark.read.parquet(f"{path}/vectors")
-    try:
-        c = spark.read.parquet(f"{path}/centroids")
-    except Exception:  # a flat index has no centroids
-        c = None
-    return v, c
+    return v, spark.read.parquet(f"{path}/centroids") if path_exists(spark, f"{path}/centroids") else None
+
+
+def needs_encoding(papers: DataFrame, index: DataFrame, model: str, hybrid: bool,
+                   text_col: str = "combined_text") -> DataFrame:
+    """Papers without a stored vector under the full key (id, model, hybrid,
+    hash of the text), with ``text_md5``."""
+    keyed = papers.withColumn("text_md5", F.md5(F.col(text_col)))
+    stored = index.where((F.col("model") == model) & (F.col("hybrid") == F.lit(hybrid))).select("id", "text_md5")
+    return keyed.join(stored, ["id", "text_md5"], "left_anti")
 
 
 def indexed_ids(index: DataFrame, id_col: str = "id") -> DataFrame:

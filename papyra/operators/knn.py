@@ -1,18 +1,25 @@
 """Exact and clustered k-nearest-neighbour search over vector tables.
 
-Exact search (the "Flat" index): the query side is collected in blocks whose
-byte size is checked against ``max_block_bytes`` and broadcast; the corpus is
-scanned once per block by a ``mapInArrow`` BLAS kernel that emits only each
-query's local top-k per Arrow batch. The global top-k is a ``row_number``
-window, which Spark plans as a partial ``WindowGroupLimit`` before the shuffle,
-so at most k rows per (task, query) cross the network.
+Exact search (the "Flat" index): queries whose vectors fit ``max_block_bytes``
+(counted first) are collected once and broadcast; the corpus is scanned once by
+a ``mapInArrow`` BLAS kernel that keeps each query's top-k over the whole task.
+A larger query side never leaves the executors: queries and corpus are cut
+into blocks of bounded size, and each (query block, corpus block) pair is a
+cogrouped task, so the corpus is copied once per query block. The global top-k
+is a ``row_number`` window, which Spark plans as a partial ``WindowGroupLimit``
+before the shuffle; few queries are merged in two levels, so that no task gets
+all partial results of a query.
 
 Clustered search (the "IVF" index): vectors carry a ``cluster_id``; each query
-probes its ``n_probe`` nearest centroids (centroids are a bounded broadcast).
-Scoring happens in cogrouped groups keyed by (cluster, doc sub-block, query
-sub-block): cluster sizes decide how many sub-blocks a cluster is split into,
-so a hot cluster holding a large share of all rows is spread over many tasks
-instead of landing in one.
+probes its ``n_probe`` nearest centroids (broadcast within a checked bound,
+searched as a distributed corpus beyond it). Scoring happens in place against
+broadcast queries, or in cogrouped groups keyed by (cluster, doc sub-block,
+query sub-block): cluster sizes decide how many sub-blocks a cluster is split
+into, so a hot cluster holding a large share of all rows is spread over many
+tasks instead of landing in one.
+
+Vectors must have one width: a row of another width fails the job. Null
+vectors are skipped.
 """
 
 from __future__ import annotations
@@ -21,6 +28,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,9 +36,10 @@ from pyspark.sql import functions as F
 from papyra.functions import vectors as V
 
 DEFAULT_MAX_BLOCK_BYTES = 64 * 1024 * 1024
-MAX_UNION_BLOCKS = 64
 DEFAULT_MAX_GROUP_ROWS = 50_000
 DEFAULT_MAX_CENTROID_BYTES = 256 * 1024 * 1024
+FEW_QUERIES, MERGE_SALTS = 64, 32
+SCORE_CELLS = 8_000_000
 
 
 def vector_width(df: DataFrame, vec_col: str = "vec") -> int:
@@ -40,50 +49,24 @@ def vector_width(df: DataFrame, vec_col: str = "vec") -> int:
     return int(row["d"])
 
 
-def top_k(scored: DataFrame, k: int, partition_cols=("query_id",), score_col: str = "score",
-          id_col: str = "id", rank_col: str = "rank") -> DataFrame:
-    """Per-partition top-k by (score desc, id asc) with a 1-based rank."""
-    w = Window.partitionBy(*partition_cols).orderBy(F.col(score_col).desc(), F.col(id_col).asc())
-    return scored.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
-
+def fixed_width(vec, width: int):
+    """The vector as doubles; another width fails the job with both numbers."""
+    v = V.to_double(vec)
+    return F.when(F.size(v) == width, v).otherwise(F.raise_error(
+        F.format_string(f"a vector has %d components, expected {width}", F.size(v))))
 
-def _query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None, max_block_bytes: int,
-                  n_queries: int | None = None, assumed_dim: int = 1024):
-    """Yield (ids, matrix) blocks of the query side, each within the byte bound.
 
-    One bounded job first: at most ``max_rows + 1`` rows are collected (the
-    width is then read off the block). Only when that overflows is the query
-    side counted and split into hash blocks, one collect per block.
-    ``n_queries`` (an upper bound on the row count) is a hint for the same
-    decision.
-    """
-    q = queries.select(F.col(qid).alias("qid"), V.to_double(qvec).alias("qvec")) \
-        .where(F.col("qvec").isNotNull())
-    if dim is not None:
-        q = q.where(F.size("qvec") == dim)
-    max_rows = max(1, max_block_bytes // (8 * (dim or assumed_dim)))
-    if n_queries is None or n_queries <= max_rows:
-        tbl = q.limit(max_rows + 1).toArrow()
-        if tbl.num_rows <= max_rows:
-            if tbl.num_rows == 0:
-                return
-            vecs = tbl.column("qvec").combine_chunks()
-            width = dim or len(vecs[0].values)
-            if dim is None:   # keep the rows of the common width, as the corpus side does
-                keep = pc.equal(pc.list_value_length(vecs), width)
-                tbl = tbl.filter(keep)
-                vecs = tbl.column("qvec").combine_chunks()
-            yield tbl.column("qid").combine_chunks(), V.list_to_matrix(vecs, width)
-            return
-    dim = dim or vector_width(queries, qvec)
-    q = q.where(F.size("qvec") == dim)
-    n = q.count() if n_queries is None else n_queries
-    n_blocks = max(1, math.ceil(n * dim * 8 / max_block_bytes))
-    for b in range(n_blocks):
-        tbl = q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b).toArrow()
-        if tbl.num_rows == 0:
-            continue
-        yield tbl.column("qid").combine_chunks(), V.list_to_matrix(tbl.column("qvec"), dim)
+def top_k(scored: DataFrame, k: int, partition_cols=("query_id",), score_col: str = "score",
+          id_col: str = "id", rank_col: str = "rank", levels: int = 1) -> DataFrame:
+    """Per-partition top-k by (score desc, id asc) with a 1-based rank.
+    ``levels=2`` first cuts to k rows per (partition, hash of the id)."""
+    order = [F.col(score_col).desc(), F.col(id_col).asc()]
+    if levels == 2:
+        salted = Window.partitionBy(*partition_cols, "_salt").orderBy(*order)
+        scored = scored.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(MERGE_SALTS))) \
+            .withColumn("_r", F.row_number().over(salted)).where(F.col("_r") <= k).drop("_r", "_salt")
+    w = Window.partitionBy(*partition_cols).orderBy(*order)
+    return scored.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
 
 
 def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "id",
@@ -94,44 +77,59 @@ def exact_knn(corpus: DataFrame, queries: DataFrame, k: int, *, id_col: str = "i
 
     Scores are rounded to 6 decimals before ranking and ties go to the smaller
     id, so results are deterministic. ``exclude_self`` drops corpus rows whose
-    id equals the query id. Ids may be integers or strings.
+    id equals the query id. Ids may be integers or strings. ``n_queries`` is
+    an upper bound of the number of queries, if one is known.
     """
-    spark = corpus.sparkSession
     id_type = corpus.schema[id_col].dataType.simpleString()
     q_type = queries.schema[query_id_col].dataType.simpleString()
     schema = f"query_id {q_type}, {id_col} {id_type}, score double"
-    parts = []
-    spill = None
-    for ids, mat in _query_blocks(queries, query_id_col, query_vec_col, dim, max_block_bytes, n_queries):
-        width = mat.shape[1]
-        docs = corpus.select(F.col(id_col), V.to_double(vec_col).alias("_v")) \
-            .where(F.col("_v").isNotNull() & (F.size("_v") == width))
-        bc = spark.sparkContext.broadcast((ids, mat))
-
-        def kernel(batches, bc=bc, width=width):
-            qids, qmat = bc.value
-            return V.score_kernel(qids, qmat, k, id_col, "_v", width, exclude_self)(batches)
-        parts.append(docs.mapInArrow(kernel, schema))
-        if len(parts) >= MAX_UNION_BLOCKS or spill is not None:
-            # many blocks: run them as separate jobs appending local top-k rows
-            # to a scratch table, so the plan does not grow with the blocks
-            if spill is None:
-                from papyra.session import scratch_path
-                import uuid
-                spill = scratch_path(spark, f"knn-blocks-{uuid.uuid4().hex}")
-            for part in parts:
-                part.write.mode("append").parquet(spill)
-            parts = []
-    if spill is not None:
-        for part in parts:
-            part.write.mode("append").parquet(spill)
-        return top_k(spark.read.parquet(spill), k, id_col=id_col)
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    return top_k(scored, k, id_col=id_col)
+    given = queries.where(F.col(query_vec_col).isNotNull())
+    n = given.count() if n_queries is None else n_queries
+    width = dim
+    if width is None and n:
+        first = given.select(F.size(query_vec_col).alias("d")).first()
+        width = int(first["d"]) if first else None
+    if not n or width is None:
+        return corpus.sparkSession.createDataFrame([], schema + ", rank int")
+    q = given.select(F.col(query_id_col).alias("qid"), fixed_width(query_vec_col, width).alias("qvec"))
+    docs = corpus.where(F.col(vec_col).isNotNull()).select(F.col(id_col), fixed_width(vec_col, width).alias("_v"))
+    n_blocks = max(1, math.ceil(n * width * 8 / max_block_bytes))
+    scored = _score_broadcast(docs, q, k, id_col, width, exclude_self, schema) if n_blocks == 1 \
+        else _score_blocks(docs, q, k, id_col, width, exclude_self, schema, n_blocks, max_block_bytes)
+    return top_k(scored, k, id_col=id_col, levels=2 if n <= FEW_QUERIES else 1)
+
+
+def _score_broadcast(docs, q, k, id_col, width, exclude_self, schema):
+    """All queries in one broadcast block (their size has been checked)."""
+    tbl = q.toArrow()
+    bc = docs.sparkSession.sparkContext.broadcast(
+        (tbl.column("qid").combine_chunks(), V.list_to_matrix(tbl.column("qvec"), width)))
+
+    def kernel(batches):
+        qids, qmat = bc.value
+        return V.score_kernel(qids, qmat, k, id_col, "_v", width, exclude_self)(batches)
+    return docs.mapInArrow(kernel, schema)
+
+
+def _score_blocks(docs, q, k, id_col, width, exclude_self, schema, n_blocks, max_block_bytes):
+    """(query block, corpus block) tasks; nothing passes through the driver."""
+    rows = max(1, max_block_bytes // (8 * width))
+    doc_blocks = max(1, math.ceil(docs.count() / rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")).withColumn("db", every(doc_blocks))
+    right = docs.withColumn("db", F.pmod(F.xxhash64(id_col), F.lit(doc_blocks)).cast("int")) \
+        .withColumn("qb", every(n_blocks))
+
+    def run(a, b):
+        if not a.num_rows or not b.num_rows:
+            return a.schema.empty_table().select(["qid"]).append_column("i", b.column(id_col).slice(0, 0)) \
+                .append_column("s", pa.chunked_array([[]], pa.float64())).rename_columns(["query_id", id_col, "score"])
+        ids = a.column("qid").combine_chunks()
+        kernel = V.score_kernel(ids, V.list_to_matrix(a.column("qvec"), width), k, id_col, "_v", width, exclude_self)
+        out = list(kernel(b.combine_chunks().to_batches(max_chunksize=8192)))
+        return pa.Table.from_batches(out) if out else pa.table(
+            {"query_id": ids.slice(0, 0), id_col: b.column(id_col).slice(0, 0), "score": pa.array([], pa.float64())})
+    return left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(run, schema)
 
 
 def label_centroids(vectors: DataFrame, cluster_col: str = "label", vec_col: str = "vec") -> DataFrame:
@@ -156,20 +154,21 @@ def probe_clusters(queries: DataFrame, centroids: DataFrame, n_probe: int, *,
     """``(query_id, cluster_id, probe_rank, score)``: each query's nearest centroids."""
     spark = queries.sparkSession
     dim = vector_width(centroids)
-    n = centroids.count()
-    if n * dim * 8 > max_centroid_bytes:
-        raise ValueError(f"{n} centroids of width {dim} exceed the broadcast bound; "
-                         "use fewer clusters or raise max_centroid_bytes")
-    tbl = centroids.select(F.col("cluster_id").cast("long"), V.to_double("vec").alias("vec")).toArrow()
+    bound = max(1, max_centroid_bytes // (8 * dim))
+    cents = centroids.select(F.col("cluster_id").cast("long"), fixed_width("vec", dim).alias("vec"))
+    tbl = cents.limit(bound + 1).toArrow()
+    if tbl.num_rows > bound:            # too many to broadcast: search them like any corpus
+        near = exact_knn(cents, queries, n_probe, id_col="cluster_id", query_id_col=query_id_col,
+                         query_vec_col=query_vec_col, dim=dim)
+        return near.select("query_id", "cluster_id", F.col("rank").alias("probe_rank"), "score")
     ids = tbl.column("cluster_id").to_numpy().astype(np.int64)
     bc = spark.sparkContext.broadcast((ids, V.list_to_matrix(tbl.column("vec"), dim)))
 
     def kernel(batches):
         cids, cmat = bc.value
         return V.nearest_rows_kernel(cids, cmat, n_probe, "query_id", "_v", dim, "cluster_id")(batches)
-    q = queries.select(F.col(query_id_col).alias("query_id"),
-                       V.to_double(query_vec_col).alias("_v")) \
-        .where(F.col("_v").isNotNull() & (F.size("_v") == dim))
+    q = queries.where(F.col(query_vec_col).isNotNull()).select(
+        F.col(query_id_col).alias("query_id"), fixed_width(query_vec_col, dim).alias("_v"))
     q_type = q.schema["query_id"].dataType.simpleString()
     return q.mapInArrow(kernel, f"query_id {q_type}, cluster_id long, probe_rank int, score double")
 
@@ -183,11 +182,15 @@ def _group_scorer(k: int, dim: int, exclude_self: bool):
         q = V.unit_rows(np.vstack(qs["_q"].to_numpy()).astype(np.float64).reshape(len(qs), dim))
         ids = docs["id"].to_numpy()
         qids = qs["query_id"].to_numpy()
-        s = np.round(d @ q.T, V.SCORE_DECIMALS)
-        if exclude_self:
-            s[ids[:, None] == qids[None, :]] = -np.inf
-        rows, cols, sc = V.top_k_per_column(s, V.tie_keys(ids), k)
-        return pd.DataFrame({"query_id": qids[cols], "id": ids[rows], "score": sc})
+        ties, out = V.tie_keys(ids), []
+        step = max(1, SCORE_CELLS // len(d))
+        for lo in range(0, len(q), step):           # a bounded number of scores at a time
+            s = np.round(d @ q[lo:lo + step].T, V.SCORE_DECIMALS)
+            if exclude_self:
+                s[ids[:, None] == qids[None, lo:lo + step]] = -np.inf
+            rows, cols, sc = V.top_k_per_column(s, ties, k)
+            out.append(pd.DataFrame({"query_id": qids[lo + cols], "id": ids[rows], "score": sc}))
+        return pd.concat(out)
     return run
 
 
@@ -224,10 +227,12 @@ def _clustered_broadcast(corpus, queries, probes, k, dim, query_id_col, query_ve
     """Broadcast plan, or None when the query side exceeds the byte bound."""
     spark = corpus.sparkSession
     max_rows = max(1, max_block_bytes // (8 * (dim + n_probe)))
-    q = queries.select(F.col(query_id_col).alias("query_id"), V.to_double(query_vec_col).alias("qvec")) \
-        .where(F.col("qvec").isNotNull() & (F.size("qvec") == dim))
+    q = queries.where(F.col(query_vec_col).isNotNull()).select(
+        F.col(query_id_col).alias("query_id"), fixed_width(query_vec_col, dim).alias("qvec"))
     tbl = q.limit(max_rows + 1).toArrow()
-    if tbl.num_rows > max_rows and not force:
+    if tbl.num_rows > max_rows:
+        if force:
+            raise ValueError(f"more than {max_rows} queries exceed max_block_bytes; use method='auto' or 'cogroup'")
         return None
     qids = tbl.column("query_id").combine_chunks()
     qmat = V.list_to_matrix(tbl.column("qvec"), dim)
@@ -240,10 +245,8 @@ def _clustered_broadcast(corpus, queries, probes, k, dim, query_id_col, query_ve
     bc = spark.sparkContext.broadcast((qids, qmat, probe_lists))
     id_type = corpus.schema["id"].dataType.simpleString()
     q_type = queries.schema[query_id_col].dataType.simpleString()
-    docs = corpus.select("id", F.col("cluster_id").cast("long").alias("cluster_id"),
-                         V.to_double("vec").alias("_v")) \
-        .where(F.col("cluster_id").isin(list(probe_lists)))       # partition pruning
-    docs = docs.where(F.col("_v").isNotNull() & (F.size("_v") == dim))
+    docs = corpus.where(F.col("cluster_id").cast("long").isin(list(probe_lists)) & F.col("vec").isNotNull()) \
+        .select("id", F.col("cluster_id").cast("long").alias("cluster_id"), fixed_width("vec", dim).alias("_v"))
 
     def kernel(batches):
         ids_, mat_, lists_ = bc.value
@@ -254,24 +257,22 @@ def _clustered_broadcast(corpus, queries, probes, k, dim, query_id_col, query_ve
 
 def _clustered_cogroup(corpus, queries, probes, k, dim, query_id_col, query_vec_col, exclude_self,
                        max_group_rows):
-    docs = corpus.select(F.col("id"), F.col("cluster_id").cast("long"),
-                         V.to_double("vec").alias("_v")) \
-        .where(F.col("_v").isNotNull() & (F.size("_v") == dim))
-    # split factors per cluster: bounded by the number of clusters
+    docs = corpus.where(F.col("vec").isNotNull()).select(
+        F.col("id"), F.col("cluster_id").cast("long"), fixed_width("vec", dim).alias("_v"))
+    # split factors per cluster: one row a cluster
     doc_n = docs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("nd"))
     q_n = probes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("nq"))
     split = doc_n.join(q_n, "cluster_id").select(
         "cluster_id",
         F.greatest(F.lit(1), F.ceil(F.col("nd") / max_group_rows)).cast("int").alias("sd"),
         F.greatest(F.lit(1), F.ceil(F.col("nq") / max_group_rows)).cast("int").alias("sq"))
-    split = F.broadcast(split)
     # each doc goes to one doc sub-block and is repeated for every query sub-block
     d = docs.join(split, "cluster_id") \
         .withColumn("dsub", F.pmod(F.xxhash64("id"), F.col("sd")).cast("int")) \
         .withColumn("qsub", F.explode(F.sequence(F.lit(0), F.col("sq") - 1))) \
         .select("cluster_id", "dsub", "qsub", "id", "_v")
-    qv = queries.select(F.col(query_id_col).alias("query_id"),
-                        V.to_double(query_vec_col).alias("_q"))
+    qv = queries.where(F.col(query_vec_col).isNotNull()).select(
+        F.col(query_id_col).alias("query_id"), fixed_width(query_vec_col, dim).alias("_q"))
     q = probes.join(qv, "query_id").join(split, "cluster_id") \
         .withColumn("qsub", F.pmod(F.xxhash64("query_id"), F.col("sq")).cast("int")) \
         .withColumn("dsub", F.explode(F.sequence(F.lit(0), F.col("sd") - 1))) \
@@ -284,17 +285,23 @@ def _clustered_cogroup(corpus, queries, probes, k, dim, query_id_col, query_vec_
     return top_k(scored, k)
 
 
+def cluster_count(n: int) -> int:
+    """Clusters for ``n`` vectors: n / 10 up to 256, about 200 vectors each from
+    there on (5 000 for a million), and 8 * sqrt(n) once that is fewer."""
+    return max(10, min(256, n // 10), min(n // 195, int(8 * math.sqrt(n))))
+
+
 def kmeans_index(vectors: DataFrame, n_clusters: int | None = None, *, vec_col: str = "vec",
                  seed: int = 42, max_iter: int = 20):
     """Train cosine k-means (MLlib) on unit vectors; returns
-    ``(vectors with cluster_id, centroids)``. Default cluster count follows the
-    reference: min(256, max(10, n // 10))."""
+    ``(vectors with cluster_id, centroids)``. The default count grows with the
+    table, see :func:`cluster_count`."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit = vectors.withColumn("_u", V.normalize(V.to_double(vec_col)))
     if n_clusters is None:
-        n_clusters = min(256, max(10, unit.count() // 10))
+        n_clusters = cluster_count(unit.count())
     # cosine k-means is undefined for zero vectors: they score 0 against any
     # query, so they go to cluster 0 without taking part in training
     nonzero = F.exists("_u", lambda x: x != 0)

@@ -55,6 +55,7 @@ class SearchOptions:
     use_reranking: bool = True
     use_query_expansion: bool = True
     filter_mode: str = "post"
+    rerank_cap: int = RERANK_CAP             # candidates that are re-scored; top_k at least
     scorer: object = field(default=None, compare=False)   # (query_col, text_col) -> Column
 
     @property
@@ -65,22 +66,21 @@ class SearchOptions:
     def threshold(self) -> float:
         return SIMILARITY_THRESHOLD if self.min_similarity is None else self.min_similarity
 
+    @property
+    def pool(self) -> int:
+        """Candidates fetched per query: x3 with filters, x5 with rerank, the
+        latter bounded by ``rerank_cap`` but never below ``top_k``."""
+        mult = max(FILTER_OVERFETCH if self.has_filters and self.filter_mode == "post" else 1,
+                   RERANK_OVERFETCH if self.use_reranking else 1)
+        size = self.k * mult
+        return min(size, max(self.rerank_cap, self.k)) if self.use_reranking else size
+
     @property
     def has_filters(self) -> bool:
         return bool(self.category_filter) or any(
             x is not None for x in (self.start_date, self.end_date, self.years_back))
 
 
-def fetch_size(opts: SearchOptions, n_docs: int) -> int:
-    """Candidates to retrieve: x3 with filters, x5 with rerank, at most the corpus."""
-    mult = 1
-    if opts.has_filters and opts.filter_mode == "post":
-        mult = max(mult, FILTER_OVERFETCH)
-    if opts.use_reranking:
-        mult = max(mult, RERANK_OVERFETCH)
-    return min(opts.k * mult, n_docs)
-
-
 def query_vectors(queries: DataFrame, expand: bool, text_col: str = "query",
                   dim: int = E.ENCODER_DIM) -> DataFrame:
     """``(query_id, query, expanded, qvec)``; blank queries are dropped.
@@ -137,15 +137,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOptions,
                n_queries: int | None = None, dim: int = E.ENCODER_DIM,
                query_text: DataFrame | None = None) -> DataFrame:
-    """``(query_id, doc_id, cosine, score, candidate_rank)`` before filters.
+    """``(query_id, doc_id, cosine, score, candidate_rank)`` before filters,
+    with rerank also ``raw``, the pair score before normalisation.
 
     The fetch size needs no corpus count: a top-k over fewer than k rows
     returns them all, which is what min(k * multiplier, n) asks for.
     ``text`` holds ``(doc_id, _text)`` for the pair scorer.
     """
-    search_k = opts.k * (max(FILTER_OVERFETCH if opts.has_filters and opts.filter_mode == "post" else 1,
-                             RERANK_OVERFETCH if opts.use_reranking else 1))
-    pool = min(search_k, RERANK_CAP) if opts.use_reranking else search_k
+    pool = opts.pool
     hits = K.exact_knn(dv, qv, pool, id_col="doc_id", vec_col="vec", query_vec_col="qvec",
                        dim=dim, n_queries=n_queries).withColumnRenamed("score", "cosine")
     if not opts.use_reranking:
@@ -171,7 +170,7 @@ def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOption
     norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
     order = Window.partitionBy("query_id").orderBy(F.col("raw").desc(), F.col("doc_id"))
     return pairs.select("query_id", "doc_id", "cosine", V.round_score(norm).alias("score"),
-                        F.row_number().over(order).alias("candidate_rank"))
+                        F.row_number().over(order).alias("candidate_rank"), "raw")
 
 
 @dataclass(frozen=True)
@@ -224,9 +223,7 @@ def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOp
     text = paper_rows.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
     cand = candidates(qv, vectors, text, opts, n_queries, query_text=live)
     kept = cand.where(F.col("score") >= opts.threshold)
-    pool = opts.k * max(FILTER_OVERFETCH if opts.has_filters and opts.filter_mode == "post" else 1,
-                        RERANK_OVERFETCH if opts.use_reranking else 1)
-    small = n_queries * pool <= MAX_BROADCAST_HIT_ROWS
+    small = n_queries * opts.pool <= MAX_BROADCAST_HIT_ROWS
     # hits are broadcast into the paper table (the corpus streams, no shuffle);
     # a corpus holding an id twice yields one row per (query, doc): the first
     hits = paper_rows.join(F.broadcast(kept) if small else kept, "doc_id")

@@ -129,9 +129,11 @@ def sample_recent(spark, sf_dir):
 def _diverse_sql(n: int, per_cat: int) -> str:
     key = "md5(CAST(id AS VARCHAR) || '#42')"
     return WP.rstrip() + f""",
+once AS (SELECT id, any_value(categories) AS categories, any_value(update_date) AS update_date FROM papers GROUP BY id),
 top AS (SELECT category, row_number() OVER (ORDER BY n DESC, category) AS cat_rank
-        FROM ({CAT_DIST} ORDER BY n DESC, category LIMIT 20)),
-members AS (SELECT p.id, c.category FROM (SELECT id, unnest(categories) AS category FROM papers) p
+        FROM (SELECT category, count(*) AS n FROM (SELECT unnest(categories) AS category FROM once) GROUP BY category
+              ORDER BY n DESC, category LIMIT 20)),
+members AS (SELECT p.id, c.category FROM (SELECT id, unnest(categories) AS category FROM once) p
             JOIN top c ON p.category = c.category),
 picked AS (SELECT m.id, t.cat_rank, row_number() OVER (PARTITION BY m.category
              ORDER BY md5(CAST(m.id AS VARCHAR) || '#42' || '#' || m.category), m.id) AS pos
@@ -140,9 +142,9 @@ chosen AS (SELECT id, cat_rank * {per_cat + 1} + pos AS sample_order FROM (
              SELECT *, row_number() OVER (PARTITION BY id ORDER BY cat_rank, pos) AS k
              FROM picked WHERE pos <= {per_cat}) WHERE k = 1),
 rest AS (SELECT id, 1000000000 + row_number() OVER (ORDER BY {key}, id) AS sample_order
-         FROM (SELECT id FROM papers WHERE id NOT IN (SELECT id FROM chosen) ORDER BY {key}, id LIMIT {n})),
+         FROM (SELECT id FROM once WHERE id NOT IN (SELECT id FROM chosen) ORDER BY {key}, id LIMIT {n})),
 both_ AS (SELECT * FROM (SELECT * FROM chosen UNION ALL SELECT * FROM rest) ORDER BY sample_order LIMIT {n})
-SELECT p.id, p.update_date, b.sample_order FROM papers p JOIN both_ b ON p.id = b.id"""
+SELECT p.id, p.update_date, b.sample_order FROM once p JOIN both_ b ON p.id = b.id"""
 
 
 @register("sample_diverse", _diverse_sql(SAMPLE_N, max(1, SAMPLE_N // 20)))

@@ -111,12 +111,12 @@ per AS (SELECT query_id, count(*) AS n, count_if(pdf_available) AS pdfs,
   count_if(ai_summary IS NOT NULL AND ai_summary <> '') AS with_summaries,
   count_if(year(CAST(update_date AS TIMESTAMP)) >= {ASOF.year - 2}) AS recent,
   arg_min(title, rank) AS top_title, arg_min(similarity_score, rank) AS top_score FROM res GROUP BY query_id)
-SELECT per.query_id, printf('Found %d papers related to ''%s''. ', n, q.query) || printf('%d PDFs available. ', pdfs)
+SELECT q.query_id, CASE WHEN per.n IS NULL THEN 'No papers found.' ELSE printf('Found %d papers related to ''%s''. ', n, q.query) || printf('%d PDFs available. ', pdfs)
   || CASE WHEN with_summaries > 0 THEN printf('%d with AI summaries. ', with_summaries) ELSE '' END
   || CASE WHEN areas IS NOT NULL THEN 'Main areas: ' || areas || '. ' ELSE '' END
   || CASE WHEN recent > 0 THEN printf('%d from last 2 years. ', recent) ELSE '' END
-  || 'Top result: ''' || top_title || ''' (score: ' || printf('%.3f', top_score) || ').' AS digest
-FROM per JOIN qs q ON q.query_id = per.query_id LEFT JOIN top5 ON top5.query_id = per.query_id"""
+  || 'Top result: ''' || top_title || ''' (score: ' || printf('%.3f', top_score) || ').' END AS digest
+FROM qs q LEFT JOIN per ON q.query_id = per.query_id LEFT JOIN top5 ON top5.query_id = q.query_id"""
 
 
 @register("batch_digest", _digest_sql())
@@ -142,9 +142,9 @@ def _batch_prompt_sql() -> str:
     return Q.with_search(DEFAULT) + f"""
 , firsts AS (SELECT query_id, to_json(list({info} ORDER BY rank)) AS j FROM res WHERE rank <= 5 GROUP BY query_id),
 cnt AS (SELECT query_id, count(*) AS n FROM res GROUP BY query_id)
-SELECT c.query_id, {S.q(head)} || CAST(c.n AS VARCHAR) || {S.q(mid)} || q.query || {S.q(mid2)}
+SELECT q.query_id, {S.q(head)} || CAST(c.n AS VARCHAR) || {S.q(mid)} || q.query || {S.q(mid2)}
   || left(f.j, 1500) || {S.q(tail)} AS prompt
-FROM cnt c JOIN firsts f ON f.query_id = c.query_id JOIN qs q ON q.query_id = c.query_id"""
+FROM qs q LEFT JOIN cnt c ON q.query_id = c.query_id LEFT JOIN firsts f ON f.query_id = q.query_id"""
 
 
 @register("batch_prompt", _batch_prompt_sql())

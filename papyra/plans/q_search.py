@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import replace
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.functions import encode as E
@@ -99,17 +98,9 @@ FROM pairs WINDOW w AS (PARTITION BY query_id)""")
 def minmax_norm(spark, sf_dir):
     """Raw pair scores of the rerank candidates and their min-max normal form."""
     p = papers(spark, sf_dir)
-    qv = R.query_vectors(queries_table(spark, sf_dir), True)
-    n = p.count()
-    pool = min(R.fetch_size(DEFAULT, n), R.RERANK_CAP)
-    from papyra.operators import knn as K
-    hits = K.exact_knn(R.doc_vectors(p), qv, pool, id_col="doc_id", query_vec_col="qvec")
-    text = p.select("doc_id", E.rerank_text("title", "abstract").alias("_t"))
-    pairs = hits.join(qv.select("query_id", "query"), "query_id").join(text, "doc_id") \
-        .withColumn("raw", E.overlap_score(F.col("query"), F.col("_t")))
-    w = Window.partitionBy("query_id")
-    norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
-    return pairs.select("query_id", "doc_id", "raw", V.round_score(norm).alias("norm_score"))
+    text = p.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
+    cand = R.candidates(R.query_vectors(queries_table(spark, sf_dir), True), R.doc_vectors(p), text, DEFAULT)
+    return cand.select("query_id", "doc_id", "raw", F.col("score").alias("norm_score"))
 
 
 @register("search_envelope", Q.with_search(DEFAULT) + f"""SELECT q.query_id,

@@ -45,13 +45,7 @@ def search_ctes(opts: R.SearchOptions, tag: str = "") -> list[str]:
     pre = opts.filter_mode == "pre"
     out.append(f"corpus{t} AS (SELECT * FROM papers" + (f" WHERE {filters_sql(opts)})" if pre else ")"))
     out.append(S.encode_cte(f"dv{t}", f"corpus{t}", "doc_id", "combined_text"))
-    mult = 1
-    if opts.has_filters and not pre:
-        mult = max(mult, R.FILTER_OVERFETCH)
-    if opts.use_reranking:
-        mult = max(mult, R.RERANK_OVERFETCH)
-    search_k = f"least({opts.k * mult}, (SELECT count(*) FROM corpus{t}))"
-    pool = f"least({search_k}, {R.RERANK_CAP})" if opts.use_reranking else search_k
+    pool = f"least({opts.pool}, (SELECT count(*) FROM corpus{t}))"
     out.append(f"""hits{t} AS (SELECT * FROM (
   SELECT q.query_id, d.doc_id, round({S.cosine('q.qvec', 'd.vec')}, 6) AS cosine,
     row_number() OVER (PARTITION BY q.query_id ORDER BY round({S.cosine('q.qvec', 'd.vec')}, 6) DESC, d.doc_id) AS crank

@@ -247,7 +247,7 @@ def encode_cte(name: str, source: str, key: str, text: str, dim: int | None = No
     from papyra.functions import encode as E
     dim = dim or E.ENCODER_DIM
     return f"""{name}_tok AS (
-  SELECT {key} AS k, unnest(list_slice({tokens(text)}, 1, {E.MAX_TOKENS})) AS t FROM {source}),
+  SELECT {key} AS k, unnest({tokens(text)}) AS t FROM {source}),
 {name}_cnt AS (
   SELECT k, ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} AS b, count(*)::DOUBLE AS c FROM {name}_tok GROUP BY ALL),
 {name}_raw AS (

@@ -55,13 +55,6 @@ def test_exact_blocks_self_and_string_ids(spark, vectors):
     one_block = as_dict(K.exact_knn(df, q, 5, exclude_self=True))
     many_blocks = as_dict(K.exact_knn(df, q, 5, exclude_self=True, max_block_bytes=2048))
     assert one_block == many_blocks
-    old_cap = K.MAX_UNION_BLOCKS
-    K.MAX_UNION_BLOCKS = 2                         # force the spill-to-table path
-    try:
-        spilled = as_dict(K.exact_knn(df, q, 5, exclude_self=True, max_block_bytes=2048))
-    finally:
-        K.MAX_UNION_BLOCKS = old_cap
-    assert spilled == one_block
     exp = brute(vectors, vectors, 5, exclude_self=True)
     assert {k: [i for i, _ in v] for k, v in one_block.items()} == \
            {k: [int(i) for i, _ in v] for k, v in exp.items()}
@@ -121,3 +114,60 @@ def test_kmeans_index(spark, vectors):
     q = df.where("id < 10").withColumnRenamed("id", "query_id")
     full = as_dict(K.clustered_knn(assigned, cen, q, 3, n_probe=5))
     assert full == as_dict(K.exact_knn(df, q, 3))
+
+
+def test_many_blocks_collect_nothing(spark, vectors, monkeypatch):
+    """Beyond the byte bound the query side stays on the executors."""
+    df = spark.createDataFrame(vectors, "id long, vec array<double>")
+    q = df.withColumnRenamed("id", "query_id")
+    want = as_dict(K.exact_knn(df, q, 5))
+    from pyspark.sql.classic.dataframe import DataFrame
+    for name in ("toArrow", "collect", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a: pytest.fail("collected"))
+    blocks = K.exact_knn(df, q, 5, dim=8, max_block_bytes=512)
+    monkeypatch.undo()
+    assert as_dict(blocks) == want and len(want) == 300
+
+
+def test_forced_broadcast_never_truncates(spark, vectors):
+    df = spark.createDataFrame([(i, v, i % 6) for i, v in vectors], "id long, vec array<double>, label int")
+    cen = K.label_centroids(df, "label")
+    corpus = df.withColumn("cluster_id", F.col("label").cast("long"))
+    q = df.where("id < 200").withColumnRenamed("id", "query_id")
+    with pytest.raises(ValueError):
+        K.clustered_knn(corpus, cen, q, 5, n_probe=2, method="broadcast", max_block_bytes=1024)
+    assert len(as_dict(K.clustered_knn(corpus, cen, q, 5, n_probe=2, max_block_bytes=1024))) == 200
+    near = K.probe_clusters(q, cen, 2).collect()
+    far = K.probe_clusters(q, cen, 2, max_centroid_bytes=64).collect()     # searched, not broadcast
+    key = lambda r: (r["query_id"], r["cluster_id"], r["probe_rank"], r["score"])
+    assert sorted(map(key, near)) == sorted(map(key, far))
+
+
+def test_mixed_widths_fail(spark, vectors):
+    df = spark.createDataFrame(vectors, "id long, vec array<double>")
+    odd = df.withColumn("vec", F.when(F.col("id") == 9, F.array(F.lit(1.0))).otherwise(F.col("vec")))
+    q = df.where("id < 3").withColumnRenamed("id", "query_id")
+    with pytest.raises(Exception, match="1 components, expected 8"):
+        K.exact_knn(odd, q, 3).collect()
+    with pytest.raises(Exception, match="1 components, expected 8"):
+        K.exact_knn(df, odd.withColumnRenamed("id", "query_id"), 3, dim=8).collect()
+
+
+def test_running_top_k_equals_one_batch(spark, vectors):
+    import pyarrow as pa
+    from papyra.functions import vectors as V
+    rng = np.random.default_rng(1)
+    ids = pa.array(range(1000), pa.int64())
+    m = np.round(rng.normal(size=(1000, 4)), 1)
+    q = np.round(rng.normal(size=(9, 4)), 1)
+    col = pa.ListArray.from_arrays(pa.array(np.arange(0, 4001, 4), pa.int32()), pa.array(m.ravel()))
+    whole = pa.RecordBatch.from_arrays([ids, col], names=["id", "_v"])
+    run = lambda parts: sorted(x for b in V.score_kernel(pa.array(range(9)), q, 5, "id", "_v", 4, False)(parts)
+                               for x in zip(*(c.to_pylist() for c in b.columns)))
+    got = run([whole.slice(i, 37) for i in range(0, 1000, 37)])
+    assert got == run([whole]) and len(got) == 45
+
+
+def test_cluster_count_grows():
+    assert [K.cluster_count(n) for n in (5, 500, 2560, 50_000)] == [10, 50, 256, 256]
+    assert 4000 < K.cluster_count(1_000_000) < 8192 < K.cluster_count(10_000_000)
