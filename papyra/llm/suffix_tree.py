@@ -38,24 +38,34 @@ def split_nodes(node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def prefix_groups(words: np.ndarray, starts: np.ndarray, width: int):
-    """(suffixes, prefix length): suffixes by variable-length prefixes, each
-    group at most ``GROUP`` or sharing a whole window."""
-    todo = [(starts, 0)]
+    """(suffixes, node, prefix length): suffixes by variable-length prefixes. A
+    prefix shared by more than ``GROUP`` suffixes is lengthened by a word (up to a
+    window); the others of one length are packed, a node each, into groups of
+    about ``GROUP`` suffixes."""
+    todo, deep = [starts], 0
     while todo:
-        part, deep = todo.pop()
-        if len(part) < 2:
-            continue
-        if len(part) <= GROUP or deep >= width:
-            yield part, deep
-            continue
-        order, child = split_nodes(np.zeros(len(part), np.int64), words[part + deep])
-        todo += [(x, deep + 1) for x in np.split(part[order], np.flatnonzero(np.diff(child)) + 1)]
-
-
-def deep_nodes(words: np.ndarray, starts: np.ndarray, deep: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        longer, pack, size = [], [], 0
+        for part in todo:
+            if len(part) < 2:
+                continue
+            if len(part) > GROUP and deep < width:
+                order, child = split_nodes(np.zeros(len(part), np.int64), words[part + deep])
+                longer += np.split(part[order], np.flatnonzero(np.diff(child)) + 1)
+                continue
+            if pack and size + len(part) > GROUP:
+                yield np.concatenate(pack), np.repeat(np.arange(len(pack)), [len(x) for x in pack]), deep
+                pack, size = [], 0
+            pack.append(part)
+            size += len(part)
+        if pack:
+            yield np.concatenate(pack), np.repeat(np.arange(len(pack)), [len(x) for x in pack]), deep
+        todo, deep = longer, deep + 1
+
+
+def deep_nodes(words: np.ndarray, at: np.ndarray, node: np.ndarray, deep: int,
+               width: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes, node): the suffixes below each node of depth ``width``; those
     that leave their node alone before are leaves and drop out."""
-    at, node = starts, np.zeros(len(starts), np.int64)
     while deep < width and len(at):
         order, child = split_nodes(node, words[at + deep])
         alive = np.bincount(child)[child] > 1
@@ -74,8 +84,8 @@ def earlier_starts(segs: list[bytes], counts: list[int], low: list[int], width:
     starts = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(at.tolist(), counts)])
     first = np.repeat(np.array(low, np.int64), np.diff(at))
     hit = np.zeros(at[-1], bool)
-    for part, deep in prefix_groups(words, starts, width):
-        leaves, node = deep_nodes(words, part, deep, width)
+    for part, node, deep in prefix_groups(words, starts, width):
+        leaves, node = deep_nodes(words, part, node, deep, width)
         if len(leaves):
             smallest = np.full(node.max() + 1, (1 << 63) - 1, np.int64)
             np.minimum.at(smallest, node, first[leaves])
