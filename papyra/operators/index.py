@@ -75,7 +75,8 @@ def write_index(vectors: DataFrame, path: str, centroids: DataFrame | None = Non
     if parts:
         sizes = vectors.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
         salted = vectors.join(sizes, parts).withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_files")))
-        vectors = salted.repartition(*parts, "_salt").drop("_files", "_salt")
+        files = int(sizes.agg(F.sum("_files")).first()[0] or 1)
+        vectors = salted.repartition(files, *parts, "_salt").drop("_files", "_salt")
     vectors.write.mode(mode).partitionBy(*parts).parquet(f"{path}/vectors")
     if centroids is not None:
         centroids.write.mode(mode).parquet(f"{path}/centroids")

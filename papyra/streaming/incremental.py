@@ -2,11 +2,19 @@
 
 New raw paper files arrive in a folder. A file-source stream (declared
 schema, ``maxFilesPerTrigger``) feeds ``foreachBatch``; each micro-batch is
-ingested (filters + projection), de-duplicated by id, reduced to ids the
-index does not hold yet (left anti join), encoded and appended to the index
-table, and its counters (existing / added / duplicates / total) are appended
-to a statistics table. ``foreachBatch`` is at-least-once; the anti join makes
-a replayed batch add nothing, so the index ends up the same.
+ingested (filters + projection), de-duplicated by id, reduced to the papers
+whose (id, model, hybrid, text hash) the index does not hold yet, encoded,
+assigned to the nearest stored centroid and appended to the index.
+
+``foreachBatch`` is at-least-once. Every index row carries the (stream, batch)
+that wrote it, the index is written first, and a batch's counters are derived
+from the index and replace the batch's own counter file: replaying a batch
+adds no row and leaves the same counters. A paper whose text has changed gets a
+new row; readers take the newest row per (id, model) with ``current_index``.
+
+One index is one folder: ``vectors`` (partitioned by model and cluster) and, if
+it is clustered, ``centroids``; ``papyra.operators.knn.clustered_knn`` reads what
+both the build and the update have written.
 
 ``trigger(availableNow=True)`` processes what is there and stops (the batch
 "update" command); a processing-time trigger keeps it running.
@@ -18,76 +26,109 @@ upsert is an append and replays are harmless.
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import encode as E
+from papyra.functions import vectors as V
 from papyra.operators import index as IX
+from papyra.operators import knn as K
 from papyra.operators import papers as P
+from papyra.operators.retrieval import materialize
 from papyra.schemas import RAW
-from papyra.session import ensure_checkpoint_dir
-
-INDEX_COLUMNS = ["id", "model", "vec", "added_at"]
-
+from papyra.session import delete_path, ensure_checkpoint_dir, path_exists
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+INDEX_COLUMNS = ["id", "model", "hybrid", "text_md5", "vec", "cluster_id", "stream", "batch_id", "added_at"]
+FIRST_BUILD = "build"
 
 
 def read_index(spark: SparkSession, index_path: str) -> DataFrame | None:
-    return spark.read.parquet(index_path) if _exists(spark, index_path) else None
+    """All rows of the index, also replaced ones."""
+    path = f"{index_path}/vectors"
+    return spark.read.parquet(path) if path_exists(spark, path) else None
+
+
+def current_index(spark: SparkSession, index_path: str) -> DataFrame | None:
+    """The newest row per (id, model, hybrid)."""
+    rows = read_index(spark, index_path)
+    if rows is None:
+        return None
+    w = Window.partitionBy("id", "model", "hybrid").orderBy(F.desc("added_at"), F.desc("text_md5"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def encode_papers(papers: DataFrame, model: str = "hash256", encoder=None, hybrid: bool = False) -> DataFrame:
+    """``(id, model, hybrid, text_md5, vec, added_at)``; ``encoder(df, text_col) ->
+    df + vec`` plugs in another model (see ``papyra.functions.plugins``).
+    ``hybrid`` encodes title and abstract apart and blends them 0.4 / 0.6."""
+    run = encoder or (lambda df, col: E.hash_encode(df, col, "vec"))
+    rows = papers.withColumn("text_md5", F.md5("combined_text"))
+    if hybrid:
+        rows = run(rows, "title").withColumnRenamed("vec", "_title")
+        rows = run(rows, "abstract").withColumn("vec", V.blend("_title", "vec", E.TITLE_WEIGHT, E.ABSTRACT_WEIGHT))
+    else:
+        rows = run(rows, "combined_text")
+    return rows.select("id", F.lit(model).alias("model"), F.lit(hybrid).alias("hybrid"), "text_md5", "vec",
+                       F.current_timestamp().alias("added_at"))
 
 
-def encode_papers(papers: DataFrame, model: str = "hash256", encoder=None) -> DataFrame:
-    """``(id, model, vec, added_at)``; ``encoder(df, text_col) -> df + vec``
-    plugs in another model (see ``papyra.functions.plugins``)."""
-    enc = encoder(papers, "combined_text") if encoder else E.hash_encode(papers, "combined_text", "vec")
-    return enc.select("id", F.lit(model).alias("model"), "vec",
-                      F.current_timestamp().alias("added_at"))
+def _assigned(rows: DataFrame, centroids: DataFrame | None) -> DataFrame:
+    """``cluster_id`` of the nearest centroid; 0 in an index without centroids."""
+    if centroids is None:
+        return rows.withColumn("cluster_id", F.lit(0).cast("long"))
+    probes = K.probe_clusters(rows.withColumn("query_id", F.concat_ws("#", "id", "text_md5")), centroids, 1)
+    near = probes.select(F.col("query_id").alias("_key"), "cluster_id")
+    return rows.withColumn("_key", F.concat_ws("#", "id", "text_md5")).join(near, "_key", "left") \
+        .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(0)).cast("long")).drop("_key")
 
 
 def build_index(papers: DataFrame, index_path: str, force: bool = False, model: str = "hash256",
-                encoder=None) -> bool:
-    """First build (or forced rebuild): write the whole index. Returns False
-    when an index exists and ``force`` is not set (nothing done)."""
+                encoder=None, hybrid: bool = False, clustered: bool = False, n_clusters: int | None = None) -> bool:
+    """First build (or forced rebuild): encode, train centroids if ``clustered``,
+    write vectors and centroids. Returns False when an index exists and
+    ``force`` is not set (nothing done)."""
     spark = papers.sparkSession
-    if _exists(spark, index_path) and not force:
+    if path_exists(spark, f"{index_path}/vectors") and not force:
         return False
-    rows = encode_papers(IX.first_per_id(papers, "id"), model, encoder)
-    rows.write.mode("overwrite").partitionBy("model").parquet(index_path)
+    rows = materialize(encode_papers(IX.first_per_id(papers, "id"), model, encoder, hybrid), "index-rows")
+    centroids = None
+    if clustered:
+        rows, centroids = K.kmeans_index(rows, n_clusters)
+    else:
+        rows = _assigned(rows, None)
+        delete_path(spark, f"{index_path}/centroids")
+    rows = rows.withColumns({"stream": F.lit(FIRST_BUILD), "batch_id": F.lit(0).cast("long")})
+    IX.write_index(rows.select(*INDEX_COLUMNS), index_path, centroids)
     return True
 
 
 def add_batch(batch_papers: DataFrame, index_path: str, model: str = "hash256", encoder=None,
-              stats_path: str | None = None, batch_id: int | None = None) -> None:
-    """Append the unseen papers of one batch to the index (idempotent)."""
+              stats_path: str | None = None, batch_id: int | None = None, hybrid: bool = False,
+              stream: str = "batch") -> None:
+    """Append the papers of one batch that the index does not hold under the
+    full key (idempotent), then replace the batch's counters."""
     spark = batch_papers.sparkSession
+    batch_id = 0 if batch_id is None else batch_id
     batch = IX.first_per_id(batch_papers, "id")
-    existing = read_index(spark, index_path)
+    existing, centroids = read_index(spark, index_path), None
     if existing is not None:
-        existing = existing.where(F.col("model") == model)
-        new = IX.unseen(batch, existing, "id", "id")
-    else:
-        new = batch
+        _, centroids = IX.read_index(spark, index_path)
+        batch = IX.needs_encoding(batch, existing, model, hybrid)
+    rows = _assigned(encode_papers(batch, model, encoder, hybrid), centroids).withColumns(
+        {"stream": F.lit(stream), "batch_id": F.lit(batch_id).cast("long")})
+    rows.select(*INDEX_COLUMNS).write.mode("append").partitionBy("model", "cluster_id").parquet(f"{index_path}/vectors")
     if stats_path is not None:
-        if existing is not None:
-            stats = IX.update_stats(batch_papers.select("id"), existing, "id", "id")
-        else:
-            n = batch.select("id").distinct().agg(F.count(F.lit(1)).alias("added"))
-            stats = n.select(F.lit(0).cast("long").alias("existing"), "added",
-                             F.lit(0).cast("long").alias("duplicates"), F.col("added").alias("total_after"))
-        stats.withColumn("batch_id", F.lit(batch_id).cast("long")) \
-            .withColumn("at", F.current_timestamp()).write.mode("append").parquet(stats_path)
-    encode_papers(new, model, encoder).write.mode("append").partitionBy("model").parquet(index_path)
+        # ids of other batches are what existed before; a replay sees the same
+        index = read_index(spark, index_path).where((F.col("model") == model) & (F.col("hybrid") == F.lit(hybrid)))
+        mine = (F.col("stream") == stream) & (F.col("batch_id") >= batch_id)
+        stats = IX.update_stats(batch_papers.select("id"), index.where(~mine).select("id"), "id", "id")
+        stats.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(
+            f"{stats_path}/stream={stream}/batch_id={batch_id}")
 
 
 def start_index_stream(spark: SparkSession, source_dir: str, index_path: str, checkpoint: str | None = None,
                        stats_path: str | None = None, model: str = "hash256", encoder=None,
+                       hybrid: bool = False, stream: str = "stream",
                        language: str | None = "en", categories=None, max_files_per_trigger: int = 100,
                        available_now: bool = True, fmt: str = "json"):
     """Stream new raw paper files from ``source_dir`` into the index."""
@@ -99,7 +140,7 @@ def start_index_stream(spark: SparkSession, source_dir: str, index_path: str, ch
 
     def each(batch_df: DataFrame, batch_id: int) -> None:
         papers = P.build_papers(batch_df, language=language, categories=categories)
-        add_batch(papers, index_path, model, encoder, stats_path, batch_id)
+        add_batch(papers, index_path, model, encoder, stats_path, batch_id, hybrid, stream)
 
     w = raw.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -122,6 +163,3 @@ def current_cache(spark: SparkSession, cache_log: str) -> DataFrame:
     from papyra.operators.summaries import latest_per_key
     return latest_per_key(spark.read.parquet(cache_log))
 
-
-def asof_timestamp(d: dt.date) -> F.Column:
-    return F.lit(d).cast("timestamp")

@@ -54,5 +54,5 @@ def test_index_with_plugged_encoder(spark, tmp_path):
     papers = spark.createDataFrame([("a1", "t", "abc"), ("a2", "t", "xyz")], "id string, title string, combined_text string")
     path = str(tmp_path / "idx")
     assert INC.build_index(papers, path, encoder=PL.encoder(make_letter_encoder(), "letters"), model="letters")
-    v = spark.read.parquet(path)
+    v = INC.read_index(spark, path)
     assert v.where(F.col("model") == "letters").count() == 2
