@@ -35,7 +35,9 @@ def main() -> None:
     from papyra.plans.catalog import load_all
 
     spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) * 2) if cpus.isdigit() else 16)
+    from papyra.plans import adapters
     reg = load_all()
+    adapters.SPREAD_SCANS = spark.sparkContext.defaultParallelism     # the tables are single files of one split
 
     # warm-up on the smallest tables: each query's generated code and the
     # Python workers are ready before timing starts (not timed)

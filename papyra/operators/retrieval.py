@@ -2,13 +2,17 @@
 
 ``search`` answers a whole table of queries at once. The plan is
 
-    queries --expand/encode--> query vectors (size-checked broadcast blocks)
-    doc vectors --Arrow BLAS kernel--> local top-k --partial WindowGroupLimit-->
-    global top ``search_k`` candidates per query
-    --(rerank: equi-join to paper text, pair scorer, min-max window)-->
-    candidate rank --join papers--> threshold / category / date filters
+    queries --expand/encode--> query vectors (size-checked)
+    vectors --exact or clustered k-NN--> top ``pool`` candidates per query,
+    written once as narrow (query, doc, score) rows
+    candidate ids --semi-join--> the papers that were hit, cleaned only then
+    --(rerank: pair scorer, min-max window)--> candidate rank
+    --> threshold / category / date filters
     --row_number--> first ``top_k`` accepted, first 5 with a summary
 
+The corpus is never copied. With a stored index (``Corpus.centroids``) only
+the probed clusters are read; without one the papers are encoded in the scan.
+
 Filters run after the candidate cut by default (``filter_mode="post"``, the
 reference's meaning, compensated by over-fetching x3 with filters and x5 with
 rerank); ``filter_mode="pre"`` applies them to the corpus first (full recall).
@@ -27,13 +31,6 @@ from papyra.functions import text as T
 from papyra.functions import vectors as V
 from papyra.operators import knn as K
 
-# Hit tables (queries x candidates, a few numbers per row) up to this many rows
-# are broadcast into the joins with the paper table, so the corpus is only
-# streamed; beyond it Spark's shuffle join is used.
-MAX_BROADCAST_HIT_ROWS = 2_000_000
-# Query rows (text or tokens, a few hundred bytes each) broadcast up to this.
-MAX_BROADCAST_QUERY_ROWS = 200_000
-
 TOP_K_RESULTS = 10
 SIMILARITY_THRESHOLD = 0.3
 MAX_SUMMARIES_PER_SEARCH = 5
@@ -134,115 +131,122 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def candidates(qv: DataFrame, dv: DataFrame, text: DataFrame, opts: SearchOptions,
-               n_queries: int | None = None, dim: int = E.ENCODER_DIM,
-               query_text: DataFrame | None = None) -> DataFrame:
-    """``(query_id, doc_id, cosine, score, candidate_rank)`` before filters,
-    with rerank also ``raw``, the pair score before normalisation.
-
-    The fetch size needs no corpus count: a top-k over fewer than k rows
-    returns them all, which is what min(k * multiplier, n) asks for.
-    ``text`` holds ``(doc_id, _text)`` for the pair scorer.
-    """
-    pool = opts.pool
-    hits = K.exact_knn(dv, qv, pool, id_col="doc_id", vec_col="vec", query_vec_col="qvec",
-                       dim=dim, n_queries=n_queries).withColumnRenamed("score", "cosine")
+def best_per_query(pairs: DataFrame, opts: SearchOptions) -> DataFrame:
+    """Adds ``score`` and ``candidate_rank`` to (query_id, query, doc_id, cosine,
+    rank, title, abstract, ...) rows; with rerank also ``raw``, the pair score
+    before the min-max normalisation over a query's candidates."""
     if not opts.use_reranking:
-        return hits.select("query_id", "doc_id", "cosine", F.col("cosine").alias("score"),
-                           F.col("rank").alias("candidate_rank"))
-    small = n_queries is not None and n_queries * pool <= MAX_BROADCAST_HIT_ROWS
-    qtext = query_text if query_text is not None else qv.select("query_id", "query")
-    if opts.scorer is None:
-        # built-in token-overlap scorer: each query and each paper is
-        # tokenised once, not once per (query, paper) pair
-        qtext = qtext.select("query_id", F.array_distinct(E.tokens("query")).alias("_qtok"))
-        text = text.select("doc_id", F.array_distinct(E.tokens("_text")).alias("_ttok"))
-        score = E.overlap_of_tokens(F.col("_qtok"), F.col("_ttok"))
-    else:
-        score = opts.scorer(F.col("query"), F.col("_text"))
-    # only the narrow hit rows are broadcast into the streamed paper text; the
-    # query side (one row per query) is attached afterwards, broadcast while
-    # the number of queries is within its own bound
-    few_queries = n_queries is not None and n_queries <= MAX_BROADCAST_QUERY_ROWS
-    pairs = text.join(F.broadcast(hits) if small else hits, "doc_id")
-    pairs = pairs.join(F.broadcast(qtext) if few_queries else qtext, "query_id").withColumn("raw", score)
+        return pairs.withColumns({"score": F.col("cosine"), "candidate_rank": F.col("rank")}).drop("rank")
+    text = E.rerank_text("title", "abstract")
+    raw = E.overlap_score(F.col("query"), text) if opts.scorer is None else opts.scorer(F.col("query"), text)
     w = Window.partitionBy("query_id")
+    order = w.orderBy(F.col("raw").desc(), F.col("doc_id"))
     norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
-    order = Window.partitionBy("query_id").orderBy(F.col("raw").desc(), F.col("doc_id"))
-    return pairs.select("query_id", "doc_id", "cosine", V.round_score(norm).alias("score"),
-                        F.row_number().over(order).alias("candidate_rank"), "raw")
+    return pairs.drop("rank").withColumn("raw", raw).withColumns(
+        {"score": V.round_score(norm), "candidate_rank": F.row_number().over(order)})
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """A searchable corpus: the paper rows and their vectors ``(doc_id, vec)``."""
+    """What is searched: ``papers`` (cleaned, with doc_id; may be a plan over raw
+    records), ``vectors`` (doc_id, vec) and, for a clustered index, its
+    ``centroids`` and a ``cluster_id`` on the vectors. ``rows_of(ids)`` gives the
+    papers of a table of doc_ids; where papers come from raw records it should
+    join before it cleans."""
     papers: DataFrame
     vectors: DataFrame
+    centroids: DataFrame | None = None
+    n_probe: int = 32
+    rows_of: object = field(default=None, compare=False)
 
+    def rows(self, ids: DataFrame) -> DataFrame:
+        return self.rows_of(ids) if self.rows_of else self.papers.join(ids, "doc_id", "left_semi")
 
-def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None,
-                   materialize_inputs: bool = True, materialize_vectors: bool = False) -> Corpus:
-    """The paper table (written once to the checkpoint folder, since search
-    reads it several times) and its vectors. Vectors come from ``dv`` or the
-    built-in encoder over ``combined_text``; only ``(doc_id, text)`` crosses
-    into Python, and the vectors stay lazy (read by one scan per query
-    block)."""
-    # combined_text is title + ". " + abstract: not stored twice, rebuilt for encoding
-    stored = papers.drop("combined_text") if "title" in papers.columns else papers
-    p = materialize(stored, "papers") if materialize_inputs else stored
+
+def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None, centroids: DataFrame | None = None,
+                   n_probe: int = 32, rows_of=None) -> Corpus:
+    """Vectors come from ``dv`` (a stored index) or from the built-in encoder over
+    title and abstract, inside the scan."""
     if dv is None:
-        text = F.concat(F.col("title"), F.lit(". "), F.col("abstract")) if "combined_text" not in p.columns \
-            else F.col("combined_text")
-        dv = E.hash_encode(p.select("doc_id", text.alias("combined_text")), "combined_text", "vec") \
-            .select("doc_id", "vec")
-    dv = dv.select("doc_id", "vec")
-    if materialize_vectors:      # shared by several searches: encode once
-        dv = materialize(dv, "vectors")
-    return Corpus(p, dv)
-
-
-def search(queries: DataFrame, papers: DataFrame, opts: SearchOptions = SearchOptions(),
-           dv: DataFrame | None = None, corpus: Corpus | None = None,
-           materialize_inputs: bool = True) -> DataFrame:
+        text = F.col("combined_text") if "combined_text" in papers.columns \
+            else F.concat(F.col("title"), F.lit(". "), F.col("abstract"))
+        dv = doc_vectors(papers.select("doc_id", text.alias("combined_text")))
+    return Corpus(papers, dv, centroids, n_probe, rows_of)
+
+
+def retrieve(qv: DataFrame, corpus: Corpus, pool: int, n_queries: int | None = None,
+             dim: int | None = E.ENCODER_DIM) -> DataFrame:
+    """``(query_id, doc_id, cosine, rank)``: the ``pool`` best papers per query."""
+    if corpus.centroids is None:
+        hits = K.exact_knn(corpus.vectors, qv, pool, id_col="doc_id", vec_col="vec", query_vec_col="qvec",
+                           dim=dim, n_queries=n_queries)
+    else:
+        vectors = corpus.vectors.select(F.col("doc_id").alias("id"), "vec", "cluster_id")
+        hits = K.clustered_knn(vectors, corpus.centroids, qv, pool, corpus.n_probe, query_vec_col="qvec") \
+            .withColumnRenamed("id", "doc_id")
+    return hits.select("query_id", "doc_id", F.col("score").alias("cosine"), "rank")
+
+
+def candidates(queries: DataFrame, corpus: Corpus, opts: SearchOptions, hits: DataFrame | None = None) -> DataFrame:
+    """Candidate papers of each query with score and candidate rank, before the
+    threshold and the filters. ``hits`` may pass (query_id, doc_id, cosine, rank)
+    rows that have been retrieved before."""
+    live = queries.where(~T.is_blank("query")).select("query_id", "query")
+    if hits is None:
+        if opts.filter_mode == "pre":
+            allowed = corpus.papers.where(passes_filters(opts)).select("doc_id")
+            corpus = replace(corpus, vectors=corpus.vectors.join(allowed, "doc_id", "left_semi"))
+        qv = query_vectors(queries, opts.use_query_expansion)
+        # narrow rows, queries x pool; read for the ids and for the join
+        hits = materialize(retrieve(qv, corpus, opts.pool, live.count()), "hits")
+    rows = corpus.rows(hits.select("doc_id").distinct())
+    # a corpus holding an id twice yields one row per doc: the first
+    first = Window.partitionBy("doc_id").orderBy("id")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return best_per_query(rows.join(hits, "doc_id").join(live, "query_id"), opts)
+
+
+def search(queries: DataFrame, papers: DataFrame | None, opts: SearchOptions = SearchOptions(),
+           dv: DataFrame | None = None, corpus: Corpus | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Results per query: ``query_id, rank, candidate_rank, doc_id`` + the
-    result fields. ``papers`` must carry ``doc_id``. ``corpus`` may pass a
-    prepared corpus (a stored index) to share between runs."""
+    result fields. ``papers`` must carry ``doc_id``. ``corpus`` passes a stored
+    index (vectors, centroids) or one shared between runs."""
     if corpus is None:
-        corpus = prepare_corpus(papers, dv, materialize_inputs)
-    paper_rows, vectors = corpus.papers, corpus.vectors
-    if opts.filter_mode == "pre":
-        paper_rows = paper_rows.where(passes_filters(opts))
-        vectors = vectors.join(paper_rows.select("doc_id"), "doc_id", "left_semi")
-    # query vectors are read once (collected in size-checked blocks), so they
-    # are not materialised; the count of non-blank queries bounds the blocks
-    live = queries.where(~T.is_blank("query")).select("query_id", "query")
-    n_queries = live.count()
-    if materialize_inputs and n_queries * E.ENCODER_DIM * 8 > K.DEFAULT_MAX_BLOCK_BYTES:
-        vectors = materialize(vectors, "vectors")      # several blocks scan it: write once
-    qv = query_vectors(queries, opts.use_query_expansion)
-    text = paper_rows.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
-    cand = candidates(qv, vectors, text, opts, n_queries, query_text=live)
-    kept = cand.where(F.col("score") >= opts.threshold)
-    small = n_queries * opts.pool <= MAX_BROADCAST_HIT_ROWS
-    # hits are broadcast into the paper table (the corpus streams, no shuffle);
-    # a corpus holding an id twice yields one row per (query, doc): the first
-    hits = paper_rows.join(F.broadcast(kept) if small else kept, "doc_id")
-    first = Window.partitionBy("query_id", "doc_id").orderBy("id")
-    hits = hits.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        corpus = prepare_corpus(papers, dv)
+    found = candidates(queries, corpus, opts, hits).where(F.col("score") >= opts.threshold)
     if opts.filter_mode == "post":
-        hits = hits.where(passes_filters(opts))
+        found = found.where(passes_filters(opts))
     acc = Window.partitionBy("query_id").orderBy("candidate_rank")
-    hits = hits.withColumn("rank", F.row_number().over(acc)).where(F.col("rank") <= opts.k)
+    found = found.withColumn("rank", F.row_number().over(acc)).where(F.col("rank") <= opts.k)
     if opts.generate_summaries:
         # the extractive summary is empty exactly when the abstract is, so the
         # slots are chosen first and only those rows are summarised
         has_text = F.coalesce(F.col("abstract"), F.lit("")) != ""
         slot = Window.partitionBy("query_id", has_text).orderBy("rank")
-        hits = hits.withColumn("_slot", has_text & (F.row_number().over(slot) <= MAX_SUMMARIES_PER_SEARCH)) \
+        found = found.withColumn("_slot", has_text & (F.row_number().over(slot) <= MAX_SUMMARIES_PER_SEARCH)) \
             .withColumn("ai_summary", F.when(F.col("_slot"), T.rule_summary("abstract"))).drop("_slot")
     else:
-        hits = hits.withColumn("ai_summary", F.lit(None).cast("string"))
-    return result_projection(hits)
+        found = found.withColumn("ai_summary", F.lit(None).cast("string"))
+    return result_projection(found)
+
+
+def similar_papers(probes: DataFrame, papers: DataFrame | None, top_k: int = 5, opts: SearchOptions = SearchOptions(),
+                   corpus: Corpus | None = None) -> DataFrame:
+    """The papers most like each probe (a table with ``doc_id``): a search with
+    the title and the first 500 characters of the abstract as the query, without
+    expansion, for top_k + 1 results; the probe itself is taken out. ``opts`` sets
+    rerank, threshold, filters and summaries. Unknown probes have no rows."""
+    if corpus is None:
+        corpus = prepare_corpus(papers)
+    known = corpus.rows(probes.select("doc_id").distinct())
+    queries = materialize(known.select(F.col("doc_id").alias("query_id"), F.col("id").alias("_self"),
+                                       E.rerank_text("title", "abstract").alias("query")), "probes")
+    res = search(queries.select("query_id", "query"), None, corpus=corpus, opts=replace(
+        opts, top_k=top_k + 1, use_query_expansion=False))
+    own = queries.select("query_id", "_self").distinct()
+    others = res.join(own, "query_id").where(F.col("document_id") != F.col("_self")).drop("_self")
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return others.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
 def result_projection(hits: DataFrame) -> DataFrame:
@@ -296,15 +300,48 @@ def cost_per_search(n_results, summaries_enabled: bool = True) -> F.Column:
     return F.round(tokens / 1000.0 * USD_PER_1K_TOKENS, 8)
 
 
+def search_overview(queries: DataFrame, papers: DataFrame | None, asof: dt.date, opts: SearchOptions = SearchOptions(),
+                    corpus: Corpus | None = None) -> DataFrame:
+    """One row per query, also without hits: result ids in order, totals, mean
+    score, cost, the rule-based overview and whether rerank was used."""
+    from papyra.operators.results import batch_digest
+    res = materialize(search(queries, papers, opts, corpus=corpus), "results")
+    ids = res.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document_id"))),
+                                                  lambda x: x["document_id"]).alias("results"))
+    return queries.select("query_id", "query").join(ids, "query_id", "left") \
+        .join(envelope(queries, res, opts.generate_summaries), "query_id") \
+        .join(batch_digest(queries, res, asof), "query_id") \
+        .select("query_id", "query", F.coalesce("results", F.array().cast("array<string>")).alias("results"),
+                F.col("digest").alias("overview"), "total_results", "downloadable_pdfs", "ai_summaries_count",
+                "estimated_cost", "average_similarity", F.lit(opts.use_reranking).alias("used_reranking"))
+
+
 def compare_methods(queries: DataFrame, papers: DataFrame, top_k: int = 5,
-                    base: SearchOptions = SearchOptions()) -> DataFrame:
-    """Plain, expanded, expanded + rerank runs tagged with ``method``."""
-    corpus = prepare_corpus(papers, materialize_vectors=True)
+                    base: SearchOptions = SearchOptions(), corpus: Corpus | None = None) -> DataFrame:
+    """Plain, expanded, expanded + rerank runs tagged with ``method``. The corpus
+    is scanned once: plain and expanded query vectors are two queries of one
+    retrieval, and the runs differ in what they do with its hits."""
+    if corpus is None:
+        corpus = prepare_corpus(papers)
     runs = [("basic", replace(base, top_k=top_k, use_reranking=False, use_query_expansion=False)),
             ("expanded", replace(base, top_k=top_k, use_reranking=False, use_query_expansion=True)),
             ("expanded_rerank", replace(base, top_k=top_k, use_reranking=True, use_query_expansion=True))]
+    both = None
+    for expand in (False, True):
+        qv = query_vectors(queries, expand).select(F.struct(F.lit(expand).alias("e"), F.col("query_id").alias("q"))
+                                                   .alias("s"), "qvec").select(F.to_json("s").alias("query_id"), "qvec")
+        both = qv if both is None else both.unionByName(qv)
+    pool = max(o.pool for _, o in runs)
+    keyed = F.from_json("query_id", _key_schema(queries))
+    hits = materialize(retrieve(both, corpus, pool).withColumn("s", keyed).select(
+        F.col("s.e").alias("expanded"), F.col("s.q").alias("query_id"), "doc_id", "cosine", "rank"), "hits")
     out = None
     for name, o in runs:
-        r = search(queries, papers, o, corpus=corpus).withColumn("method", F.lit(name))
+        mine = hits.where((F.col("expanded") == F.lit(o.use_query_expansion)) & (F.col("rank") <= o.pool)).drop("expanded")
+        r = search(queries, papers, o, corpus=corpus, hits=mine).withColumn("method", F.lit(name))
         out = r if out is None else out.unionByName(r)
     return out
+
+
+def _key_schema(queries: DataFrame) -> str:
+    return f"e boolean, q {queries.schema['query_id'].dataType.simpleString()}"

@@ -63,7 +63,7 @@ def sample_diverse(df: DataFrame, n: int, seed: int = 42, id_col: str = "id",
     both = chosen.unionByName(rest).orderBy("sample_order").limit(n)
     wide = df.withColumn("_row", _row_key(df)).join(both, [id_col, "_row"])
     # rows equal in every column share the hash: one of them
-    return wide.dropDuplicates([id_col]).drop("_row")
+    return wide.dropDuplicates([id_col]).select(*df.columns, "sample_order")
 
 
 def _row_key(df: DataFrame):

@@ -13,23 +13,14 @@ from pyspark.sql import functions as F
 from papyra.functions import vectors as V
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return rebalance(df) if name in TEXT_TABLES else df
-
+#: For benchmarks on small single-file tables only: deal the rows of a text
+#: table, whose one file gives one split, over this many tasks.
+SPREAD_SCANS = 0
 
-# Tables whose rows carry long texts: per-row regex work dominates, so a scan
-# that yields fewer splits than the cluster has cores is spread out first.
-TEXT_TABLES = {"documents", "pages", "conversations"}
 
-
-def rebalance(df: DataFrame) -> DataFrame:
-    """Round-robin an under-split scan over the default parallelism. A large
-    table already has many splits and is returned unchanged (no shuffle)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.repartition(SPREAD_SCANS) if SPREAD_SCANS and name in ("documents", "pages", "conversations") else df
 
 
 def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +50,13 @@ def raw_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str, model: str = "m64") -> DataFrame:
-    """``embeddings`` -> ``(id, model, vec, label)``; ``m32`` keeps the first
-    32 components, re-normalised."""
+    """``embeddings`` -> ``(id, model, vec, label)``; ``m32`` folds the
+    halves of the vector onto each other, re-normalised."""
     e = table(spark, sf_dir, "embeddings")
     vec = F.col("embedding").cast("array<double>")
     if model == "m32":
-        vec = V.normalize(F.slice(vec, 1, 32))
+        half = F.floor(F.size(vec) / 2).cast("int")
+        vec = V.normalize(F.zip_with(F.slice(vec, F.lit(1), half), F.slice(vec, half + 1, half), lambda x, y: x + y))
     elif model != "m64":
         raise ValueError(f"unknown model {model!r}")
     return e.select(F.col("vec_id").alias("id"), F.lit(model).alias("model"),

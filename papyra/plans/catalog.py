@@ -52,5 +52,5 @@ def register(name: str, sql: str | None):
 def load_all() -> dict[str, tuple[Builder, str | None]]:
     # importing the modules fills REGISTRY
     from papyra.plans import (q_ingest, q_corpus, q_vectors, q_search,  # noqa: F401
-                              q_results, q_format, q_io)
+                              q_results, q_format, q_io, q_more)
     return REGISTRY

@@ -18,14 +18,14 @@ from papyra.plans import sqlsearch as Q
 from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
 from papyra.plans.q_ingest import papers
-from papyra.plans.q_search import DEFAULT, queries_table, run_search
+from papyra.plans.q_search import DEFAULT, corpus, queries_table, run_search
 
 
 def results_table(spark, sf_dir, opts=DEFAULT, q=None):
     """Search results written once (queries x k rows) for consumers that read
     them several times."""
     q = q if q is not None else queries_table(spark, sf_dir)
-    return R.materialize(R.search(q, papers(spark, sf_dir), opts), "results")
+    return R.materialize(R.search(q, None, opts, corpus=corpus(spark, sf_dir)), "results")
 
 
 ASOF = dt.date(2024, 12, 31)
@@ -222,10 +222,11 @@ SELECT round(avg(agreement), 6) AS mean_agreement, round(avg(improvement), 6) AS
 def rerank_agreement(spark, sf_dir):
     """Same queries with and without rerank: overlap / 10, top-score change."""
     q = queries_table(spark, sf_dir).where(~T.is_blank("query"))
-    p = papers(spark, sf_dir)
-    corpus = R.prepare_corpus(p, materialize_vectors=True)
-    a = R.materialize(R.search(q, p, PLAIN, corpus=corpus), "results")
-    b = R.materialize(R.search(q, p, DEFAULT, corpus=corpus), "results")
+    c = corpus(spark, sf_dir)
+    qv = R.query_vectors(q, expand=True)
+    hits = R.materialize(R.retrieve(qv, c, max(PLAIN.pool, DEFAULT.pool)), "hits")      # one scan for both runs
+    a, b = (R.materialize(R.search(q, None, o, corpus=c, hits=hits.where(F.col("rank") <= o.pool)), "results")
+            for o in (PLAIN, DEFAULT))
     return RS.rerank_agreement(q, a, b, DEFAULT.k)
 
 
@@ -243,9 +244,24 @@ def latency_profile(spark, sf_dir):
 FROM qs q LEFT JOIN (SELECT query_id, count(*) AS n FROM res GROUP BY query_id) r ON r.query_id = q.query_id""")
 def cost_column(spark, sf_dir):
     q = queries_table(spark, sf_dir)
-    res = R.search(q, papers(spark, sf_dir), DEFAULT)
+    res = R.search(q, None, DEFAULT, corpus=corpus(spark, sf_dir))
     n = res.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     out = q.select("query_id").join(n, "query_id", "left")
     total = F.coalesce("n", F.lit(0))
     return out.select("query_id", total.alias("total_results"),
                       R.cost_per_search(total).alias("estimated_cost"))
+
+
+@register("search_overview", _digest_sql().rsplit("\nSELECT q.query_id, CASE", 1)[0] + """
+, env AS (SELECT query_id, count(*) AS n, count(ai_summary) AS s, count_if(pdf_available) AS d,
+  avg(similarity_score) AS a, string_agg(document_id, '|' ORDER BY rank) AS results FROM res GROUP BY query_id),
+dig AS (SELECT q.query_id, CASE""" + _digest_sql().rsplit("\nSELECT q.query_id, CASE", 1)[1] + """)
+SELECT q.query_id, coalesce(e.results, '') AS results, g.digest AS overview, coalesce(e.n, 0) AS total_results,
+  coalesce(e.d, 0) AS downloadable_pdfs, coalesce(e.s, 0) AS ai_summaries_count,
+  round((least(coalesce(e.n, 0), 5) * 350 + 800) / 1000.0 * 0.002, 8) AS estimated_cost,
+  round(coalesce(e.a, 0.0), 6) AS average_similarity, TRUE AS used_reranking
+FROM qs q LEFT JOIN env e ON e.query_id = q.query_id JOIN dig g ON g.query_id = q.query_id""")
+def search_overview(spark, sf_dir):
+    """One row per query: results, overview, totals, cost."""
+    out = R.search_overview(queries_table(spark, sf_dir), None, ASOF, DEFAULT, corpus=corpus(spark, sf_dir))
+    return out.drop("query").withColumn("results", F.array_join("results", "|"))

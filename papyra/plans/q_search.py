@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from papyra.functions import encode as E
 from papyra.functions import vectors as V
+from papyra.operators import index as IX
+from papyra.operators import knn as K
+from papyra.operators import papers as P
 from papyra.operators import retrieval as R
 from papyra.plans import adapters as A
 from papyra.plans import sqlsearch as Q
 from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
 from papyra.plans.q_ingest import papers
+from papyra.session import scratch_path
 
 DEFAULT = R.SearchOptions()
 FILTERED = R.SearchOptions(category_filter=("src3", "src7", "src11"), start_date=dt.date(2023, 6, 1),
@@ -36,8 +41,15 @@ def _out(df):
                      F.array_join("categories", "|").alias("categories"))
 
 
+def corpus(spark, sf_dir, **index):
+    """The papers of ``documents``; hit papers are cleaned after the semi-join."""
+    raw = A.raw_papers(spark, sf_dir)
+    return R.prepare_corpus(papers(spark, sf_dir), rows_of=lambda ids: P.build_papers(
+        raw.join(ids, "doc_id", "left_semi"), language=None), **index)
+
+
 def run_search(spark, sf_dir, opts):
-    return R.search(queries_table(spark, sf_dir), papers(spark, sf_dir), opts)
+    return R.search(queries_table(spark, sf_dir), None, opts, corpus=corpus(spark, sf_dir))
 
 
 @register("query_expand", f"""WITH {Q.QUERIES_CTE}
@@ -97,9 +109,7 @@ SELECT query_id, doc_id, raw, round((raw - min(raw) OVER w) / (max(raw) OVER w -
 FROM pairs WINDOW w AS (PARTITION BY query_id)""")
 def minmax_norm(spark, sf_dir):
     """Raw pair scores of the rerank candidates and their min-max normal form."""
-    p = papers(spark, sf_dir)
-    text = p.select("doc_id", E.rerank_text("title", "abstract").alias("_text"))
-    cand = R.candidates(R.query_vectors(queries_table(spark, sf_dir), True), R.doc_vectors(p), text, DEFAULT)
+    cand = R.candidates(queries_table(spark, sf_dir), corpus(spark, sf_dir), DEFAULT)
     return cand.select("query_id", "doc_id", "raw", F.col("score").alias("norm_score"))
 
 
@@ -112,7 +122,7 @@ FROM qs q LEFT JOIN (SELECT query_id, count(*) AS n, count(ai_summary) AS s, cou
 def search_envelope(spark, sf_dir):
     """Per query, also blank or hit-less ones: totals, mean score, cost."""
     q = queries_table(spark, sf_dir)
-    res = R.search(q, papers(spark, sf_dir), DEFAULT)
+    res = R.search(q, None, DEFAULT, corpus=corpus(spark, sf_dir))
     return R.envelope(q, res)
 
 
@@ -130,7 +140,7 @@ def _method_sql():
 
 @register("method_compare", _method_sql())
 def method_compare(spark, sf_dir):
-    r = R.compare_methods(queries_table(spark, sf_dir), papers(spark, sf_dir), top_k=5)
+    r = R.compare_methods(queries_table(spark, sf_dir), None, top_k=5, corpus=corpus(spark, sf_dir))
     return r.select("method", "query_id", "rank", "doc_id", "similarity_score")
 
 
@@ -141,3 +151,60 @@ YEARS = R.SearchOptions(years_back=1, use_reranking=False)
 def knn_filtered_years(spark, sf_dir):
     """Date filter relative to the as-of date (last year; undated papers pass)."""
     return _out(run_search(spark, sf_dir, YEARS))
+
+
+IVF_CLUSTERS, IVF_PROBES = 10, 3
+
+
+def _ivf_sql() -> str:
+    """Search with the candidate CTE cut to each query's probed clusters."""
+    ctes = [S.raw_cte(), S.flagged_cte(None), S.papers_cte(), Q.QUERIES_CTE] + Q.search_ctes(DEFAULT)
+    at = next(i for i, c in enumerate(ctes) if c.startswith("hits AS"))
+    u = S.normalize("vec")
+    probe = f"""dc AS (SELECT doc_id, doc_id % {IVF_CLUSTERS} AS cluster_id, vec FROM dv),
+du AS (SELECT cluster_id, {u} AS u FROM dc),
+cm AS (SELECT cluster_id, pos, avg(x) AS m FROM (SELECT cluster_id, unnest(u) AS x, generate_subscripts(u, 1) AS pos
+  FROM du) GROUP BY ALL),
+cen AS (SELECT cluster_id, {S.normalize('list(m ORDER BY pos)')} AS vec FROM cm GROUP BY cluster_id),
+pr AS (SELECT query_id, cluster_id FROM (SELECT q.query_id, c.cluster_id, row_number() OVER (PARTITION BY q.query_id
+  ORDER BY round({S.cosine('q.qvec', 'c.vec')}, 6) DESC, c.cluster_id) AS r FROM qv q CROSS JOIN cen c)
+  WHERE r <= {IVF_PROBES})"""
+    ctes[at] = ctes[at].replace("FROM qv q CROSS JOIN dv d", "FROM qv q JOIN pr ON pr.query_id = q.query_id "
+                                "JOIN dc d ON d.cluster_id = pr.cluster_id")
+    ctes.insert(at, probe)
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT {Q.RESULT_COLS} FROM res"
+
+
+@register("search_ivf", _ivf_sql())
+def search_ivf(spark, sf_dir):
+    """Full search over a stored clustered index: clusters by id, their mean
+    vectors as centroids, 3 of 10 clusters probed; written and read back."""
+    v = R.doc_vectors(papers(spark, sf_dir)).withColumn("cluster_id", F.col("doc_id") % IVF_CLUSTERS)
+    path = scratch_path(spark, f"search-index-{uuid.uuid4().hex}")
+    IX.write_index(v.select(F.col("doc_id").alias("id"), "vec", "cluster_id"), path)
+    stored, _ = IX.read_index(spark, path)
+    cen = R.materialize(K.label_centroids(stored, "cluster_id"), "centroids")
+    index = corpus(spark, sf_dir, dv=stored.withColumnRenamed("id", "doc_id"), centroids=cen, n_probe=IVF_PROBES)
+    return _out(R.search(queries_table(spark, sf_dir), None, DEFAULT, corpus=index))
+
+
+SIMILAR = replace(DEFAULT, use_query_expansion=False, top_k=6)
+
+
+def _similar_sql() -> str:
+    qs = ("qs AS (SELECT doc_id AS query_id, id AS _self, " + S.rerank_text("title", "abstract") + " AS query FROM papers "
+          "WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0))")
+    ctes = [S.raw_cte(), S.flagged_cte(None), S.papers_cte(), qs] + Q.search_ctes(SIMILAR)
+    return "WITH " + ",\n".join(ctes) + """
+SELECT query_id, doc_id, similarity_score, ai_summary, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT r.*, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS rn
+  FROM res r JOIN qs q ON q.query_id = r.query_id WHERE r.document_id <> q._self) WHERE rn <= 5"""
+
+
+@register("similar_papers", _similar_sql())
+def similar_papers(spark, sf_dir):
+    """Papers like the probes (papers labelled low quality): rerank, summaries,
+    threshold, the probe itself taken out."""
+    probes = A.table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    r = R.similar_papers(probes, None, 5, DEFAULT, corpus=corpus(spark, sf_dir))
+    return r.select("query_id", "doc_id", "similarity_score", "ai_summary", "rank")

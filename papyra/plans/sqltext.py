@@ -152,7 +152,8 @@ def vectors_cte(model: str = "m64", name: str = "vectors") -> str:
     if model == "m64":
         vec = "CAST(embedding AS DOUBLE[])"
     else:
-        v = "list_slice(CAST(embedding AS DOUBLE[]), 1, 32)"
+        e = "CAST(embedding AS DOUBLE[])"
+        v = (f"list_transform(list_zip(list_slice({e}, 1, 32), list_slice({e}, 33, 64)), lambda x: x[1] + x[2])")
         vec = normalize(v)
     return f"{name} AS (SELECT vec_id AS id, '{model}' AS model, {vec} AS vec, label FROM embeddings)"
 

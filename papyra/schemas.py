@@ -20,37 +20,3 @@ RAW = T.StructType([
 ])
 
 RAW_WITH_CORRUPT = T.StructType(RAW.fields + [T.StructField(CORRUPT_COL, T.StringType())])
-
-PAPERS = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("abstract", T.StringType()),
-    T.StructField("combined_text", T.StringType()),
-    T.StructField("authors", T.ArrayType(T.StringType())),
-    T.StructField("categories", T.ArrayType(T.StringType())),
-    T.StructField("update_date", T.TimestampType()),
-    T.StructField("submitter", T.StringType()),
-    T.StructField("doi", T.StringType()),
-    T.StructField("journal_ref", T.StringType()),
-    T.StructField("text_length", T.IntegerType()),
-    T.StructField("word_count", T.IntegerType()),
-])
-
-RESULTS = T.StructType([
-    T.StructField("query_id", T.LongType()),
-    T.StructField("rank", T.IntegerType()),
-    T.StructField("document_id", T.StringType()),
-    T.StructField("title", T.StringType()),
-    T.StructField("abstract", T.StringType()),
-    T.StructField("authors", T.ArrayType(T.StringType())),
-    T.StructField("categories", T.ArrayType(T.StringType())),
-    T.StructField("similarity_score", T.DoubleType()),
-    T.StructField("update_date", T.StringType()),
-    T.StructField("arxiv_id", T.StringType()),
-    T.StructField("abstract_url", T.StringType()),
-    T.StructField("pdf_url", T.StringType()),
-    T.StructField("pdf_available", T.BooleanType()),
-    T.StructField("ai_summary", T.StringType()),
-])
-
-QUERIES = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query", T.StringType())])
