@@ -73,7 +73,8 @@ def test_parse_date(spark, raw, expected):
 
 
 @pytest.mark.parametrize("raw,extracted,valid", [
-    ("see 0905.1234 there", "0905.1234", True),              # four digits after the dot
+    ("0905.1234", "0905.1234", True),                        # four digits after the dot
+    ("see 0905.1234 there", None, False),                    # only the whole text counts
     ("1912.00017v12", "1912.00017", True),                   # two-digit version
     ("arXiv:arXiv:1811.01001", "1811.01001", True),          # prefix twice
     ("hep-th/9901001v3", "hep-th/9901001", True),            # old style with version
