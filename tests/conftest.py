@@ -12,7 +12,3 @@ def spark():
     s = local_session("*", shuffle_partitions=8, app="papyra-tests")
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"
