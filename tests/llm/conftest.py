@@ -1,16 +1,5 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from papyra.session import local_session
-    return local_session("*", shuffle_partitions=8, app="papyra-tests")
-
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
