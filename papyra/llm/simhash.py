@@ -178,22 +178,26 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df):
         return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
 
-    def star(df, keep):
-        low = df.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        return df.join(low, "a").where(keep).select("b", "m", "a")
-    now = Staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-                 "simhash-star")
+    def lowest(df, value):
+        # written, so that the join below has plain tables on both sides and a
+        # hub with very many edges can be split
+        return Staged(df.groupBy("a").agg(value.alias("m")), "simhash-low")
+
+    def ordered(df):
+        return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = Staged(ordered(edges), "simhash-star")
     seen = mark(now.df)
     while True:
         both = now.df.union(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both, F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
-            low.select("a", F.col("m").alias("b")))
-        new = Staged(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                     .distinct(), "simhash-star")
-        now.drop()
+        low = lowest(both, F.least(F.col("a"), F.min("b")))
+        large = Staged(ordered(both.join(low.df, "a").where(F.col("b") > F.col("a"))
+                               .select(F.col("b").alias("a"), F.col("m").alias("b"))), "simhash-large")
+        low2 = lowest(large.df, F.min("b"))
+        small = large.df.join(low2.df, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(
+            low2.df.select("a", F.col("m").alias("b")))
+        new = Staged(ordered(small), "simhash-star")
+        for t in (now, low, large, low2):
+            t.drop()
         now, last, seen = new, seen, mark(new.df)
         if seen == last:
             break
@@ -206,8 +210,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     fps = Staged(fingerprints(docs, shingle), "simhash-fp").df
     distinct = Staged(fps.groupBy("fp").agg(F.min("doc_id").alias("m")), "simhash-distinct").df
     nodes = components(links(distinct, max_bits))
-    linked = nodes.join(distinct, nodes.node == distinct.fp).select("fp", "root", "m")
-    smallest = linked.groupBy("root").agg(F.min("m").alias("component_id"))
+    linked = Staged(nodes.join(distinct, nodes.node == distinct.fp).select("fp", "root", "m"), "simhash-linked").df
+    smallest = Staged(linked.groupBy("root").agg(F.min("m").alias("component_id")), "simhash-smallest").df
     grouped = Staged(distinct.join(linked.join(smallest, "root").select("fp", "component_id"), "fp", "left")
                      .select("fp", F.coalesce("component_id", "m").alias("component_id")), "simhash-groups").df
     return fps.join(grouped, "fp").select("doc_id", "d", "k", "fp", "component_id")
