@@ -27,7 +27,7 @@ from papyra.llm.common import (Rolling, Staged, row_blocks, row_key, sliding_min
                                word_spans)
 
 LONGEST = 1024              # starts of a member
-MAX_CLASSES = 8192          # of an anchor; beyond, its windows are dealt one by one
+MAX_CLASSES = 1024          # of an anchor; beyond, its windows are dealt one by one
 SEGMENTS_A_TASK = 10_000
 MEMBER = "a long, c long, d long, k long, s int, n int, places int"
 
