@@ -8,7 +8,8 @@ of the rows' passages, with the items' passages weighted to equal their number,
 worked out in one pass: each task adds up its share of A'A Omega, and
 the Nystroem form of that sketch gives the leading right singular vectors.
 Passages whose cosine with a passage of an item in that space reaches ``cosine``
-are candidates. A candidate stands if the longest common subsequence of the
+are candidates, if the benchmark's words carry at least ``energy`` of the
+passage's TF-IDF norm (words that no item has count with the largest idf). A candidate stands if the longest common subsequence of the
 item and the passage with its surroundings (an item's length on both sides)
 holds ``lcs`` of the item's words, and ``answer`` of the words of the item's
 answer: its last sentence, or its last third if it has one sentence only.
@@ -43,7 +44,8 @@ SALTS, BLOCK_WORDS = 16, 128
 class Settings:
     width: int = 24
     rank: int = 128
-    cosine: float = 0.7
+    cosine: float = 0.55
+    energy: float = 0.5
     lcs: float = 0.7
     answer: float = 0.6
     max_benchmark_bytes: int = 64 << 20
@@ -176,15 +178,13 @@ def _grouped(ids: np.ndarray, off: np.ndarray, step: int) -> tuple[np.ndarray, n
     return np.repeat(first[:-1], size) + place // step, first, int(first[-1])
 
 
-def _sums(table: np.ndarray, words: np.ndarray, weight: np.ndarray, group: np.ndarray, n: int,
-          step: int = 1 << 15) -> np.ndarray:
-    """Per group (ascending), the weighted sum of its words' rows of ``table``."""
+def _sums(table: np.ndarray, rows: np.ndarray, group: np.ndarray, n: int, step: int = 1 << 12) -> np.ndarray:
+    """Per group (ascending), the sum of the given rows of ``table``."""
     out = np.zeros((n, table.shape[1]), np.float32)
-    for i in range(0, len(words), step):
-        part = table[words[i:i + step]] * weight[i:i + step, None]
+    for i in range(0, len(rows), step):
         g = group[i:i + step]
         cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        out[g[cut]] += np.add.reduceat(part, cut, axis=0)
+        out[g[cut]] += np.add.reduceat(table[rows[i:i + step]], cut, axis=0)
     return out
 
 
@@ -192,7 +192,7 @@ def sketch(found: DataFrame, idf: np.ndarray, omega: np.ndarray, width: int) ->
     """A'A Omega over all rows' passages (unit rows), and their number."""
     size, rank = omega.shape
     blocks = -(-size // BLOCK_WORDS)
-    spark = found.sparkSession
+    scaled = (omega * idf[:, None]).astype(np.float32)
 
     def run(batches):
         import pyarrow as pa
@@ -206,15 +206,13 @@ def sketch(found: DataFrame, idf: np.ndarray, omega: np.ndarray, width: int) ->
                 group, _, n = _grouped(ids, off, width)
                 inside = ids >= 0
                 words, group = ids[inside], group[inside]
-                weight = idf[words].astype(np.float32)
-                norm = np.sqrt(np.bincount(group, weight.astype(float) ** 2, n))
-                weight = (weight / np.maximum(norm, 1e-9)[group]).astype(np.float32)
-                y = _sums(omega, words, weight, group, n)
-                order = np.argsort(words, kind="stable")
-                words, group, weight = words[order], group[order], weight[order]
-                total[:size] += _sums(y, group, weight, words, size)
-                count += int((norm > 0).sum())
+                square = np.bincount(group, (idf * idf)[words], n)
+                y = _sums(scaled, words, group, n) / np.maximum(square, 1e-18).astype(np.float32)[:, None]
+                order = np.argsort(words.astype(np.uint16) if size < 1 << 16 else words, kind="stable")
+                total[:size] += _sums(y, group[order], words[order], size)
+                count += int((square > 0).sum())
         part = TaskContext.get().partitionId()
+        total[:size] *= idf[:, None]
         for i in range(blocks):
             body = total[i * BLOCK_WORDS:(i + 1) * BLOCK_WORDS].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part % SALTS]), pa.array([count if i == 0 else 0]),
@@ -293,6 +291,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     queries = rows @ space
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
     latent = (space * idf[:, None]).astype(np.float32)
+    square, rare = idf * idf, float(np.log(n + 1.0)) ** 2
     step = s.width // 2
     masks = [(masks_of(w), len(w), masks_of(a), len(a)) for w, a in zip(items.items, items.answers)]
     names, ids_of = [f.split()[0] for f in schema.split(", ")], items.ids
@@ -301,15 +300,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
         """(row, first word, item, cosine), best passage of an item each."""
         group, first, n = _grouped(ids, off, step)
         inside = ids >= 0
-        half = _sums(latent, ids[inside], np.ones(inside.sum(), np.float32), group[inside], n)
         row = np.repeat(np.arange(len(off) - 1), np.diff(first))
         size = np.diff(first)[row]
         last = np.arange(n) == first[row + 1] - 1
         start = np.flatnonzero(~last | (size == 1))         # a passage is two halves, or the only one
         second = np.where(size[start] > 1, start + 1, start)
+        known = np.bincount(group[inside], square[ids[inside]], n)
+        other = np.bincount(group[~inside], minlength=n) * rare
+        mine, rest = known[start] + known[second], other[start] + other[second]
+        told = (mine > 0) & (mine >= s.energy ** 2 * (mine + rest))
+        start, second = start[told], second[told]
+        used = np.zeros(n, bool)
+        used[start] = used[second] = True
+        place = np.cumsum(used) - 1
+        inside &= used[group]
+        half = _sums(latent, ids[inside], place[group[inside]], int(used.sum()))
         for i in range(0, len(start), 4096):
             a, b = start[i:i + 4096], second[i:i + 4096]
-            x = half[a] + half[b]
+            x = half[place[a]] + half[place[b]]
             norm = np.linalg.norm(x, axis=1)
             cos = (x / np.maximum(norm, 1e-9)[:, None]) @ queries.T
             at, q = np.nonzero(cos >= s.cosine)
