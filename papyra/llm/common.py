@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.session import ensure_checkpoint_dir
+from papyra.session import delete_path, ensure_checkpoint_dir
 
 NULL_ID = -(1 << 63)
 
@@ -37,20 +37,15 @@ class Staged:
     """A table written to the shared checkpoint folder and read back: later
     jobs start from the files, so a lost executor costs no recomputation."""
 
-    def __init__(self, df: DataFrame, tag: str, partition_by: str | None = None):
+    def __init__(self, df: DataFrame, tag: str):
         self.spark = df.sparkSession
         self.path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/papyra-{tag}-{uuid.uuid4().hex}"
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(self.path)
+        df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only when nothing reads them any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.path)
 
 
 # ---- flat text views inside tasks -------------------------------------------

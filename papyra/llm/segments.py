@@ -204,8 +204,6 @@ class Repeats:
                                                       .alias("items"))
 
         def fetch(batches):
-            import pyarrow as pa
-
             names = ("a", "c", "occ", "low", "n")
             for b in batches:
                 out, texts, size = [], [], 0
@@ -273,8 +271,6 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def finish(docs: DataFrame, spans: DataFrame, rest, schema: str) -> DataFrame:
     """Per row of ``docs``: ``rest(text, items)`` gives the values after doc_id;
     ``spans`` has (d, k, items), one row a key."""
-    import pyarrow as pa  # noqa: F401
-
     d, k = row_key()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), d, k, F.col("text").cast("binary").alias("text"))
     names = [f.split()[0] for f in schema.split(", ")]

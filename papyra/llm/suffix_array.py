@@ -22,7 +22,6 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from papyra.llm.segments import BYTES, Repeats, chunks, finish, merged, runs, spans_of
 
