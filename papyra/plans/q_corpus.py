@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from papyra.operators import analytics as AN
 from papyra.operators import sampling as SM
