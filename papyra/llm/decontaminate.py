@@ -44,8 +44,8 @@ SALTS, BLOCK_WORDS = 16, 128
 class Settings:
     width: int = 24
     rank: int = 128
-    cosine: float = 0.55
-    energy: float = 0.5
+    cosine: float = 0.5
+    energy: float = 0.3
     lcs: float = 0.7
     answer: float = 0.6
     max_benchmark_bytes: int = 64 << 20
