@@ -1,28 +1,32 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Rows of a source, in a hash order of their keys, are cut into blocks of
-``block_rows``. A source with integer weight c out of ``period`` releases its
-block j of a period at slot floor(j * period / c) with deadline
+``block_rows``, and time into periods of ``period`` slots. A source whose target is
+x slots a period (a fraction) has had floor(p * x) or one more blocks after p
+periods, whichever the largest remainders of that moment say, so what rounding
+owes is carried on and no source drifts from its target. Within a period in which
+it has c blocks, block j is released at slot floor(j * period / c) with deadline
 ceil((j + 1) * period / c); earliest deadline first over the released blocks
-fills every slot of the period, so after t slots each source has had between
-floor and ceil of t * c / period blocks: less than one block off its target.
-The schedule repeats every period, so only one period is worked out (in the
-driver, its size is the ``period`` parameter); a block's slot follows from its
-number alone, and the blocks are numbered by one range shuffle.
+places them. So a source is less than one block off its target at the end of every
+period and less than two at any slot. The blocks due in a period follow from its
+number alone, so tasks work out the periods side by side; blocks are numbered by
+one range shuffle and joined with their slots.
 
-Weights are ``weights`` (source -> number) or rows ** ``power``, rounded to
-integers by largest remainder, one at least. Every row is kept once; a source
-that has run out leaves its slots empty.
+Weights are ``weights`` (source -> number) or rows ** ``power``; a source that
+would get less than one slot a period is raised to one, and the others share the
+rest by weight. Every row is kept once; a source that has run out leaves its slots
+empty.
 
 Cases: a null source is a source of its own; null ids and texts are rows like
 others; repeated rows stay repeated; an empty table gives an empty result; more
-sources than ``period`` lengthen it to 4 slots a source; other columns stay, but
-a column named like an output is replaced.
+sources than a quarter of ``period`` lengthen it to 4 slots a source; other columns
+stay, but a column named like an output is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,35 +34,90 @@ from pyspark.sql import Window as W
 
 from papyra.llm.common import Staged, row_key
 
+BITS = 40
 OUTPUT = ("block", "in_block", "release", "deadline", "slot")
 
 
-def integer_weights(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Weights as integers of sum ``period`` (largest remainder), one at least."""
-    total = sum(weights.values()) or 1.0
-    exact = {s: (period - len(weights)) * w / total for s, w in sorted(weights.items())}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    rest = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in rest[:period - sum(out.values())]:
+def target_slots(weights: dict[str, float], period: int) -> dict[str, int]:
+    """Slots a period of each source in units of 2 ** -BITS: by weight, one slot
+    at least; they sum to ``period`` slots."""
+    names = sorted(weights, key=lambda s: (weights[s], s))
+    rest = math.fsum(weights.values())
+    given = weights if rest > 0 else dict.fromkeys(weights, 1.0)
+    left, rest, out = period, rest if rest > 0 else float(len(weights)), {}
+    for n, s in enumerate(names):
+        if given[s] * left >= rest:
+            out.update((x, round(given[x] * left / rest * (1 << BITS))) for x in names[n:])
+            break
+        out[s] = 1 << BITS
+        left -= 1
+        rest = math.fsum(given[x] for x in names[n + 1:])
+    if names:
+        out[names[-1]] += (period << BITS) - sum(out.values())
+    return out
+
+
+def blocks_until(slots: dict[str, int], period: int, p: int) -> dict[str, int]:
+    """Blocks of each source in the first ``p`` periods (largest remainder of the
+    targets so far). As no target is under one slot a period, they never fall."""
+    due = {s: p * x for s, x in slots.items()}
+    out = {s: x >> BITS for s, x in due.items()}
+    rest = sorted(due, key=lambda s: (-(due[s] & ((1 << BITS) - 1)), s))
+    for s in rest[:p * period - sum(out.values())]:
         out[s] += 1
     return out
 
 
-def schedule(weights: dict[str, int], period: int) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, release, deadline, slot), earliest
-    deadline first over the released blocks."""
-    jobs = sorted((j * period // c, -(-(j + 1) * period // c), s, j) for s, c in weights.items() for j in range(c))
-    ready, out, at = [], [], 0
-    for slot in range(period):
+def integer_weights(weights: dict[str, float], period: int) -> dict[str, int]:
+    """Weights as integers of sum ``period`` (largest remainder), one at least."""
+    return blocks_until(target_slots(weights, period), period, 1)
+
+
+def schedule(weights: dict[str, int], period: int, have: dict[str, int] | None = None) -> list[tuple[str, int, int, int, int]]:
+    """(source, block of the period, release, deadline, slot), earliest deadline
+    first over the released blocks; of a source in ``have``, only that many blocks."""
+    jobs = sorted((j * period // c, -(-(j + 1) * period // c), s, j) for s, c in weights.items()
+                  for j in range(c if have is None else min(c, have[s])))
+    ready, out, at, slot = [], [], 0, 0
+    while ready or at < len(jobs):
+        if not ready:
+            slot = max(slot, jobs[at][0])
         while at < len(jobs) and jobs[at][0] <= slot:
             release, deadline, s, j = jobs[at]
             heapq.heappush(ready, (deadline, s, j, release))
             at += 1
         deadline, s, j, release = heapq.heappop(ready)
         out.append((s, j, release, deadline, slot))
+        slot += 1
     return out
 
 
+def period_slots(slots: dict[str, int], blocks: dict[str, int], period: int, p: int) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, slot) of the blocks due in period ``p``;
+    ``blocks`` is the number each source has."""
+    before, after = blocks_until(slots, period, p), blocks_until(slots, period, p + 1)
+    live = {s: n for s in slots if (n := blocks[s] - before[s]) > 0}
+    return [(s, before[s] + j, p * period + r, p * period + e, p * period + t)
+            for s, j, r, e, t in schedule({s: after[s] - before[s] for s in live}, period, live)]
+
+
+def block_slots(spark, slots: dict[str, int], blocks: dict[str, int], period: int) -> DataFrame:
+    """``period_slots`` of all periods until the last source has run out."""
+    names = ["__source", "block", "release", "deadline", "slot"]
+    periods = max((-(-(blocks[s] << BITS) // x) for s, x in slots.items()), default=0)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), *[pa.int64()] * 4]
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                cols = list(zip(*period_slots(slots, blocks, period, p))) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
+    return spark.range(0, periods, 1, max(1, min(periods, 512))).mapInArrow(
+        run, "__source string, block long, release long, deadline long, slot long")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = 16,
         period: int = 1000) -> DataFrame:
     """``docs`` with block, in_block (place in the block), release, deadline and
@@ -81,22 +140,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     period = max(period, 4 * len(sizes))
     given = {("n" if s is None else f"s{s}"): float(w) for s, w in (weights or {}).items()}
     target = {s: given.get(s, 0.0) if weights else float(n) ** power for s, n in sizes.items()}
-    plan = schedule(integer_weights(target, period), period) if target else []
-    share: dict[str, int] = {}
-    for s, *_ in plan:
-        share[s] = share.get(s, 0) + 1
-    slots = spark.createDataFrame([(s, share[s], j, r, e, t) for s, j, r, e, t in plan],
-                                  "__source string, __c long, __j long, __r long, __e long, __t long")
-    shares = slots.select("__source", "__c").distinct()
-    # both sides are bounded: parts as above, slots by the period
+    due = target_slots(target, period)
+    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
+    slots = Staged(block_slots(spark, due, blocks, period), "mix-slots").df
+    # parts are bounded as above; slots (a row a block) are joined as their size allows
     ranked = rows.withColumn("__part", F.shiftright("__m", 33)) \
         .join(F.broadcast(parts.select("__source", "__part", "__first", "__before")), ["__source", "__part"]) \
         .withColumn("__rank", F.col("__m") - F.col("__first") + F.col("__before")) \
-        .join(F.broadcast(shares), "__source") \
         .withColumn("block", F.floor(F.col("__rank") / block_rows)) \
-        .withColumn("in_block", F.col("__rank") % block_rows) \
-        .withColumn("__j", F.col("block") % F.col("__c")) \
-        .withColumn("__base", F.floor(F.col("block") / F.col("__c")) * period)
-    return ranked.join(F.broadcast(slots.drop("__c")), ["__source", "__j"]).select(
-        *names, "block", "in_block", (F.col("__base") + F.col("__r")).alias("release"),
-        (F.col("__base") + F.col("__e")).alias("deadline"), (F.col("__base") + F.col("__t")).alias("slot"))
+        .withColumn("in_block", F.col("__rank") % block_rows)
+    return ranked.join(slots, ["__source", "block"]).select(*names, *OUTPUT)

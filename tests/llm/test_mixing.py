@@ -48,3 +48,32 @@ def test_given_weights(spark, docs_of):
     head = Counter(r.source for r in rows if r.slot < 40)
     assert head["src0"] > 2.5 * head["src1"] and head["src2"] == 2
     assert len(rows) == 300
+
+
+def test_no_drift_from_the_targets_over_many_periods():
+    cases = [({"hot": 0.9, "a": 0.05, "b": 0.05}, 1000), ({"hot": 1.0, **{f"s{i}": 1 / 9 for i in range(9)}}, 1000),
+             ({"hot": (1 / 3) ** 0.5, **{f"s{i}": (2 / 3 / 299) ** 0.5 for i in range(299)}}, 1200), ({"hot": 3, "a": 1.7}, 7)]
+    for weights, period in cases:
+        due = mixing.target_slots(weights, period)
+        total, blocks = sum(weights.values()), dict.fromkeys(weights, 10 ** 9)
+        got, at = Counter(), 0
+        for p in range(30):
+            for s, block, release, deadline, slot in mixing.period_slots(due, blocks, period, p):
+                assert slot == at and block == got[s] and release <= slot < deadline
+                got[s] += 1
+                at += 1
+                if s == "hot":
+                    assert abs(got[s] - at * weights[s] / total) < 2
+            assert all(abs(got[s] - at * w / total) < 1 for s, w in weights.items())
+
+
+def test_mix_follows_the_targets(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    docs = docs_of([(i, "x") for i in range(2000)]).withColumn("source", F.when(F.col("doc_id") < 1000, "hot").otherwise(
+        F.concat(F.lit("s"), F.col("doc_id") % 9)))
+    weights = {"hot": 9, **{f"s{i}": 1 for i in range(9)}}
+    rows = mixing.mix(docs, weights, block_rows=1, period=41).collect()
+    assert len(rows) == 2000
+    for upto in range(41, 1600, 41):
+        assert abs(sum(r.source == "hot" and r.slot < upto for r in rows) - upto / 2) < 1
