@@ -8,9 +8,12 @@ of the rows' passages, with the items' passages weighted to equal their number,
 worked out in one pass: each task adds up its share of A'A Omega, and
 the Nystroem form of that sketch gives the leading right singular vectors.
 Passages whose cosine with a passage of an item in that space reaches ``cosine``
-are candidates, if the benchmark's words carry at least ``energy`` of the
-passage's TF-IDF norm (words that no item has count with the largest idf). A candidate stands if the longest common subsequence of the
-item and the passage with its surroundings (an item's length on both sides)
+are candidates, unless their surroundings hold too few benchmark words for any
+item to reach ``lcs``, whatever their order. ``energy`` can ask in addition that the
+benchmark's words carry that share of the passage's TF-IDF norm; it is off (0), as
+words that no item has weigh more the more rows there are. A candidate stands if the
+longest common subsequence of the item and the passage with its surroundings (an
+item's length on both sides)
 holds ``lcs`` of the item's words, and ``answer`` of the words of the item's
 answer: its last sentence, or its last third if it has one sentence only.
 
@@ -45,7 +48,7 @@ class Settings:
     width: int = 24
     rank: int = 128
     cosine: float = 0.5
-    energy: float = 0.3
+    energy: float = 0.0
     lcs: float = 0.7
     answer: float = 0.6
     max_benchmark_bytes: int = 64 << 20
@@ -293,6 +296,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     latent = (space * idf[:, None]).astype(np.float32)
     square, rare = idf * idf, float(np.log(n + 1.0)) ** 2
     step = s.width // 2
+    sizes = np.unique([len(w) for w in items.items])
     masks = [(masks_of(w), len(w), masks_of(a), len(a)) for w, a in zip(items.items, items.answers)]
     names, ids_of = [f.split()[0] for f in schema.split(", ")], items.ids
 
@@ -310,6 +314,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
         mine, rest = known[start] + known[second], other[start] + other[second]
         told = (mine > 0) & (mine >= s.energy ** 2 * (mine + rest))
         start, second = start[told], second[told]
+        upto, at = np.concatenate([[0], np.cumsum(inside)]), row[start]
+        word = off[at] + (start - first[at]) * step
+        told = np.zeros(len(start), bool)
+        for size in sizes:                                  # no bound on the order: loses no pair
+            near = upto[np.minimum(off[at + 1], word + s.width + size)] - upto[np.maximum(off[at], word - size)]
+            told |= near / size >= s.lcs
+        start, second = start[told], second[told]
         used = np.zeros(n, bool)
         used[start] = used[second] = True
         place = np.cumsum(used) - 1
@@ -343,7 +354,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
                 for r, word, item, cos in candidates(ids, off):
                     mask, size, amask, asize = masks[item]
                     lo, hi = max(off[r], off[r] + word - size), min(off[r + 1], off[r] + word + s.width + size)
-                    near = ids[lo:hi].tolist()
+                    near = ids[lo:hi]
+                    near = near[near >= 0].tolist()
+                    if len(near) / size < s.lcs:
+                        continue
                     lcs = common_words(mask, size, near) / size
                     if lcs >= s.lcs and lcs > best.get((i + r, item), (0, 0, 0))[1]:
                         answer = common_words(amask, asize, near) / asize

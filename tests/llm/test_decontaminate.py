@@ -73,3 +73,22 @@ def test_empty(spark, docs_of):
     assert dc.report(docs_of([(1, "a")]).limit(0), bench).count() == 0
     assert dc.report(docs_of([(1, "a")]), bench.limit(0)).count() == 0
     assert dc.drop_contaminated(docs_of([(1, "a")]), bench.limit(0)).count() == 1
+
+
+def test_items_of_common_words_with_unknown_words_between(spark, docs_of):
+    """Words that no item has must not hide a passage, however many rows there are."""
+    rng = random.Random(5)
+    common = [f"c{chr(97 + i)}" for i in range(26)]
+    items = [(i, " ".join(rng.choice(common) for _ in range(24))) for i in range(6)]
+    pairs = []
+    for i in range(300):
+        words = [w for w in common if rng.random() < 0.9]
+        rng.shuffle(words)
+        if i % 30 == 0:
+            leak = items[i // 30 % 6][1].split()
+            for x in rng.sample(range(24), 4):
+                leak[x] = f"unknown{rng.random()}"
+            words = words[:12] + leak + words[12:]
+        pairs.append((i, " ".join(words)))
+    found = {(r.doc_id, r.item_id) for r in dc.report(docs_of(pairs, 4), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(i, i // 30 % 6) for i in range(0, 300, 30)} <= found
