@@ -36,7 +36,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[A-Za-z0-9](?:[^\s<>\"'`{}|\\^]*[A-Za-z0-9/_=-])?")
 _IBAN = re.compile(r"[\s:=#\"']{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_VALUE = re.compile(r"[\s:=#]{0,3}(?:(?:no|nr|number|id)\b\.?[\s:=#]{0,3})?[\"']?([A-Za-z0-9][A-Za-z0-9_-]{3,63})")
+# lengths by country (ISO 13616 registry)
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
+    for c in cs.split(",")}
+_VALUE = re.compile(r"[\s:=#]{0,3}(?:(?:no|nr|number|id)\b\.?[\s:=#]{0,3})?[\"']?([A-Za-z0-9][A-Za-z0-9_-]{3,})")
 
 
 def automaton():
@@ -147,6 +153,22 @@ def urls(text: str, heads: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def iban_end(text: str, start: int, end: int) -> int | None:
+    """End of the IBAN at the head of ``text[start:end]``: its country's length or
+    all of it, without a country the longest for which mod 97 holds; an end between
+    words wins over one inside."""
+    places = [p for p in range(start, end) if text[p] != " "]
+    country = IBAN_LENGTHS.get(text[start:start + 2])
+    sizes = [country, len(places)] if country else range(len(places), 14, -1)
+    fits = []
+    for n in sizes:
+        if n <= len(places):
+            value = "".join(text[p] for p in places[:n])
+            if int("".join(str(int(x, 36)) for x in value[4:] + value[:4])) % 97 == 1:
+                fits.append(places[n - 1] + 1)
+    return next((e for e in fits if not text[e:e + 1].isalnum()), fits[0] if fits else None)
+
+
 def accounts(text: str, cues: list[tuple[int, int]]) -> tuple[list, list]:
     """IBANs and other account values right after an identifier cue; a span
     covers the value only."""
@@ -155,10 +177,9 @@ def accounts(text: str, cues: list[tuple[int, int]]) -> tuple[list, list]:
         if start < done or (start and (text[start - 1].isalnum())):
             continue
         if m := _IBAN.match(text, end):
-            value = m[1].replace(" ", "")
-            if 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
-                iban.append(m.span(1))
-                done = m.end()
+            if last := iban_end(text, *m.span(1)):
+                iban.append((m.start(1), last))
+                done = last
                 continue
         if (m := _VALUE.match(text, end)) and any("0" <= c <= "9" for c in m[1]) and m.start(1) > end:
             other.append(m.span(1))

@@ -105,3 +105,19 @@ def test_added_spans():
     assert cut["iban"] == ["DE89 3704 0044 0532 0130 00"]
     assert cut["account"] == ["ab12cd"]
     assert pii.redact("mail a@b.cd now", "email:5:11") == "mail [EMAIL] now"
+
+
+def test_account_values_end_where_they_end():
+    m = pii.automaton()
+
+    def cut(text):
+        return {k: [text[a:b] for a, b in v] for k, v in pii.find(text, m).items() if k in ("iban", "account") and v}
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert cut(f"iban {de} BIC COBADEFFXXX") == {"iban": [de]}
+    assert cut(f"IBAN: {gb} 2024") == {"iban": [gb]}
+    assert cut(f"iban {de.replace(' ', '')}ABC") == {"iban": [de.replace(" ", "")]}
+    assert cut(f"iban {de}") == {"iban": [de]} and cut(f"iban {de} OK, account 12345") == {"iban": [de], "account": ["12345"]}
+    token = "a1" * 60
+    assert cut(f"token={token}; next") == {"account": [token]}
+    text = f"token={token} next"
+    assert pii.redact(text, pii.joined(pii.find(text, m), pii.KINDS)) == "token=[ACCOUNT] next"
