@@ -291,6 +291,12 @@ def cluster_count(n: int) -> int:
     return max(10, min(256, n // 10), min(n // 195, int(8 * math.sqrt(n))))
 
 
+def default_probes(clusters: int) -> int:
+    """Clusters probed by default: three in four, 32 at least; ``ivf_recall``
+    measures the recall at this number."""
+    return max(min(clusters, 32), clusters * 3 // 4)
+
+
 def kmeans_index(vectors: DataFrame, n_clusters: int | None = None, *, vec_col: str = "vec",
                  seed: int = 42, max_iter: int = 20):
     """Train cosine k-means (MLlib) on unit vectors; returns

@@ -150,13 +150,14 @@ def best_per_query(pairs: DataFrame, opts: SearchOptions) -> DataFrame:
 class Corpus:
     """What is searched: ``papers`` (cleaned, with doc_id; may be a plan over raw
     records), ``vectors`` (doc_id, vec) and, for a clustered index, its
-    ``centroids`` and a ``cluster_id`` on the vectors. ``rows_of(ids)`` gives the
+    ``centroids`` and a ``cluster_id`` on the vectors; without ``n_probe`` the
+    clusters probed grow with their number (``knn.default_probes``). ``rows_of(ids)`` gives the
     papers of a table of doc_ids; where papers come from raw records it should
     join before it cleans."""
     papers: DataFrame
     vectors: DataFrame
     centroids: DataFrame | None = None
-    n_probe: int = 32
+    n_probe: int | None = None
     rows_of: object = field(default=None, compare=False)
 
     def rows(self, ids: DataFrame) -> DataFrame:
@@ -164,7 +165,7 @@ class Corpus:
 
 
 def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None, centroids: DataFrame | None = None,
-                   n_probe: int = 32, rows_of=None) -> Corpus:
+                   n_probe: int | None = None, rows_of=None) -> Corpus:
     """Vectors come from ``dv`` (a stored index) or from the built-in encoder over
     title and abstract, inside the scan."""
     if dv is None:
@@ -182,7 +183,8 @@ def retrieve(qv: DataFrame, corpus: Corpus, pool: int, n_queries: int | None = N
                            dim=dim, n_queries=n_queries)
     else:
         vectors = corpus.vectors.select(F.col("doc_id").alias("id"), "vec", "cluster_id")
-        hits = K.clustered_knn(vectors, corpus.centroids, qv, pool, corpus.n_probe, query_vec_col="qvec") \
+        n_probe = corpus.n_probe or K.default_probes(corpus.centroids.count())
+        hits = K.clustered_knn(vectors, corpus.centroids, qv, pool, n_probe, query_vec_col="qvec") \
             .withColumnRenamed("id", "doc_id")
     return hits.select("query_id", "doc_id", F.col("score").alias("cosine"), "rank")
 

@@ -171,3 +171,23 @@ def test_running_top_k_equals_one_batch(spark, vectors):
 def test_cluster_count_grows():
     assert [K.cluster_count(n) for n in (5, 500, 2560, 50_000)] == [10, 50, 256, 256]
     assert 4000 < K.cluster_count(1_000_000) < 8192 < K.cluster_count(10_000_000)
+
+
+def test_recall_at_the_default_probes(spark):
+    """A clustered corpus searched without a probe count keeps recall@10 of 0.9."""
+    import random
+
+    from papyra.operators import retrieval as R
+
+    rng = random.Random(3)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(32)]) for i in range(1500)], "doc_id long, vec array<double>")
+    assigned, cen = K.kmeans_index(v, 150, max_iter=3)
+    assigned, cen = R.materialize(assigned, "assigned"), R.materialize(cen, "centroids")
+    q = v.where("doc_id < 100").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
+    papers = v.select("doc_id", F.lit("").alias("combined_text"))
+
+    def pairs(centroids):
+        corpus = R.prepare_corpus(papers, assigned, centroids)
+        return {(r.query_id, r.doc_id) for r in R.retrieve(q, corpus, 10, dim=32).collect()}
+    exact = pairs(None)
+    assert len(exact) == 1000 and len(exact & pairs(cen)) >= 900
