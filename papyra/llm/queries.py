@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import chat, decontaminate, line_runs, mixing, pii, simhash, suffix_array, suffix_tree, topk, toxicity
+from papyra.llm import chat, decontaminate, line_runs, mixing, packing, pii, ranked, simhash, suffix_array
+from papyra.llm import suffix_tree, topk, toxicity, whitening
 from papyra.llm.common import read_table
 
 
@@ -108,6 +109,46 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, power=0.5, block_rows=16, period=1000).drop("text")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
+OP11_SQL = r"""
+WITH dt AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+d AS (SELECT *, len(terms) AS n FROM dt WHERE len(terms) > 0),
+stats AS (SELECT count(*) AS docs, sum(n) AS total FROM d),
+it AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+iw AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(terms) AS term FROM it) GROUP BY ALL),
+tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d)
+       WHERE term IN (SELECT term FROM iw) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), stats),
+m AS (SELECT row_id, doc_id, CAST(100 - 25 + (25 * n * docs) // total AS BIGINT) AS m FROM d, stats),
+s AS (SELECT item, item_id, row_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM iw JOIN tf USING (term) JOIN w USING (term) JOIN m USING (row_id) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(read_table(spark, sf_dir, "documents"), path, capacity=4096, end_id=1)
+
+
 QUERIES = {
     "op1_chat_format": (op1_chat_format, OP1_SQL),
     "op2_decontaminate": (op2_decontaminate, None),
@@ -119,4 +160,7 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_suffix_tree": (op9_suffix_tree, None),
     "op10_mix_sources": (op10_mix_sources, None),
+    "op11_ranked_search": (op11_ranked_search, OP11_SQL),
+    "op12_whitening": (op12_whitening, None),
+    "op13_packing": (op13_packing, None),
 }
