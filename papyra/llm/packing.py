@@ -14,8 +14,8 @@ one group holds them all; so rounding is lost once, not once a group.
 
 Token ids. The tokenizer drops white space and no rule of it looks across, so the
 ids of a text are those of its parts between ASCII white space. Each distinct part is
-encoded once and kept in a bounded cache. Parts of printable ASCII are split by
-the tokenizer's own pattern and go straight to its model; others, and those that
+encoded once and kept in a bounded cache. Parts of printable ASCII and composed Latin
+letters are lower-cased, split by the tokenizer's pattern and go straight to its model; others, and those that
 may hold a special token, through the whole tokenizer. The result is that of
 ``encode(text, add_special_tokens=False)`` (tested).
 
@@ -27,7 +27,9 @@ matter.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from functools import reduce
 
 import numpy as np
@@ -38,58 +40,104 @@ from papyra.llm.common import Staged
 
 GROUP_PIECES = 32_768       # pieces that one task packs
 DISSOLVE_SHARE = 8          # at most one piece in so many is packed again
-CACHE_PARTS = 300_000       # encoded parts that a worker keeps
+CACHE_PARTS = 500_000       # encoded parts of a worker's newer generation; a batch may exceed it
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [c.split()[0] for c in PIECE.split(", ")]
 
-# The pre-tokenizer's pattern of the vocabulary file, for lower-case ASCII.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+# The pre-tokenizer's pattern of the vocabulary file, for lower-case ASCII
+# and for lower-case Latin letters (U+00DF to U+017F) with it.
 ASCII_WORDS = rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
-PLAIN = rb"[!-~]{1,200}"
+LATIN_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u017f"
+LATIN_WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[0-9]|[^\\s{LATIN_LETTERS}0-9]+"
+# composed letters only, whose lower case is one letter of LATIN_LETTERS
+LATIN = "[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]{1,200}"
+PLAIN = rb"[!-@[-~]{1,200}"
 
 
-class Encoder:
-    """Packed ids (little-endian unsigned 32 bits) of texts."""
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
-    def __init__(self, path: str, lower_words: bool = True):
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.lower_words = lower_words      # the file lower-cases and splits as ASCII_WORDS says
-        self.parts: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.pattern, self.plain = re.compile(ASCII_WORDS), re.compile(PLAIN)
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable
+    Latin-1 characters themselves, the others numbered from 256 on."""
+    out, extra = [], 256
+    for b in range(256):
+        itself = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b) if itself else chr(extra))
+        extra += not itself
+    return out
+
+
+class Words(dict):
+    """Ids of lower-case words by the tokenizer's model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        spelt = word.decode() if word.isascii() else "".join([self.letters[b] for b in word])
+        got = self[word] = _packed([t.id for t in self.model.tokenize(spelt)])
+        return got
+
 
-    def word(self, w: bytes) -> bytes:
-        got = self.words.get(w)
+class Parts(dict):
+    """Ids of the parts between white space. Of two generations, what is used again
+    moves from the old one (``old``) to this one."""
+
+    def __init__(self, tokenizer, ascii_words: bool):
+        super().__init__()
+        self.tokenizer, self.ascii_words, self.old = tokenizer, ascii_words, {}
+        self.words, self.split, self.plain = Words(tokenizer.model), re.compile(ASCII_WORDS).findall, re.compile(PLAIN).fullmatch
+        self.latin, self.latin_split = re.compile(LATIN).fullmatch, re.compile(LATIN_WORDS).findall
+
+    def __missing__(self, part: bytes) -> bytes:
+        got = self.old.get(part)
         if got is None:
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(w.decode())], "<u4").tobytes()
-            self.words[w] = got
+            got = self.encode(part)
+        self[part] = got
         return got
 
-    def learn(self, parts: set[bytes]) -> None:
-        whole = []
-        for p in parts:
-            if self.lower_words and self.plain.fullmatch(p) and b"<|" not in p:
-                self.parts[p] = b"".join(map(self.word, self.pattern.findall(p.lower())))
-            else:
-                whole.append(p)
-        done = self.tokenizer.encode_batch_fast([p.decode() for p in whole], add_special_tokens=False)
-        self.parts.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(whole, done))
+    def encode(self, part: bytes) -> bytes:
+        if self.ascii_words:
+            core = part.rstrip(MARKS)
+            if core.isalpha() and core.islower():       # a word, perhaps with marks after it
+                return self.words[part] if core == part else self[core] + self.words[part[len(core):]]
+            if b"<|" not in part:
+                if self.plain(part):
+                    return b"".join([self.words[w] for w in self.split(part)])
+                if self.latin(text := part.decode()):
+                    return b"".join([self.words[w.encode()] for w in self.latin_split(text.lower())])
+        return _packed(self.tokenizer.encode_batch_fast([part.decode()], add_special_tokens=False)[0].ids)
+
+    def turn(self) -> None:
+        """Begin a new generation when this one is full."""
+        if len(self) > CACHE_PARTS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.words) > CACHE_PARTS:
+            self.words.clear()
+
+
+class Encoder:
+    """Packed ids (little-endian unsigned 32 bits) of texts. With ``ascii_words`` the
+    tokenizer lower-cases and splits words as ``ASCII_WORDS`` says."""
+
+    def __init__(self, path: str, ascii_words: bool = True):
+        from tokenizers import Tokenizer
+
+        self.ascii_words = ascii_words
+        self.parts = Parts(Tokenizer.from_file(path), ascii_words)
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            parts = text.split() if text else []
-            new = set(parts) - self.parts.keys()
-            if new:
-                if len(self.parts) + len(new) > CACHE_PARTS:
-                    self.parts.clear()
-                    new = set(parts)
-                if len(self.words) > CACHE_PARTS:
-                    self.words.clear()
-                self.learn(new)
-            out.append(b"".join(map(self.parts.__getitem__, parts)))
-        return out
+        self.parts.turn()
+        get = self.parts.__getitem__
+        # lower-casing A-Z first shares more parts; it must not make a special token
+        return [b"".join(map(get, (t.lower() if self.ascii_words and b"<|" not in t else t).split())) if t else b""
+                for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}      # one a worker
