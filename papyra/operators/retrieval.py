@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from papyra.functions import encode as E
 from papyra.functions import text as T
 from papyra.functions import vectors as V
+from papyra.operators import celltree as C
 from papyra.operators import knn as K
+from papyra.session import materialize
 
 TOP_K_RESULTS = 10
 SIMILARITY_THRESHOLD = 0.3
@@ -118,19 +120,6 @@ def passes_filters(opts: SearchOptions) -> F.Column:
     return ok & (d.isNull() | date_ok)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut lineage: write ``df`` once as Parquet under the cluster's shared
-    checkpoint folder and read it back, so later branches and actions do not
-    recompute it (one pass, unlike ``checkpoint()``, which runs the plan a
-    second time to write it)."""
-    import uuid
-    from papyra.session import scratch_path
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def best_per_query(pairs: DataFrame, opts: SearchOptions) -> DataFrame:
     """Adds ``score`` and ``candidate_rank`` to (query_id, query, doc_id, cosine,
     rank, title, abstract, ...) rows; with rerank also ``raw``, the pair score
@@ -151,34 +140,38 @@ class Corpus:
     """What is searched: ``papers`` (cleaned, with doc_id; may be a plan over raw
     records), ``vectors`` (doc_id, vec) and, for a clustered index, its
     ``centroids`` and a ``cluster_id`` on the vectors; without ``n_probe`` the
-    clusters probed grow with their number (``knn.default_probes``). ``rows_of(ids)`` gives the
-    papers of a table of doc_ids; where papers come from raw records it should
+    clusters probed grow with their number (``knn.default_probes``). ``cells`` is a cell
+    index over the doc_ids (``celltree``): its stop rule decides what is read, and the
+    vectors themselves are not needed. ``rows_of(ids)`` gives the papers of a table of doc_ids; where papers come from raw records it should
     join before it cleans."""
     papers: DataFrame
-    vectors: DataFrame
+    vectors: DataFrame | None
     centroids: DataFrame | None = None
     n_probe: int | None = None
     rows_of: object = field(default=None, compare=False)
+    cells: C.CellIndex | None = field(default=None, compare=False)
 
     def rows(self, ids: DataFrame) -> DataFrame:
         return self.rows_of(ids) if self.rows_of else self.papers.join(ids, "doc_id", "left_semi")
 
 
 def prepare_corpus(papers: DataFrame, dv: DataFrame | None = None, centroids: DataFrame | None = None,
-                   n_probe: int | None = None, rows_of=None) -> Corpus:
-    """Vectors come from ``dv`` (a stored index) or from the built-in encoder over
-    title and abstract, inside the scan."""
-    if dv is None:
+                   n_probe: int | None = None, rows_of=None, cells: C.CellIndex | None = None) -> Corpus:
+    """Vectors come from ``dv`` (a stored index), from ``cells`` or from the built-in
+    encoder over title and abstract, inside the scan."""
+    if dv is None and cells is None:
         text = F.col("combined_text") if "combined_text" in papers.columns \
             else F.concat(F.col("title"), F.lit(". "), F.col("abstract"))
         dv = doc_vectors(papers.select("doc_id", text.alias("combined_text")))
-    return Corpus(papers, dv, centroids, n_probe, rows_of)
+    return Corpus(papers, dv, centroids, n_probe, rows_of, cells)
 
 
 def retrieve(qv: DataFrame, corpus: Corpus, pool: int, n_queries: int | None = None,
              dim: int | None = E.ENCODER_DIM) -> DataFrame:
     """``(query_id, doc_id, cosine, rank)``: the ``pool`` best papers per query."""
-    if corpus.centroids is None:
+    if corpus.cells is not None:
+        hits = C.search(corpus.cells, qv, pool, query_vec_col="qvec")[0].withColumnRenamed("id", "doc_id")
+    elif corpus.centroids is None:
         hits = K.exact_knn(corpus.vectors, qv, pool, id_col="doc_id", vec_col="vec", query_vec_col="qvec",
                            dim=dim, n_queries=n_queries)
     else:
@@ -197,7 +190,10 @@ def candidates(queries: DataFrame, corpus: Corpus, opts: SearchOptions, hits: Da
     if hits is None:
         if opts.filter_mode == "pre":
             allowed = corpus.papers.where(passes_filters(opts)).select("doc_id")
-            corpus = replace(corpus, vectors=corpus.vectors.join(allowed, "doc_id", "left_semi"))
+            # the cells hold papers of all kinds: filters before the cut need the vectors
+            vectors = corpus.vectors if corpus.vectors is not None \
+                else C.vectors_of(corpus.cells).withColumnRenamed("id", "doc_id")
+            corpus = replace(corpus, vectors=vectors.join(allowed, "doc_id", "left_semi"), cells=None)
         qv = query_vectors(queries, opts.use_query_expansion)
         # narrow rows, queries x pool; read for the ids and for the join
         hits = materialize(retrieve(qv, corpus, opts.pool, live.count()), "hits")

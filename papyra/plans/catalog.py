@@ -39,7 +39,7 @@ def _bigint_count_if(sql: str) -> str:
         i = k + 1
 
 
-def register(name: str, sql: str | None):
+def register(name: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
         prev = REGISTRY.get(name)
         if prev is not None and prev[0].__module__ != fn.__module__:

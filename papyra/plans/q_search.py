@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import encode as E
 from papyra.functions import vectors as V
-from papyra.operators import index as IX
-from papyra.operators import knn as K
+from papyra.operators import celltree as C
 from papyra.operators import papers as P
 from papyra.operators import retrieval as R
 from papyra.plans import adapters as A
@@ -153,39 +152,64 @@ def knn_filtered_years(spark, sf_dir):
     return _out(run_search(spark, sf_dir, YEARS))
 
 
-IVF_CLUSTERS, IVF_PROBES = 10, 3
+def cell_corpus(spark, sf_dir, tuned: bool = True):
+    """The papers behind a stored cell index; its slack is tuned on an eighth of the
+    queries, 256 at most expected, for 95 in 100 of their candidates."""
+    path = scratch_path(spark, f"search-cells-{uuid.uuid4().hex}")
+    v = R.doc_vectors(papers(spark, sf_dir)).select(F.col("doc_id").alias("id"), "vec")
+    index = C.build(v, path)
+    if tuned:
+        qv = R.materialize(R.query_vectors(queries_table(spark, sf_dir), DEFAULT.use_query_expansion), "query-vectors")
+        share = min(1.0 / 8, 256 / max(qv.count(), 1))
+        sample = qv.where(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        index = C.tune(index, path, sample, DEFAULT.pool, recall=0.95, query_vec_col="qvec")
+    return corpus(spark, sf_dir, cells=index)
 
 
-def _ivf_sql() -> str:
-    """Search with the candidate CTE cut to each query's probed clusters."""
-    ctes = [S.raw_cte(), S.flagged_cte(None), S.papers_cte(), Q.QUERIES_CTE] + Q.search_ctes(DEFAULT)
-    at = next(i for i, c in enumerate(ctes) if c.startswith("hits AS"))
-    u = S.normalize("vec")
-    probe = f"""dc AS (SELECT doc_id, doc_id % {IVF_CLUSTERS} AS cluster_id, vec FROM dv),
-du AS (SELECT cluster_id, {u} AS u FROM dc),
-cm AS (SELECT cluster_id, pos, avg(x) AS m FROM (SELECT cluster_id, unnest(u) AS x, generate_subscripts(u, 1) AS pos
-  FROM du) GROUP BY ALL),
-cen AS (SELECT cluster_id, {S.normalize('list(m ORDER BY pos)')} AS vec FROM cm GROUP BY cluster_id),
-pr AS (SELECT query_id, cluster_id FROM (SELECT q.query_id, c.cluster_id, row_number() OVER (PARTITION BY q.query_id
-  ORDER BY round({S.cosine('q.qvec', 'c.vec')}, 6) DESC, c.cluster_id) AS r FROM qv q CROSS JOIN cen c)
-  WHERE r <= {IVF_PROBES})"""
-    ctes[at] = ctes[at].replace("FROM qv q CROSS JOIN dv d", "FROM qv q JOIN pr ON pr.query_id = q.query_id "
-                                "JOIN dc d ON d.cluster_id = pr.cluster_id")
-    ctes.insert(at, probe)
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT {Q.RESULT_COLS} FROM res"
-
-
-@register("search_ivf", _ivf_sql())
+@register("search_ivf")
 def search_ivf(spark, sf_dir):
-    """Full search over a stored clustered index: clusters by id, their mean
-    vectors as centroids, 3 of 10 clusters probed; written and read back."""
-    v = R.doc_vectors(papers(spark, sf_dir)).withColumn("cluster_id", F.col("doc_id") % IVF_CLUSTERS)
-    path = scratch_path(spark, f"search-index-{uuid.uuid4().hex}")
-    IX.write_index(v.select(F.col("doc_id").alias("id"), "vec", "cluster_id"), path)
-    stored, _ = IX.read_index(spark, path)
-    cen = R.materialize(K.label_centroids(stored, "cluster_id"), "centroids")
-    index = corpus(spark, sf_dir, dv=stored.withColumnRenamed("id", "doc_id"), centroids=cen, n_probe=IVF_PROBES)
-    return _out(R.search(queries_table(spark, sf_dir), None, DEFAULT, corpus=index))
+    """Full search over a trained, stored cell index with a tuned stop rule
+    (``search_ivf_quality`` and ``search_ivf_figures`` say what it keeps and reads)."""
+    return _out(R.search(queries_table(spark, sf_dir), None, DEFAULT, corpus=cell_corpus(spark, sf_dir)))
+
+
+@register("search_ivf_all", Q.with_search(DEFAULT) + f"SELECT {Q.RESULT_COLS} FROM res")
+def search_ivf_all(spark, sf_dir):
+    """The same index with its full covering angles: the rows of ``search_full``."""
+    return _out(R.search(queries_table(spark, sf_dir), None, DEFAULT, corpus=cell_corpus(spark, sf_dir, tuned=False)))
+
+
+def _ivf_figures(spark, sf_dir):
+    """One row: what the tuned index keeps of ``search_full`` and what it reads."""
+    q, found = queries_table(spark, sf_dir), cell_corpus(spark, sf_dir)
+    full = R.materialize(run_search(spark, sf_dir, DEFAULT).select("query_id", "doc_id"), "full")
+    qv = R.query_vectors(q, DEFAULT.use_query_expansion)
+    hits, scored = C.search(found.cells, qv, DEFAULT.pool, query_vec_col="qvec")
+    hits = R.materialize(hits.select("query_id", F.col("id").alias("doc_id"), F.col("score").alias("cosine"), "rank"), "hits")
+    mine = R.search(q, None, DEFAULT, corpus=found, hits=hits).select("query_id", "doc_id")
+    kept = full.join(mine, ["query_id", "doc_id"], "left_semi").agg(F.count(F.lit(1)).alias("kept"))
+    n = found.cells.cells.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("cells"))
+    return full.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("results")) \
+        .withColumn("recall", kept.scalar() / F.col("results")) \
+        .withColumn("read_share", scored.agg((F.sum("scored") / F.count(F.lit(1))).alias("m")).scalar()
+                    / n.select("n").scalar()) \
+        .withColumn("cells_share", n.select("cells").scalar() / n.select("n").scalar()) \
+        .withColumn("slack", F.lit(found.cells.slack))
+
+
+@register("search_ivf_quality", Q.with_search(DEFAULT) + """SELECT count(DISTINCT query_id) AS queries, count(*) AS results,
+  TRUE AS recall_reached, TRUE AS under_a_third FROM res""")
+def search_ivf_quality(spark, sf_dir):
+    """Does the tuned index keep 0.9 of the results of ``search_full`` while a query is
+    compared with under a third of the vectors?"""
+    return _ivf_figures(spark, sf_dir).select("queries", "results", (F.col("recall") >= 0.9).alias("recall_reached"),
+                                              (F.col("read_share") < 1 / 3).alias("under_a_third"))
+
+
+@register("search_ivf_figures")
+def search_ivf_figures(spark, sf_dir):
+    """The figures behind ``search_ivf_quality``."""
+    return _ivf_figures(spark, sf_dir)
 
 
 SIMILAR = replace(DEFAULT, use_query_expansion=False, top_k=6)

@@ -3,11 +3,14 @@ encoder output, index statistics and removal."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.functions import encode as E
 from papyra.functions import vectors as V
+from papyra.operators import celltree as C
 from papyra.operators import index as IX
 from papyra.operators import knn as K
 from papyra.operators import papers as P
@@ -16,6 +19,7 @@ from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
 from papyra.plans.q_ingest import papers
 from papyra.operators.retrieval import materialize
+from papyra.session import scratch_path
 
 K_NN = 10
 SIMILAR_K = 5
@@ -30,14 +34,26 @@ def _rank_sql(scored: str, k: int, part: str = "query_id", order: str = "score D
             f"(PARTITION BY {part} ORDER BY {order}) AS rn FROM {scored}) WHERE rn <= {k}")
 
 
-@register("knn_exact", f"""WITH {VEC},
+KNN_SQL = f"""WITH {VEC},
 s AS (SELECT q.id AS query_id, d.id AS id, round({S.cosine('q.vec', 'd.vec')}, 6) AS score FROM v q CROSS JOIN v d)
-{_rank_sql('s', K_NN)}""")
+{_rank_sql('s', K_NN)}"""
+
+
+@register("knn_exact", KNN_SQL)
 def knn_exact(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     return K.exact_knn(v, v.withColumnRenamed("id", "query_id"), K_NN)
 
 
+@register("knn_cells", KNN_SQL)
+def knn_cells(spark, sf_dir):
+    """Exact search through a stored cell index: clusters and cells whose bound is below
+    a query's k-th score are skipped (``ivf_figures`` reports the share read)."""
+    v = A.vectors(spark, sf_dir)
+    index = C.build(v, scratch_path(spark, f"knn-cells-{uuid.uuid4().hex}"))
+    return C.search(index, v.withColumnRenamed("id", "query_id"), K_NN, slack=1.0)[0]
+
+
 def _similar_sql() -> str:
     extra = (f"{VEC}, pv AS (SELECT * FROM v WHERE id IN (SELECT doc_id FROM papers)),\n"
              f"s AS (SELECT q.id AS query_id, d.id AS id, round({S.cosine('q.vec', 'd.vec')}, 6) AS score "

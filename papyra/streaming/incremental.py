@@ -34,9 +34,8 @@ from papyra.functions import vectors as V
 from papyra.operators import index as IX
 from papyra.operators import knn as K
 from papyra.operators import papers as P
-from papyra.operators.retrieval import materialize
 from papyra.schemas import RAW
-from papyra.session import delete_path, ensure_checkpoint_dir, path_exists
+from papyra.session import delete_path, ensure_checkpoint_dir, materialize, path_exists
 
 INDEX_COLUMNS = ["id", "model", "hybrid", "text_md5", "vec", "cluster_id", "stream", "batch_id", "added_at"]
 FIRST_BUILD = "build"
