@@ -40,10 +40,17 @@ def update_stats(incoming: DataFrame, index: DataFrame, id_col: str = "id",
                  (existing + added).alias("total_after"))
 
 
+def row_order(df: DataFrame) -> list:
+    """A total order of a table's distinct rows that does not depend on their
+    arrival: a hash of the whole row, then the row as text."""
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return [F.xxhash64(whole), whole]
+
+
 def first_per_id(df: DataFrame, id_col: str = "id", order_cols=None) -> DataFrame:
-    """Keep one row per id (the first by ``order_cols``, default the id itself)."""
-    order = order_cols or [id_col]
-    w = Window.partitionBy(id_col).orderBy(*order)
+    """Keep one row per id: the first by ``order_cols``, then by ``row_order``, so
+    that the winner does not depend on the order of arrival."""
+    w = Window.partitionBy(id_col).orderBy(*(order_cols or []), *row_order(df))
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
 
 
@@ -64,6 +71,7 @@ def index_stats(index: DataFrame, vec_col: str = "vec", cluster_col: str | None
 
 
 ROWS_PER_FILE = 250_000
+PARTITIONS = ("model", "cluster_id", "stream", "batch_id")
 
 
 def write_index(vectors: DataFrame, path: str, centroids: DataFrame | None = None,
@@ -71,7 +79,7 @@ def write_index(vectors: DataFrame, path: str, centroids: DataFrame | None = Non
     """Persist vectors partitioned by (model, cluster_id) and the centroids. A
     cluster is written by as many tasks as its size asks for, so a hot one
     is neither one task nor one file."""
-    parts = [c for c in ("model", "cluster_id") if c in vectors.columns]
+    parts = [c for c in PARTITIONS if c in vectors.columns]
     if parts:
         sizes = vectors.groupBy(*parts).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
         salted = vectors.join(sizes, parts).withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_files")))
@@ -85,6 +93,9 @@ def write_index(vectors: DataFrame, path: str, centroids: DataFrame | None = Non
 def read_index(spark: SparkSession, path: str):
     """(vectors, centroids); a flat index has no centroids."""
     v = spark.read.parquet(f"{path}/vectors")
+    # folder names say nothing of their types
+    kinds = {"model": "string", "cluster_id": "long", "stream": "string", "batch_id": "long"}
+    v = v.withColumns({c: F.col(c).cast(t) for c, t in kinds.items() if c in v.columns})
     return v, spark.read.parquet(f"{path}/centroids") if path_exists(spark, f"{path}/centroids") else None
 
 

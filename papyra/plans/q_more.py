@@ -11,12 +11,14 @@ from papyra.functions import vectors as V
 from papyra.operators import analytics as AN
 from papyra.operators import index as IX
 from papyra.operators import knn as K
+from papyra.operators import papers as P
 from papyra.plans import adapters as A
 from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
 from papyra.plans.q_io import scratch
 from papyra.plans.q_ingest import papers
 from papyra.plans.q_vectors import K_NN, VEC, _rank_sql
+from papyra.session import materialize
 from papyra.sources import files as FS
 from papyra.streaming import incremental as INC
 
@@ -192,6 +194,51 @@ def index_update_final(spark, sf_dir):
     return long_form(INC.current_index(spark, index), "id")
 
 
+@register("index_replay", WP + """SELECT count(DISTINCT id) AS vectors, count(DISTINCT id) AS keys,
+  count(DISTINCT id) AS first_keys, CAST(0 AS BIGINT) AS changed, CAST(0 AS BIGINT) AS existing, count(DISTINCT id) AS added,
+  CAST(0 AS BIGINT) AS duplicates FROM papers""")
+def index_replay(spark, sf_dir):
+    """Every paper twice, with different texts under one id, added as one batch and
+    then again in another row order: one vector and one key an id, the same texts and
+    counters."""
+    base = scratch(spark, "index-replay")
+    p = papers(spark, sf_dir)
+    batch = p.unionByName(p.withColumn("combined_text", F.concat(F.lit("again "), "combined_text")))
+    INC.add_batch(batch.repartition(7, "title"), f"{base}/index", stats_path=f"{base}/stats", batch_id=1)
+    once = materialize(INC.read_index(spark, f"{base}/index").select("id", "text_md5"), "once")
+    INC.add_batch(batch.repartitionByRange(5, F.desc("abstract")), f"{base}/index", stats_path=f"{base}/stats", batch_id=1)
+    now = INC.read_index(spark, f"{base}/index").select("id", "text_md5")
+    keys = INC.key_table(spark, f"{base}/index").all()
+    count = F.count(F.lit(1)).alias("n")
+    return spark.read.parquet(f"{base}/stats").select(
+        now.agg(count).scalar().alias("vectors"), keys.agg(count).scalar().alias("keys"),
+        keys.where("first").agg(count).scalar().alias("first_keys"),
+        now.exceptAll(once).agg(count).scalar().alias("changed"), "existing", "added", "duplicates")
+
+
+LIFE_K = 5
+
+
+@register("index_clustered_life", S.with_papers(extra=S.encode_cte("enc", "papers", "id", "combined_text")) + f"""
+SELECT query_id, id, score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+  ORDER BY score DESC, id) AS rn FROM (SELECT q.id AS query_id, d.id, round({S.cosine('q.vec', 'd.vec')}, 6) AS score
+  FROM (SELECT * FROM enc WHERE right(id, 1) = '0') q CROSS JOIN enc d)) WHERE rn <= {LIFE_K}""")
+def index_clustered_life(spark, sf_dir):
+    """Trained clusters over the early papers, the others added by a stream, the index
+    compacted, then searched with all clusters probed: the exact neighbours."""
+    base = scratch(spark, "index-life")
+    raw = A.raw_papers(spark, sf_dir).drop("doc_id")
+    early = P.build_papers(raw.where(F.col("update_date") < "2024"), language=None)
+    INC.build_index(early, f"{base}/index", clustered=True, n_clusters=12)
+    raw.write.json(f"{base}/incoming")
+    INC.start_index_stream(spark, f"{base}/incoming", f"{base}/index", f"{base}/ck", language=None,
+                           max_files_per_trigger=1_000_000).awaitTermination()
+    INC.compact_index(spark, f"{base}/index", f"{base}/compact")
+    vectors, centroids = IX.read_index(spark, f"{base}/compact")
+    q = vectors.where(F.col("id").endswith("0")).select(F.col("id").alias("query_id"), "vec")
+    return K.clustered_knn(vectors.select("id", "vec", "cluster_id"), centroids, q, LIFE_K, 12)
+
+
 @register("reuse_check", WP + """SELECT doc_id FROM papers p
 WHERE NOT (doc_id IN (SELECT doc_id FROM labels) AND doc_id % 2 = 1 AND doc_id % 5 <> 0)""")
 def reuse_check(spark, sf_dir):
