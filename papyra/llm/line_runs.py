@@ -8,7 +8,10 @@ of L lines, rank of the L lines after them), ranks are given by one range sort
 of the distinct pairs, and doubling ends when no group splits any more. Common
 prefixes of neighbours come from the ranks of all levels, from the longest down.
 An interval of suffixes that share ``min_lines`` lines or more is a repeated run:
-its first place, by (doc_id, line), stays and the lines of the others go.
+its first place, by (doc_id, line), stays and the lines of the others go. A line of
+``min_words`` words or more is a run by itself. Shorter lines that documents share by
+chance, with other lines around them, stay: stretches of repeated lines that are too
+short to hold a run leave the array before it is sorted.
 
 Every step is a join, aggregation or range sort on keys that spread; groups as
 large as the table (one line in a third of all rows) are only counted, reduced
@@ -33,17 +36,21 @@ from papyra.llm.common import Staged, row_key
 
 SCHEMA = "doc_id long, n_lines long, n_removed long, n_runs long, longest_repeat long, kept_sha256 string"
 AT = ["d", "k", "i"]
+MIN_LINES, MIN_WORDS = 2, 50
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(d, k, i, line, h1, h2) of the lines that are compared: ``i`` counts them,
-    ``line`` is the number in the text."""
+def lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(d, k, i, line, long, h1, h2) of the lines that are compared: ``i`` counts them,
+    ``line`` is the number in the text; ``long`` lines are runs by themselves."""
     pieces = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     numbered = F.filter(F.transform(pieces, lambda x, n: F.struct(
         n.alias("line"), x.alias("x"))), lambda s: F.length(F.trim(s["x"])) > 0)
     return docs.select(*row_key(), F.posexplode(numbered).alias("i", "s")).select(
         "d", "k", "i", F.col("s.line").alias("line"), F.xxhash64("s.x").alias("h1"),
-        F.xxhash64(F.lit(7), F.col("s.x")).alias("h2"))
+        F.xxhash64(F.lit(7), F.col("s.x")).alias("h2"),
+        # no line has more words than half its length, rounded up: most need no count
+        ((F.length("s.x") >= 2 * min_words - 1) & (F.regexp_count("s.x", F.lit(WORD)) >= min_words)).alias("long"))
 
 
 def ranked(keys: DataFrame, cols: list[str]) -> Staged:
@@ -54,23 +61,25 @@ def ranked(keys: DataFrame, cols: list[str]) -> Staged:
 
 class SuffixArray:
     """``levels[j]``: (d, k, i, r), the rank of 2**j lines from each repeated line;
-    ``last``: the ranks that no longer split; ``place``: (d, k, i, line, b), b the
+    ``last``: the ranks that no longer split; ``place``: (d, k, i, line, long, b), b the
     lines up to the break."""
 
-    def __init__(self, docs: DataFrame):
-        every = Staged(lines(docs), "lines")
+    def __init__(self, docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS):
+        every = Staged(lines(docs, min_words), "lines")
         ids = Staged(every.df.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"),
                      "line-ids")
         alphabet = ranked(ids.df, ["h1", "h2"])
-        found = Staged(every.df.join(alphabet.df, ["h1", "h2"]).select(*AT, "line", F.col("rank").alias("r")).distinct(),
-                       "line-places")
+        found = Staged(every.df.join(alphabet.df, ["h1", "h2"]).select(*AT, "line", "long", F.col("rank").alias("r"))
+                       .distinct(), "line-places")
         every.drop()
         ids.drop()
-        run = W.partitionBy("d", "k").orderBy("i")
+        run, whole = W.partitionBy("d", "k").orderBy("i"), W.partitionBy("d", "k", "g")
         island = found.df.withColumn("g", F.col("i") - F.row_number().over(run))
-        self.place = Staged(island.withColumn("b", F.max("i").over(W.partitionBy("d", "k", "g")) - F.col("i") + 1)
-                            .select(*AT, "line", "b"), "line-breaks").df
-        self.levels, self.last = [found.df.select(*AT, "r")], alphabet
+        kept = island.withColumns({"b": F.max("i").over(whole) - F.col("i") + 1, "size": F.count("*").over(whole),
+                                   "some": F.max("long").over(whole)}).where((F.col("size") >= min_lines) | F.col("some"))
+        self.place = Staged(kept.select(*AT, "line", "long", "b", "r"), "line-breaks").df
+        found.drop()
+        self.levels, self.last = [self.place.select(*AT, "r")], alphabet
         groups, size = -1, alphabet.df.count()
         while size != groups:
             groups, length, now = size, 1 << (len(self.levels) - 1), self.levels[-1]
@@ -120,8 +129,9 @@ class SuffixArray:
         return out
 
     def intervals(self, min_lines: int) -> DataFrame:
-        """(d, k, i, key...): suffixes of ``min_lines`` lines or more; equal keys
-        are one interval of common prefix ``min_lines`` or more."""
+        """(d, k, i, n, key): suffixes of ``min_lines`` lines or more and those that begin
+        with a long line; equal keys are one interval of common prefix n or more (n is
+        ``min_lines``, or 1 for a long line)."""
         j = min(min_lines.bit_length() - 1, len(self.levels) - 1)
         long = self.place.where(F.col("b") >= min_lines).select(*AT)
         keyed = long.join(self.levels[j], AT)
@@ -133,22 +143,29 @@ class SuffixArray:
             parts.append(name)
             at += 1 << j
             rest = min_lines - at
-        return keyed.select(*AT, F.array(*parts).alias("key"))
-
-
-def analyse(docs: DataFrame, min_lines: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(d, k, gone): line numbers that go; (d, k, longest): the longest run a
-    document shares with another place."""
-    array = SuffixArray(docs)
+        out = keyed.select(*AT, F.lit(min_lines).alias("n"), F.array(*parts).alias("key"))
+        if min_lines == 1:
+            return out
+        single = self.place.where("long").select(*AT, F.lit(1).alias("n"), F.array("r").alias("key"))
+        return out.unionByName(single)
+
+
+def analyse(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS,
+            longest: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(d, k, gone): line numbers that go; (d, k, longest), if asked for: the longest
+    run a document shares with another place."""
+    array = SuffixArray(docs, min_lines, min_words)
     suffixes = Staged(array.intervals(min_lines), "line-intervals").df
-    first = Staged(suffixes.groupBy("key").agg(F.min(F.struct(*AT)).alias("first")), "line-first").df
-    later = suffixes.join(first, "key").where(F.struct(*AT) > F.col("first"))
-    covered = later.select("d", "k", F.explode(F.sequence(F.col("i"), F.col("i") + min_lines - 1)).alias("i")).distinct()
-    gone = covered.join(array.place.select(*AT, "line"), AT).groupBy("d", "k").agg(
-        F.collect_list("line").alias("gone"))
-    lcp = array.common().df
-    longest = array.levels[-1].join(lcp, "r").groupBy("d", "k").agg(F.max("lcp").cast("long").alias("longest"))
-    return Staged(gone, "line-gone").df, Staged(longest, "line-longest").df
+    first = Staged(suffixes.groupBy("n", "key").agg(F.min(F.struct(*AT)).alias("first")), "line-first").df
+    later = suffixes.join(first, ["n", "key"]).where(F.struct(*AT) > F.col("first"))
+    covered = later.select("d", "k", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("i")).distinct()
+    gone = Staged(covered.join(array.place.select(*AT, "line"), AT).groupBy("d", "k").agg(
+        F.collect_list("line").alias("gone")), "line-gone").df
+    if not longest:
+        return gone, None
+    runs = array.levels[-1].join(array.common().df, "r").join(array.place.select(*AT, "long"), AT)
+    counts = (F.col("lcp") >= min_lines) | (F.col("long") & (F.col("lcp") > 0))
+    return gone, Staged(runs.where(counts).groupBy("d", "k").agg(F.max("lcp").cast("long").alias("longest")), "line-longest").df
 
 
 def kept_lines(text: str | None, gone: list[int] | None) -> tuple[list[str], list[str]]:
@@ -156,9 +173,9 @@ def kept_lines(text: str | None, gone: list[int] | None) -> tuple[list[str], lis
     return every, [x for n, x in enumerate(every) if n not in out]
 
 
-def report(docs: DataFrame, min_lines: int = 1) -> DataFrame:
+def report(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``SCHEMA`` per row: ``n_runs`` counts maximal stretches of removed lines."""
-    gone, longest = analyse(docs, min_lines)
+    gone, longest = analyse(docs, min_lines, min_words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
     joined = rows.join(gone.join(longest, ["d", "k"], "full"), ["d", "k"], "left").select("doc_id", "text", "gone", "longest")
 
@@ -180,10 +197,10 @@ def report(docs: DataFrame, min_lines: int = 1) -> DataFrame:
     return joined.mapInArrow(run, SCHEMA)
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the later copies; ``n_chars`` follows the text if it is
     there, all other columns stay."""
-    gone, _ = analyse(docs, min_lines)
+    gone, _ = analyse(docs, min_lines, min_words, longest=False)
     d, k = row_key()
     pieces = F.split(F.col("text").cast("string"), "\n")
     cut = F.array_join(F.transform(F.filter(F.transform(pieces, lambda x, n: F.struct(n.alias("n"), x.alias("x"))),

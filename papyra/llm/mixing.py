@@ -1,125 +1,106 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source, in a hash order of their keys, are cut into blocks of
-``block_rows``, and time into periods of ``period`` slots. A source whose target is
-x slots a period (a fraction) has had floor(p * x) or one more blocks after p
-periods, whichever the largest remainders of that moment say, so what rounding
-owes is carried on and no source drifts from its target. Within a period in which
-it has c blocks, block j is released at slot floor(j * period / c) with deadline
-ceil((j + 1) * period / c); earliest deadline first over the released blocks
-places them. So a source is less than one block off its target at the end of every
-period and less than two at any slot. The blocks due in a period follow from its
-number alone, so tasks work out the periods side by side; blocks are numbered by
-one range shuffle and joined with their slots.
-
-Weights are ``weights`` (source -> number) or rows ** ``power``; a source that
-would get less than one slot a period is raised to one, and the others share the
-rest by weight. Every row is kept once; a source that has run out leaves its slots
-empty.
+Rows of a source, in a hash order of their keys, are cut into blocks of ``block_rows``. A
+source's target is its weight in whole units of 1 / ``units`` of the total (largest
+remainder, one unit at least). With a units, its block j is released at slot
+floor(j * units / a) with deadline ceil((j + 1) * units / a), and earliest deadline first
+over the released blocks gives every slot one block. So at every slot each source is less
+than one block off its target. After ``units`` slots all windows begin anew, exactly: one
+such period is scheduled, by one task that gets a row a source and takes ``units`` steps at
+most whatever the number of rows, and the place of any block follows from it by
+arithmetic: slot(j) = j div a * units + slot(j mod a).
+
+Weights are ``weights`` (source -> number) or rows ** ``power``. Every row is kept once; a
+source that has run out leaves its slots empty. More than ``units`` / 64 sources raise
+``units`` to 64 a source, so that the least unit stays small. Blocks are numbered by one
+range shuffle of the rows; slots reach them by a join with one row a source, broadcast up
+to ``BROADCAST_SOURCES`` sources (``units`` numbers in all) and shuffled beyond.
 
 Cases: a null source is a source of its own; null ids and texts are rows like
-others; repeated rows stay repeated; an empty table gives an empty result; more
-sources than a quarter of ``period`` lengthen it to 4 slots a source; other columns
+others; repeated rows stay repeated; an empty table gives an empty result; sources
+without a weight, or with one that is not above zero, get one unit; other columns
 stay, but a column named like an output is replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from papyra.llm.common import Staged, row_key
 
-BITS = 40
+UNITS = 1 << 20
+BROADCAST_SOURCES, BROADCAST_PARTS = 1 << 14, 1 << 18
 OUTPUT = ("block", "in_block", "release", "deadline", "slot")
 
 
-def target_slots(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots a period of each source in units of 2 ** -BITS: by weight, one slot
-    at least; they sum to ``period`` slots."""
-    names = sorted(weights, key=lambda s: (weights[s], s))
-    rest = math.fsum(weights.values())
-    given = weights if rest > 0 else dict.fromkeys(weights, 1.0)
-    left, rest, out = period, rest if rest > 0 else float(len(weights)), {}
-    for n, s in enumerate(names):
-        if given[s] * left >= rest:
-            out.update((x, round(given[x] * left / rest * (1 << BITS))) for x in names[n:])
-            break
-        out[s] = 1 << BITS
-        left -= 1
-        rest = math.fsum(given[x] for x in names[n + 1:])
-    if names:
-        out[names[-1]] += (period << BITS) - sum(out.values())
-    return out
-
-
-def blocks_until(slots: dict[str, int], period: int, p: int) -> dict[str, int]:
-    """Blocks of each source in the first ``p`` periods (largest remainder of the
-    targets so far). As no target is under one slot a period, they never fall."""
-    due = {s: p * x for s, x in slots.items()}
-    out = {s: x >> BITS for s, x in due.items()}
-    rest = sorted(due, key=lambda s: (-(due[s] & ((1 << BITS) - 1)), s))
-    for s in rest[:p * period - sum(out.values())]:
-        out[s] += 1
-    return out
-
-
-def integer_weights(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Weights as integers of sum ``period`` (largest remainder), one at least."""
-    return blocks_until(target_slots(weights, period), period, 1)
-
-
-def schedule(weights: dict[str, int], period: int, have: dict[str, int] | None = None) -> list[tuple[str, int, int, int, int]]:
-    """(source, block of the period, release, deadline, slot), earliest deadline
-    first over the released blocks; of a source in ``have``, only that many blocks."""
-    jobs = sorted((j * period // c, -(-(j + 1) * period // c), s, j) for s, c in weights.items()
-                  for j in range(c if have is None else min(c, have[s])))
-    ready, out, at, slot = [], [], 0, 0
-    while ready or at < len(jobs):
-        if not ready:
-            slot = max(slot, jobs[at][0])
-        while at < len(jobs) and jobs[at][0] <= slot:
-            release, deadline, s, j = jobs[at]
-            heapq.heappush(ready, (deadline, s, j, release))
+def target_units(weights: list[float], units: int) -> list[int]:
+    """Whole units of each source, one at least; they sum to ``units``."""
+    w = np.maximum(np.array(weights, np.float64), 0.0)
+    if not len(w):
+        return []
+    share = (w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))) * units
+    out = np.maximum(np.floor(share), 1).astype(np.int64)
+    while (left := units - int(out.sum())) > 0:         # largest remainders first
+        out[np.argsort(out - share, kind="stable")[:left]] += 1
+    while (left := int(out.sum()) - units) > 0:         # what the least units cost, off the largest
+        big = np.argsort(-out, kind="stable")
+        big = big[out[big] > 1]
+        take = np.minimum(np.ceil(out[big] / out[big].sum() * left).astype(np.int64), out[big] - 1)
+        take[np.cumsum(take) > left] = 0
+        if not take.any():
+            take[0] = min(left, int(out[big[0]]) - 1)
+        out[big] -= take
+    return out.tolist()
+
+
+def windows(a: int, units: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Release and deadline of the first ``blocks`` blocks."""
+    j = np.arange(blocks, dtype=np.int64)
+    return j * units // a, -(-(j + 1) * units // a)
+
+
+def period(targets: list[int], units: int, upto: int | None = None) -> list[list[int]]:
+    """Slots of each source's blocks, in order, in the first ``upto`` slots of a period."""
+    upto, k = units if upto is None else min(upto, units), len(targets)
+    jobs = []
+    for s, a in enumerate(targets):
+        release, deadline = windows(a, units, -(-upto * a // units))
+        jobs.append(np.stack([release, deadline * k + s]))      # one number orders by deadline, then source
+    every = np.concatenate(jobs, axis=1) if jobs else np.zeros((2, 0), np.int64)
+    every = every[:, np.argsort(every[0], kind="stable")]
+    releases, keys = every.tolist()
+    out: list[list[int]] = [[] for _ in targets]
+    ready, at, n = [], 0, len(keys)
+    for slot in range(upto if k else 0):
+        while at < n and releases[at] <= slot:
+            heapq.heappush(ready, keys[at])
             at += 1
-        deadline, s, j, release = heapq.heappop(ready)
-        out.append((s, j, release, deadline, slot))
-        slot += 1
+        out[heapq.heappop(ready) % k].append(slot)      # weights sum to one: some block is always due
     return out
 
 
-def period_slots(slots: dict[str, int], blocks: dict[str, int], period: int, p: int) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) of the blocks due in period ``p``;
-    ``blocks`` is the number each source has."""
-    before, after = blocks_until(slots, period, p), blocks_until(slots, period, p + 1)
-    live = {s: n for s in slots if (n := blocks[s] - before[s]) > 0}
-    return [(s, before[s] + j, p * period + r, p * period + e, p * period + t)
-            for s, j, r, e, t in schedule({s: after[s] - before[s] for s in live}, period, live)]
-
-
-def block_slots(spark, slots: dict[str, int], blocks: dict[str, int], period: int) -> DataFrame:
-    """``period_slots`` of all periods until the last source has run out."""
-    names = ["__source", "block", "release", "deadline", "slot"]
-    periods = max((-(-(blocks[s] << BITS) // x) for s, x in slots.items()), default=0)
-
-    def run(batches):
+def plan(sources: DataFrame, units: int) -> DataFrame:
+    """(__source, a, slots): units and the slots of a period of each of ``sources``
+    (__source, weight, blocks); slots beyond the last block of all are left out."""
+    def run(t):
         import pyarrow as pa
 
-        kinds = [pa.string(), *[pa.int64()] * 4]
-        for b in batches:
-            for p in b.column(0).to_pylist():
-                cols = list(zip(*period_slots(slots, blocks, period, p))) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], names=names)
-    return spark.range(0, periods, 1, max(1, min(periods, 512))).mapInArrow(
-        run, "__source string, block long, release long, deadline long, slot long")
+        rows = sorted(zip(*(t.column(c).to_pylist() for c in ("__source", "weight", "blocks"))))
+        targets = target_units([w for _, w, _ in rows], units)
+        upto = max((-(-b * units // a) for (_, _, b), a in zip(rows, targets)), default=0)
+        slots = period(targets, units, upto)
+        return pa.table([pa.array([s for s, _, _ in rows], pa.string()), pa.array(targets, pa.int64()),
+                         pa.array(slots, pa.list_(pa.int32()))], names=["__source", "a", "slots"])
+    return sources.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "__source string, a long, slots array<int>")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block_rows: int = 16,
-        period: int = 1000) -> DataFrame:
+        units: int = UNITS) -> DataFrame:
     """``docs`` with block, in_block (place in the block), release, deadline and
     slot; reading by (slot, in_block) gives the mix."""
     spark = docs.sparkSession
@@ -136,17 +117,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
         F.count("*").alias("__n"), F.min("__m").alias("__first"))
     before = W.partitionBy("__source").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     parts = Staged(parts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))), "mix-parts").df
-    sizes = {r[0]: r[1] for r in parts.groupBy("__source").agg(F.sum("__n")).collect()}
-    period = max(period, 4 * len(sizes))
-    given = {("n" if s is None else f"s{s}"): float(w) for s, w in (weights or {}).items()}
-    target = {s: given.get(s, 0.0) if weights else float(n) ** power for s, n in sizes.items()}
-    due = target_slots(target, period)
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    slots = Staged(block_slots(spark, due, blocks, period), "mix-slots").df
-    # parts are bounded as above; slots (a row a block) are joined as their size allows
+    sizes = parts.groupBy("__source").agg(F.sum("__n").alias("n"))
+    if weights:
+        given = spark.createDataFrame([("n" if s is None else f"s{s}", float(w)) for s, w in weights.items()],
+                                      "__source string, weight double")
+        sizes = sizes.join(given, "__source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    else:
+        sizes = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(float(power))))
+    sizes = Staged(sizes.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("long")), "mix-sources").df
+    count, n_parts = sizes.count(), parts.count()
+    units = max(units, 64 * count)
+    slots = Staged(plan(sizes.select("__source", "weight", "blocks"), units), "mix-slots").df
+    # both are counted before they are broadcast
+    near = F.broadcast if n_parts <= BROADCAST_PARTS else (lambda t: t)
+    known = F.broadcast if count <= BROADCAST_SOURCES else (lambda t: t)
     ranked = rows.withColumn("__part", F.shiftright("__m", 33)) \
-        .join(F.broadcast(parts.select("__source", "__part", "__first", "__before")), ["__source", "__part"]) \
+        .join(near(parts.select("__source", "__part", "__first", "__before")), ["__source", "__part"]) \
         .withColumn("__rank", F.col("__m") - F.col("__first") + F.col("__before")) \
         .withColumn("block", F.floor(F.col("__rank") / block_rows)) \
         .withColumn("in_block", F.col("__rank") % block_rows)
-    return ranked.join(slots, ["__source", "block"]).select(*names, *OUTPUT)
+    b, a = F.col("block"), F.col("a")
+    return ranked.join(known(slots), "__source").select(
+        *names, "block", "in_block", F.expr(f"(block * {units}L) div a").alias("release"),
+        F.expr(f"((block + 1) * {units}L + a - 1) div a").alias("deadline"),
+        (F.expr("block div a") * units + F.get("slots", (b % a).cast("int"))).alias("slot"))

@@ -47,21 +47,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.report(read_table(spark, sf_dir, "documents"), min_lines=1)
+    return line_runs.report(read_table(spark, sf_dir, "documents"), min_lines=2, min_words=50)
 
 
 OP4_SQL = r"""
 WITH p AS (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS l FROM documents),
 l AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS x FROM p),
-c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS i,
-             row_number() OVER (PARTITION BY x ORDER BY doc_id, n) > 1 AS gone FROM l WHERE length(trim(x)) > 0),
-m AS (SELECT l.*, COALESCE(c.gone, false) AS gone FROM l LEFT JOIN c USING (doc_id, n)),
+c AS (SELECT *, row_number() OVER w AS i, lead(x) OVER w AS y,
+             len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50 AS wide
+      FROM l WHERE length(trim(x)) > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+f AS (SELECT *, wide AND row_number() OVER (PARTITION BY x ORDER BY doc_id, n) > 1 AS alone,
+             y IS NOT NULL AND row_number() OVER (PARTITION BY x, y ORDER BY y IS NULL, doc_id, n) > 1 AS pair FROM c),
+g AS (SELECT *, alone OR pair OR COALESCE(lag(pair) OVER (PARTITION BY doc_id ORDER BY n), false) AS gone FROM f),
+m AS (SELECT l.*, COALESCE(g.gone, false) AS gone FROM l LEFT JOIN g USING (doc_id, n)),
 r AS (SELECT *, gone AND NOT COALESCE(lag(gone) OVER (PARTITION BY doc_id ORDER BY n), false) AS head FROM m),
-same AS (SELECT a.doc_id, b.doc_id AS other, a.i - b.i AS shift, a.i
+same AS (SELECT a.doc_id, b.doc_id AS other, a.i - b.i AS shift, a.i, a.wide
          FROM c a JOIN c b ON a.x = b.x AND (a.doc_id <> b.doc_id OR a.i <> b.i)),
 runs AS (SELECT doc_id, count(*) AS size FROM (
            SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS g FROM same)
-         GROUP BY doc_id, other, shift, g),
+         GROUP BY doc_id, other, shift, g HAVING count(*) >= 2 OR bool_or(wide)),
 longest AS (SELECT doc_id, max(size) AS most FROM runs GROUP BY doc_id)
 SELECT r.doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
   CAST(count(*) FILTER (head) AS BIGINT) AS n_runs, COALESCE(any_value(most), 0) AS longest_repeat,
@@ -106,7 +110,7 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, power=0.5, block_rows=16, period=1000).drop("text")
+    return mixing.mix(docs, power=0.5, block_rows=16).drop("text")
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

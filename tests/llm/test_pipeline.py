@@ -16,7 +16,7 @@ def corpus():
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
     line = lambda n: " ".join(word() for _ in range(n))
     items = [(i, line(30).capitalize() + ". " + line(9) + ".") for i in range(6)]
-    boiler = [line(12) for _ in range(3)]
+    boiler = [line(12) + "\n" + line(9) for _ in range(2)] + [line(12), line(55)]
     docs, labels = [], []
     for i in range(400):
         t = [line(rng.randrange(5, 40)) for _ in range(rng.randrange(1, 5))]
@@ -41,15 +41,14 @@ def brute(docs, labels, items, model):
     seen, out = set(), []
     for i, t in sorted(docs, key=KEY):
         every = (t or "").split("\n")
-        kept = [x for x in every if not x.strip(" ") or x not in seen]
-        seen |= {x for x in every if x.strip(" ")}
-        # within a document later copies go as well
-        once, final = set(), []
-        for x in kept:
-            if not x.strip(" ") or x not in once:
-                final.append(x)
-            once.add(x)
-        out.append((i, None if t is None else "\n".join(final)))
+        solid = [n for n, x in enumerate(every) if x.strip(" ")]
+        runs = [(a, b) for a, b in zip(solid, solid[1:])] + [(n,) for n in solid if len(every[n].split()) >= 50]
+        gone = set()
+        for run in runs:            # in the order of their places; a later place of a run goes
+            text = tuple(every[n] for n in run)
+            gone |= set(run) if text in seen else set()
+            seen.add(text)
+        out.append((i, None if t is None else "\n".join(x for n, x in enumerate(every) if n not in gone)))
     fps, groups = [brute_fp(t) for _, t in out], list(range(len(out)))
     for a in range(len(out)):
         for b in range(a):
