@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go from the texts; all rows stay."""
-    return line_runs.dedup_lines(docs, min_lines=1)
+    """Later copies of runs of two lines or more, or of a line of 50 words or more, go
+    from the texts; all rows stay."""
+    return line_runs.dedup_lines(docs, min_lines=2, min_words=50)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with block, in_block, release, deadline and slot."""
-    return mixing.mix(docs, power=0.5, block_rows=16, period=1000)
+    return mixing.mix(docs, power=0.5, block_rows=16)
 
 
 STAGES = [
