@@ -5,10 +5,14 @@
     queries --expand/encode--> query vectors (size-checked)
     vectors --exact or clustered k-NN--> top ``pool`` candidates per query,
     written once as narrow (query, doc, score) rows
-    candidate ids --semi-join--> the papers that were hit, cleaned only then
+    candidate ids --semi-join--> the papers that were hit, cleaned only then and
+    written once; candidates meet their tokens and filter flags
     --(rerank: pair scorer, min-max window)--> candidate rank
     --> threshold / category / date filters
-    --row_number--> first ``top_k`` accepted, first 5 with a summary
+    --row_number--> first ``top_k`` accepted, which then get titles and abstracts,
+    the first 5 a summary
+
+No text is in a shuffle by query before the cut.
 
 The corpus is never copied. With a stored index (``Corpus.centroids``) only
 the probed clusters are read; without one the papers are encoded in the scan.
@@ -121,18 +125,16 @@ def passes_filters(opts: SearchOptions) -> F.Column:
 
 
 def best_per_query(pairs: DataFrame, opts: SearchOptions) -> DataFrame:
-    """Adds ``score`` and ``candidate_rank`` to (query_id, query, doc_id, cosine,
-    rank, title, abstract, ...) rows; with rerank also ``raw``, the pair score
-    before the min-max normalisation over a query's candidates."""
+    """Adds ``score`` and ``candidate_rank`` to (query_id, doc_id, cosine, rank, raw, ...)
+    rows: without rerank the cosine and its rank, else ``raw``, the pair score, min-max
+    normalised over a query's candidates. The rows should be narrow: they are shuffled
+    by query."""
     if not opts.use_reranking:
-        return pairs.withColumns({"score": F.col("cosine"), "candidate_rank": F.col("rank")}).drop("rank")
-    text = E.rerank_text("title", "abstract")
-    raw = E.overlap_score(F.col("query"), text) if opts.scorer is None else opts.scorer(F.col("query"), text)
+        return pairs.withColumns({"score": F.col("cosine"), "candidate_rank": F.col("rank")}).drop("rank", "raw")
     w = Window.partitionBy("query_id")
     order = w.orderBy(F.col("raw").desc(), F.col("doc_id"))
     norm = (F.col("raw") - F.min("raw").over(w)) / (F.max("raw").over(w) - F.min("raw").over(w) + 1e-8)
-    return pairs.drop("rank").withColumn("raw", raw).withColumns(
-        {"score": V.round_score(norm), "candidate_rank": F.row_number().over(order)})
+    return pairs.drop("rank").withColumns({"score": V.round_score(norm), "candidate_rank": F.row_number().over(order)})
 
 
 @dataclass(frozen=True)
@@ -182,10 +184,25 @@ def retrieve(qv: DataFrame, corpus: Corpus, pool: int, n_queries: int | None = N
     return hits.select("query_id", "doc_id", F.col("score").alias("cosine"), "rank")
 
 
-def candidates(queries: DataFrame, corpus: Corpus, opts: SearchOptions, hits: DataFrame | None = None) -> DataFrame:
-    """Candidate papers of each query with score and candidate rank, before the
-    threshold and the filters. ``hits`` may pass (query_id, doc_id, cosine, rank)
-    rows that have been retrieved before."""
+def hit_papers(corpus: Corpus, ids: DataFrame, opts: SearchOptions) -> DataFrame:
+    """The papers that were hit, written once, one row per ``doc_id`` (the first by id),
+    with what the candidates need of their texts: ``_text`` (tokens, or the text
+    itself for a plugged scorer), ``_ok`` (passes the filters) and ``_has`` (an abstract)."""
+    rows = corpus.rows(ids)
+    text = E.rerank_text("title", "abstract")
+    ok = passes_filters(opts) if opts.filter_mode == "post" else F.lit(True)
+    wide = materialize(rows.withColumns({
+        "_text": F.array_distinct(E.tokens(text)) if opts.scorer is None else text,
+        "_ok": F.coalesce(ok, F.lit(False)), "_has": F.coalesce(F.col("abstract"), F.lit("")) != "",
+        "_h": F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), "_m": F.monotonically_increasing_id()}), "hit-papers")
+    # the choice moves numbers, not texts
+    first = Window.partitionBy("doc_id").orderBy("id", "_h", "_m")
+    extra = wide.select("doc_id", "id", "_h", "_m").withColumn("_n", F.row_number().over(first)).where("_n > 1").select("_m")
+    return wide.join(extra, "_m", "left_anti").drop("_m", "_h") if extra.limit(1).count() else wide.drop("_m", "_h")
+
+
+def _retrieved(queries: DataFrame, corpus: Corpus, opts: SearchOptions, hits: DataFrame | None):
+    """(narrow candidate rows, the papers behind them)."""
     live = queries.where(~T.is_blank("query")).select("query_id", "query")
     if hits is None:
         if opts.filter_mode == "pre":
@@ -197,35 +214,49 @@ def candidates(queries: DataFrame, corpus: Corpus, opts: SearchOptions, hits: Da
         qv = query_vectors(queries, opts.use_query_expansion)
         # narrow rows, queries x pool; read for the ids and for the join
         hits = materialize(retrieve(qv, corpus, opts.pool, live.count()), "hits")
-    rows = corpus.rows(hits.select("doc_id").distinct())
-    # a corpus holding an id twice yields one row per doc: the first
-    first = Window.partitionBy("doc_id").orderBy("id")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return best_per_query(rows.join(hits, "doc_id").join(live, "query_id"), opts)
+    papers = hit_papers(corpus, hits.select("doc_id").distinct(), opts)
+    if opts.use_reranking:
+        # texts meet queries here and stay behind: only the score goes on
+        asked = live.withColumn("_q", F.array_distinct(E.tokens("query")) if opts.scorer is None else F.col("query"))
+        score = E.overlap_of_tokens if opts.scorer is None else opts.scorer
+        pairs = hits.join(papers.select("doc_id", "_ok", "_has", "_text"), "doc_id").join(asked.drop("query"), "query_id") \
+            .withColumn("raw", score(F.col("_q"), F.col("_text"))).drop("_q", "_text")
+    else:
+        pairs = hits.join(papers.select("doc_id", "_ok", "_has"), "doc_id").join(live.select("query_id"), "query_id", "left_semi") \
+            .withColumn("raw", F.lit(None).cast("double"))
+    return best_per_query(pairs, opts), papers
+
+
+def candidates(queries: DataFrame, corpus: Corpus, opts: SearchOptions, hits: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, cosine, raw, score, candidate_rank) of each query's candidate
+    papers, before the threshold and the filters. ``hits`` may pass (query_id, doc_id,
+    cosine, rank) rows that have been retrieved before."""
+    return _retrieved(queries, corpus, opts, hits)[0].drop("_ok", "_has")
 
 
 def search(queries: DataFrame, papers: DataFrame | None, opts: SearchOptions = SearchOptions(),
            dv: DataFrame | None = None, corpus: Corpus | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Results per query: ``query_id, rank, candidate_rank, doc_id`` + the
     result fields. ``papers`` must carry ``doc_id``. ``corpus`` passes a stored
-    index (vectors, centroids) or one shared between runs."""
+    index (vectors, centroids or cells) or one shared between runs."""
     if corpus is None:
         corpus = prepare_corpus(papers, dv)
-    found = candidates(queries, corpus, opts, hits).where(F.col("score") >= opts.threshold)
-    if opts.filter_mode == "post":
-        found = found.where(passes_filters(opts))
+    found, wide = _retrieved(queries, corpus, opts, hits)
+    found = found.where((F.col("score") >= opts.threshold) & F.col("_ok")).select(
+        "query_id", "doc_id", "score", "candidate_rank", "_has")
     acc = Window.partitionBy("query_id").orderBy("candidate_rank")
     found = found.withColumn("rank", F.row_number().over(acc)).where(F.col("rank") <= opts.k)
     if opts.generate_summaries:
         # the extractive summary is empty exactly when the abstract is, so the
         # slots are chosen first and only those rows are summarised
-        has_text = F.coalesce(F.col("abstract"), F.lit("")) != ""
-        slot = Window.partitionBy("query_id", has_text).orderBy("rank")
-        found = found.withColumn("_slot", has_text & (F.row_number().over(slot) <= MAX_SUMMARIES_PER_SEARCH)) \
-            .withColumn("ai_summary", F.when(F.col("_slot"), T.rule_summary("abstract"))).drop("_slot")
+        slot = Window.partitionBy("query_id", "_has").orderBy("rank")
+        found = found.withColumn("_slot", F.col("_has") & (F.row_number().over(slot) <= MAX_SUMMARIES_PER_SEARCH))
+        summary = F.when(F.col("_slot"), T.rule_summary("abstract"))
     else:
-        found = found.withColumn("ai_summary", F.lit(None).cast("string"))
-    return result_projection(found)
+        summary = F.lit(None).cast("string")
+    # titles and abstracts join the accepted rows only
+    full = found.drop("_has").join(wide.drop("_text", "_ok", "_has"), "doc_id").withColumn("ai_summary", summary)
+    return result_projection(full)
 
 
 def similar_papers(probes: DataFrame, papers: DataFrame | None, top_k: int = 5, opts: SearchOptions = SearchOptions(),

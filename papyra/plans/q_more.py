@@ -19,6 +19,7 @@ from papyra.plans.q_io import scratch
 from papyra.plans.q_ingest import papers
 from papyra.plans.q_vectors import K_NN, VEC, _rank_sql
 from papyra.session import materialize
+from papyra.sources import arrays as JA
 from papyra.sources import files as FS
 from papyra.streaming import incremental as INC
 
@@ -42,15 +43,38 @@ def mixed_format_scan(spark, sf_dir):
     path = scratch(spark, "raw-mixed")
     raw = A.raw_papers(spark, sf_dir)
     FS.save_json_lines(raw.where("doc_id % 2 = 1"), f"{path}/lines")
-    even = raw.where("doc_id % 2 = 0")
-    groups = even.count() // ROWS_PER_ARRAY + 1
-    arrays = even.withColumn("_g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("_g").agg(
-        F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in raw.columns]))).alias("value"))
-    arrays.repartition(groups, "_g").write.partitionBy("_g").text(f"{path}/arrays")
+    write_arrays(raw.where("doc_id % 2 = 0"), f"{path}/arrays")
     back = FS.read_raw(spark, path)
     return FS.good_records(back).select("id", "title", "update_date", "authors")
 
 
+def write_arrays(raw, path):
+    """JSON-array files of about ``ROWS_PER_ARRAY`` records each."""
+    groups = raw.count() // ROWS_PER_ARRAY + 1
+    arrays = raw.withColumn("_g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("_g").agg(
+        F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in raw.columns]))).alias("value"))
+    arrays.repartition(groups, "_g").write.partitionBy("_g").text(path)
+
+
+@register("array_ranges", RAW + "SELECT id, title, update_date, authors, TRUE AS several_ranges_a_file FROM raw")
+def array_ranges(spark, sf_dir):
+    """JSON-array files read in ranges of 64 KB by several tasks each."""
+    path = scratch(spark, "raw-arrays")
+    write_arrays(A.raw_papers(spark, sf_dir), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("65536", "1024")):
+            spark.conf.set(n, v)
+        files = FS.list_files(spark, path)
+        back = materialize(FS.good_records(JA.read_arrays(spark, files)), "array-rows")
+        ranges = JA.segments(spark, files).select("file", "at").distinct().count()
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    return back.select("id", "title", "update_date", "authors", F.lit(ranges > 2 * len(files)).alias("several_ranges_a_file"))
+
+
 @register("bounded_load", RAW + "SELECT id, title FROM raw ORDER BY id LIMIT 200")
 def bounded_load(spark, sf_dir):
     """The first 200 records by id (the limit is the feature)."""

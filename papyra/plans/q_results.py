@@ -5,6 +5,7 @@ benchmark profiles."""
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
 from papyra.plans.q_ingest import papers
 from papyra.plans.q_search import DEFAULT, corpus, queries_table, run_search
+from papyra.session import scratch_path
+from papyra.streaming import cachestate as CS
 
 
 def results_table(spark, sf_dir, opts=DEFAULT, q=None):
@@ -101,6 +104,29 @@ def cache_upsert(spark, sf_dir):
     return SU.upsert(cache_table(spark, sf_dir), new)
 
 
+CACHE_STATE_SQL = S.with_papers(extra=CACHE_SQL + ",\n" + NEW_SQL) + """
+SELECT key, summary, ts, title FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, summary DESC) AS n
+  FROM (SELECT * FROM cache UNION ALL SELECT * FROM new)) WHERE n = 1"""
+
+
+@register("cache_state", CACHE_STATE_SQL)
+def cache_state(spark, sf_dir):
+    """The cache as keyed stream state after three arrivals: new summaries, then older
+    ones (late) with some of the new ones again (equal), then the second again."""
+    base = scratch_path(spark, f"cache-state-{uuid.uuid4().hex}")
+    lab = A.table(spark, sf_dir, "labels").where(F.col("toxic") == 0).select("doc_id")
+    p = papers(spark, sf_dir).join(lab, "doc_id", "left_semi")
+    new = R.materialize(SU.with_keys(p).select(
+        "key", T.rule_summary("abstract").alias("summary"),
+        (F.lit("2024-06-01").cast("timestamp") + F.make_interval(days=(F.col("doc_id") % 200).cast("int")))
+        .alias("ts"), "title"), "new-entries")
+    late = cache_table(spark, sf_dir).unionByName(new.where(F.pmod(F.xxhash64("key"), F.lit(3)) == 0))
+    for part in (new, late, late):
+        part.write.mode("append").json(f"{base}/in")
+        CS.start_cache_state(spark, f"{base}/in", f"{base}/ck").awaitTermination()
+    return CS.cache_state(spark, f"{base}/ck")
+
+
 def _digest_sql() -> str:
     return Q.with_search(DEFAULT) + f"""
 , cats AS (SELECT query_id, cat, count(*) AS n FROM (SELECT query_id, unnest(categories) AS cat FROM res WHERE rank <= 10)

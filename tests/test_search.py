@@ -75,3 +75,21 @@ def test_rerank_subset_and_threshold(spark):
     assert {r["doc_id"] for r in rer.collect()} <= {r["doc_id"] for r in plain.collect()} | {3, 5}
     strict = R.search(q, p, R.SearchOptions(top_k=5, use_reranking=True, min_similarity=0.99)).collect()
     assert all(r["similarity_score"] >= 0.99 for r in strict)
+
+
+def test_no_text_is_shuffled_by_query_before_the_cut(spark):
+    from papyra.operators import retrieval as R
+    papers = spark.createDataFrame([(i, f"id{i}", f"title {i}", f"deep network number {i}", ["a"], ["c"]) for i in range(20)],
+                                   "doc_id long, id string, title string, abstract string, authors array<string>, categories array<string>") \
+        .selectExpr("*", "timestamp'2024-01-01' AS update_date")
+    queries = spark.createDataFrame([(1, "deep network"), (2, "number 7")], "query_id int, query string")
+    for opts in (R.SearchOptions(), R.SearchOptions(use_reranking=False), R.SearchOptions(scorer=lambda q, t: q.substr(1, 1).cast("double"))):
+        narrow = R.candidates(queries, R.prepare_corpus(papers), opts)
+        assert not {"title", "abstract", "authors", "categories", "_text"} & set(narrow.columns)
+        plan = R.search(queries, papers, opts)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        # texts come in above all windows: those are below the join that brings them
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in plan.splitlines() if "abstract" in line and "Relation" in line]
+        assert windows and depth
+        for line in windows:
+            assert "abstract" not in line
