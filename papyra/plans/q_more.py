@@ -20,6 +20,7 @@ from papyra.plans.q_ingest import papers
 from papyra.plans.q_vectors import K_NN, VEC, _rank_sql
 from papyra.session import materialize
 from papyra.sources import arrays as JA
+from papyra.sources import digests as DG
 from papyra.sources import files as FS
 from papyra.streaming import incremental as INC
 
@@ -141,6 +142,34 @@ def file_digests(spark, sf_dir):
     return d.select(file_source().alias("source"), "length", "digest")
 
 
+@register("range_digests", """WITH f AS (SELECT source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS body
+  FROM documents GROUP BY source)
+SELECT source, strlen(body) AS length, length(body) - length(replace(body, chr(10), '')) AS lines,
+  md5(body || CAST(strlen(body) AS VARCHAR)) AS quick_digest, TRUE AS same_in_any_ranges, TRUE AS several_ranges FROM f""")
+def range_digests(spark, sf_dir):
+    """A file a source, digested in ranges of 16 KB and again as Spark cuts it: one
+    digest; the quick digest of files up to a MiB is that of their bytes and size."""
+    path = scratch(spark, "source-texts")
+    docs = A.table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value") \
+        .write.partitionBy("source").text(path)
+    files = FS.list_files(spark, path)
+    whole = materialize(DG.file_digests(spark, files).select("path", F.col("digest").alias("_whole")), "digests")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("16384", "1024")):
+            spark.conf.set(n, v)
+        cut = materialize(DG.file_digests(spark, files), "digests")
+        ranges = materialize(DG.ranges(spark, files).groupBy("path").agg(F.count(F.lit(1)).alias("_n")), "ranges")
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    return cut.join(whole, "path").join(ranges, "path").select(
+        file_source().alias("source"), "length", "lines", "quick_digest",
+        (F.col("digest") == F.col("_whole")).alias("same_in_any_ranges"), (F.col("_n") > 1).alias("several_ranges"))
+
+
 @register("source_manifest", "SELECT DISTINCT source FROM documents WHERE source IN ('src1', 'src2')")
 def source_manifest(spark, sf_dir):
     """Files to reprocess: the stored manifest was taken before src1 changed
