@@ -97,21 +97,25 @@ def corpus_kpis(papers: DataFrame, asof: dt.date) -> DataFrame:
                     F.count_distinct(F.when(~own, F.col("author"))).alias("authors"))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
 NUMERIC_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
 def describe(df: DataFrame, cols) -> DataFrame:
     """``(column, stat, value)``: count, mean, sample std, min, exact
-    quartiles (linear interpolation), max for each numeric column."""
+    quartiles (linear interpolation), max for each numeric column. The quartiles keep
+    a count for each distinct value: for lengths and the like; columns of
+    continuous values go to ``sketches.describe_sketched``."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).cast("double").alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"),
                  F.stddev_samp(x).alias(f"{c}|std"), F.min(x).alias(f"{c}|min"),
-                 F.percentile(x, F.lit(0.25)).alias(f"{c}|25%"),
-                 F.percentile(x, F.lit(0.5)).alias(f"{c}|50%"),
-                 F.percentile(x, F.lit(0.75)).alias(f"{c}|75%"), F.max(x).alias(f"{c}|max")]
+                 # one map of values for the three
+                 F.percentile(x, F.array(*[F.lit(p) for p in QUARTILES])).alias(f"{c}|q"), F.max(x).alias(f"{c}|max")]
     wide = df.agg(*aggs)
+    wide = wide.select(*[F.col(f"`{a}`") for a in wide.columns if not a.endswith("|q")],
+                       *[F.get(f"`{c}|q`", i).alias(f"{c}|{p:.0%}") for c in cols for i, p in enumerate(QUARTILES)])
     long = wide.unpivot([], [a for a in wide.columns], "key", "value")
     return long.select(F.split_part("key", F.lit("|"), F.lit(1)).alias("column"),
                        F.split_part("key", F.lit("|"), F.lit(2)).alias("stat"),

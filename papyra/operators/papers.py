@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.schemas import CORRUPT_COL
 
 MIN_ABSTRACT_LENGTH = 50
 MAX_ABSTRACT_LENGTH = 2000
@@ -144,3 +145,19 @@ def ingest_counters(raw: DataFrame, language: str | None = "en",
         total.alias("total"), kept.alias("kept"), (total - kept).alias("skipped"),
         F.round(F.try_divide(kept * 100.0, total), 6).alias("success_pct"),
         *[F.count_if(r == name).alias(name) for name in REASONS])
+
+
+def write_papers(raw: DataFrame, path: str, language: str | None = "en", categories: Sequence[str] | None = None) -> dict[str, int]:
+    """Write the kept papers as Parquet and return the counters of that same pass:
+    malformed (``_bad`` records), total, kept, skipped and each reject reason. The raw
+    records are read once."""
+    bad = F.col(CORRUPT_COL).isNotNull() if CORRUPT_COL in raw.columns else F.lit(False)
+    flagged = with_reject_reason(raw.withColumn("_malformed", bad), language, categories)
+    good, r = ~F.col("_malformed"), F.col("reject_reason")
+    seen = Observation("ingest")
+    counted = flagged.observe(
+        seen, F.count_if(F.col("_malformed")).alias("malformed"), F.count_if(good).alias("total"),
+        F.count_if(good & r.isNull()).alias("kept"), F.count_if(good & r.isNotNull()).alias("skipped"),
+        *[F.count_if(good & (r == name)).alias(name) for name in REASONS])
+    project(counted.where(good & r.isNull())).write.mode("overwrite").parquet(path)
+    return {k: v or 0 for k, v in seen.get.items()}

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
+from pyspark.sql import functions as F
 
 from papyra.operators import analytics as AN
 from papyra.operators import sampling as SM
 from papyra.operators import index as IX
+from papyra.operators import sketches as SK
 from papyra.plans import adapters as A
 from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
 from papyra.plans.q_ingest import papers
+from papyra.session import materialize, scratch_path
 
 ASOF = dt.date(2024, 12, 31)
 ASOF_SQL = "TIMESTAMP '2024-12-31 00:00:00'"
@@ -172,3 +176,57 @@ def duplicate_semi(spark, sf_dir):
 FROM (SELECT DISTINCT doc_id FROM papers)""")
 def update_stats(spark, sf_dir):
     return IX.update_stats(papers(spark, sf_dir).select("doc_id"), A.vectors(spark, sf_dir), "doc_id", "id")
+
+
+@register("arrival_statistics", WP + """SELECT count(*) AS total_papers, round(avg(text_length), 6) AS avg_text_length,
+  round(avg(word_count), 6) AS avg_word_count, min(update_date) AS earliest, max(update_date) AS latest,
+  TRUE AS authors_within_5_percent, TRUE AS medians_within_2_percent FROM papers""")
+def arrival_statistics(spark, sf_dir):
+    """Statistics of three arrivals (one recorded twice), merged from their sketches;
+    distinct authors and median ranks against the exact ones."""
+    path = scratch_path(spark, f"arrivals-{uuid.uuid4().hex}")
+    p = materialize(papers(spark, sf_dir), "papers")
+    for name, part in (("a", 0), ("b", 1), ("c", 2), ("b", 1)):
+        SK.record_arrival(p.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part), path, name)
+    t = SK.corpus_totals(spark, path)
+    true = AN.distinct_authors(p).scalar()
+    ranks = [p.agg((F.count_if(F.col(c) < t.select(m).scalar()) / F.count(F.lit(1))).alias("r")).scalar()
+             for c, m in (("text_length", "median_text_length"), ("word_count", "median_word_count"))]
+    ends = [p.agg((F.count_if(F.col(c) <= t.select(m).scalar()) / F.count(F.lit(1))).alias("r")).scalar()
+            for c, m in (("text_length", "median_text_length"), ("word_count", "median_word_count"))]
+    near = F.lit(True)
+    for lo, hi in zip(ranks, ends):
+        near = near & (lo <= 0.52) & (hi >= 0.48)
+    return t.select("total_papers", F.round("avg_text_length", 6).alias("avg_text_length"),
+                    F.round("avg_word_count", 6).alias("avg_word_count"), "earliest", "latest",
+                    (F.abs(F.col("unique_authors") - true) <= 0.05 * true).alias("authors_within_5_percent"),
+                    near.alias("medians_within_2_percent"))
+
+
+@register("arrival_categories", WP + CAT_DIST)
+def arrival_categories(spark, sf_dir):
+    """Category counts merged from two arrivals."""
+    path = scratch_path(spark, f"arrivals-{uuid.uuid4().hex}")
+    p = papers(spark, sf_dir)
+    for part in (0, 1):
+        SK.record_arrival(p.where(F.pmod(F.xxhash64("id"), F.lit(2)) == part), path, str(part))
+    return SK.category_totals(spark, path)
+
+
+@register("describe_sketched", """WITH v AS (SELECT value AS x FROM events WHERE value IS NOT NULL)
+SELECT 'value' AS "column", p AS stat, TRUE AS rank_within_2_percent FROM (VALUES ('25%'), ('50%'), ('75%')) AS q(p)
+WHERE (SELECT count(*) FROM v) > 0""")
+def describe_sketched(spark, sf_dir):
+    """KLL quartiles of a continuous column: is the share of values below each within 0.02
+    of its own?"""
+    v = A.table(spark, sf_dir, "events").where(F.col("value").isNotNull()).select("value")
+    d = materialize(SK.describe_sketched(v, ["value"]), "described").where(F.col("stat").endswith("%"))
+    n = F.count(F.lit(1))
+    out = None
+    for s, p in (("25%", 0.25), ("50%", 0.5), ("75%", 0.75)):
+        x = d.where(F.col("stat") == s).select("value").scalar()
+        one = v.agg((F.count_if(F.col("value") < x) / n).alias("lo"), (F.count_if(F.col("value") <= x) / n).alias("hi")) \
+            .select(F.lit("value").alias("column"), F.lit(s).alias("stat"),
+                    ((F.col("lo") <= p + 0.02) & (F.col("hi") >= p - 0.02)).alias("rank_within_2_percent"))
+        out = one if out is None else out.unionByName(one)
+    return out

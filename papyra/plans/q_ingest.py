@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
@@ -9,6 +11,8 @@ from papyra.operators import papers as P
 from papyra.plans import adapters as A
 from papyra.plans import sqltext as S
 from papyra.plans.catalog import register
+from papyra.session import scratch_path
+from papyra.sources import files as FS
 
 INCLUDED_CATEGORIES = ["src3", "src7"]
 SCAN_LIMIT = 300
@@ -80,6 +84,22 @@ def paper_filter_counters(spark, sf_dir):
     return P.ingest_counters(A.raw_papers(spark, sf_dir), language="en")
 
 
+@register("ingest_write_counters", f"""WITH {S.raw_cte()}, {S.flagged_cte('en')}
+SELECT CAST(1 AS BIGINT) AS malformed, count(*) AS total, count_if(reject_reason IS NULL) AS kept,
+  count(*) - count_if(reject_reason IS NULL) AS skipped,
+  {', '.join(f"count_if(reject_reason = '{r}') AS {r}" for r in P.REASONS)}, count_if(reject_reason IS NULL) AS written
+FROM flagged""")
+def ingest_write_counters(spark, sf_dir):
+    """JSON lines and one malformed line read once: papers written, counters from the
+    same pass."""
+    base = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
+    FS.save_json_lines(A.raw_papers(spark, sf_dir), f"{base}/raw")
+    spark.createDataFrame([("{broken json",)], "value string").write.mode("append").text(f"{base}/raw")
+    counts = P.write_papers(FS.read_raw(spark, f"{base}/raw", "jsonl"), f"{base}/papers", language="en")
+    return FS.load_table(spark, f"{base}/papers").agg(F.count(F.lit(1)).alias("written")).select(
+        *[F.lit(counts[c]).cast("long").alias(c) for c in ("malformed", "total", "kept", "skipped", *P.REASONS)], "written")
+
+
 @register("category_include", S.with_papers(categories=INCLUDED_CATEGORIES)
           + "SELECT id, array_to_string(categories, '|') AS categories FROM papers")
 def category_include(spark, sf_dir):
