@@ -69,16 +69,16 @@ class SuffixArray:
         ids = Staged(every.df.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"),
                      "line-ids")
         alphabet = ranked(ids.df, ["h1", "h2"])
-        found = Staged(every.df.join(alphabet.df, ["h1", "h2"]).select(*AT, "line", "long", F.col("rank").alias("r"))
-                       .distinct(), "line-places")
-        every.drop()
-        ids.drop()
+        # one shuffle by row: repeated rows count once, then both windows find their rows in place
+        found = every.df.join(alphabet.df, ["h1", "h2"]).select(*AT, "line", "long", F.col("rank").alias("r")) \
+            .repartition("d", "k").dropDuplicates(AT)
         run, whole = W.partitionBy("d", "k").orderBy("i"), W.partitionBy("d", "k", "g")
-        island = found.df.withColumn("g", F.col("i") - F.row_number().over(run))
+        island = found.withColumn("g", F.col("i") - F.row_number().over(run))
         kept = island.withColumns({"b": F.max("i").over(whole) - F.col("i") + 1, "size": F.count("*").over(whole),
                                    "some": F.max("long").over(whole)}).where((F.col("size") >= min_lines) | F.col("some"))
         self.place = Staged(kept.select(*AT, "line", "long", "b", "r"), "line-breaks").df
-        found.drop()
+        every.drop()
+        ids.drop()
         self.levels, self.last = [self.place.select(*AT, "r")], alphabet
         groups, size = -1, alphabet.df.count()
         while size != groups:
