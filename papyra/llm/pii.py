@@ -7,8 +7,9 @@ span. Every parser moves forward only, so the work is linear in the text.
 
 Kinds, in the order used for ties: ``email``, ``ip``, ``card``, ``phone`` (base
 kinds), then those the cues add: ``url`` (scheme or ``www.`` and an authority),
-``iban`` (mod-97 checked), ``account`` (an identifier cue, an optional
-separator and a value that holds a digit).
+``iban`` (mod-97 checked), ``account`` (an identifier cue in any case, its words joined
+by a space, ``_``, ``-`` or nothing, up to four filler words such as "number", "no." or
+"is", an optional separator and a value that holds a digit).
 
 Cases: null or empty text has no spans; repeated rows give repeated results;
 an empty table an empty result; text length is not limited; columns other
@@ -27,7 +28,10 @@ KINDS = ("email", "ip", "card", "phone", "url", "iban", "account")
 BASE = KINDS[:4]
 # fixed values: cues and schemes
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "www.")
-CUES = ("iban", "account", "acct", "ssn", "passport", "tax id", "user id", "token", "api_key", "password")
+CUES = ("iban", "account", "acct", "ssn", "passport", "tax id", "user id", "token", "api key", "password")
+JOINTS = (" ", "_", "-", "")            # between the words of a cue
+FILLERS = ("no", "nr", "num", "number", "id", "code", "key", "is", "was")
+MOST_FILLERS = 4
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, " \
          "spans string, n_spans long"
 
@@ -42,7 +46,9 @@ IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
     "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
     "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
     for c in cs.split(",")}
-_VALUE = re.compile(r"[\s:=#]{0,3}(?:(?:no|nr|number|id)\b\.?[\s:=#]{0,3})?[\"']?([A-Za-z0-9][A-Za-z0-9_-]{3,})")
+_FILLER = re.compile(rf"[\s:=#._-]{{0,3}}(?:{'|'.join(FILLERS)})(?![A-Za-z0-9])\.?", re.I)
+_VALUE = re.compile(r"[\s:=#]{0,3}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{3,})")
+_FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 def automaton():
@@ -53,10 +59,12 @@ def automaton():
         a.add_word(c, (c, 1))
     for c in "0123456789":
         a.add_word(c, ("0", 1))
-    for words, tag in ((SCHEMES, "s"), (CUES, "c")):
-        for w in words:
-            for form in {w, w.upper(), w.capitalize(), w.title()}:
-                a.add_word(form, (tag, len(form)))
+    for w in SCHEMES:
+        a.add_word(w, ("s", len(w)))
+    for w in CUES:
+        for joint in JOINTS:
+            form = w.replace(" ", joint)
+            a.add_word(form, ("c", len(form)))
     a.make_automaton()
     return a
 
@@ -176,12 +184,17 @@ def accounts(text: str, cues: list[tuple[int, int]]) -> tuple[list, list]:
     for start, end in cues:
         if start < done or (start and (text[start - 1].isalnum())):
             continue
-        if m := _IBAN.match(text, end):
+        at = end
+        for _ in range(MOST_FILLERS):       # "Account Number:", "Acct. No.", "passport number is"
+            if not (m := _FILLER.match(text, at)):
+                break
+            at = m.end()
+        if m := _IBAN.match(text, at):
             if last := iban_end(text, *m.span(1)):
                 iban.append((m.start(1), last))
                 done = last
                 continue
-        if (m := _VALUE.match(text, end)) and any("0" <= c <= "9" for c in m[1]) and m.start(1) > end:
+        if (m := _VALUE.match(text, at)) and any("0" <= c <= "9" for c in m[1]) and m.start(1) > end:
             other.append(m.span(1))
             done = m.end()
     return iban, other
@@ -190,7 +203,7 @@ def accounts(text: str, cues: list[tuple[int, int]]) -> tuple[list, list]:
 def find(text: str, machine) -> dict[str, list[tuple[int, int]]]:
     """Spans of a whole text by kind."""
     ats, pluses, digits, heads, cues = [], [], [], [], []
-    for last, (tag, size) in machine.iter(text):
+    for last, (tag, size) in machine.iter(text.translate(_FOLD)):      # A-Z only: places stay
         if tag == "0":
             digits.append(last)
         elif tag == "@":

@@ -121,3 +121,31 @@ def test_account_values_end_where_they_end():
     assert cut(f"token={token}; next") == {"account": [token]}
     text = f"token={token} next"
     assert pii.redact(text, pii.joined(pii.find(text, m), pii.KINDS)) == "token=[ACCOUNT] next"
+
+
+def test_cues_in_any_spelling():
+    m = pii.automaton()
+
+    def cut(text):
+        f = pii.find(text, m)
+        return [text[a:b] for k in ("iban", "account") for a, b in f[k]]
+    for text, value in (("Account Number: 12345678", "12345678"), ("Account No. 12345678", "12345678"), ("Account ID 12345678", "12345678"),
+                        ("API_Key=abcd1234efgh", "abcd1234efgh"), ("api-key: 'abcd1234'", "abcd1234"), ("ApiKey abcd1234", "abcd1234"),
+                        ("passport number is AB1234567", "AB1234567"), ("PASSPORT NO: AB1234567", "AB1234567"),
+                        ("account number: 12345678", "12345678"), ("Tax-ID code was 99-1234", "99-1234"), ("User_Id=u1234", "u1234"),
+                        ("IBAN number is DE89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 00")):
+        assert cut(text) == [value], text
+    for text in ("account number unknown", "accounts 12345678", "tokenizer 12345678", "the account is number", "accountable no 1234",
+                 "account no no no no no 12345678"):
+        assert cut(text) == [], text
+
+
+def test_hot_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} " + "x" * (i % 50), "s") for i in range(4000)]
+    rows += [(c, t, r, "short", "s") for c in range(2, 800) for t, r in ((0, "user"), (1, "assistant"))]
+    turns = chat.format_turns(spark.createDataFrame(rows, CONV).repartition(6))
+    got = {r.conv_id: r for r in chat.digest(turns).collect()}
+    assert len(got) == 799 and got[1].n_turns == 4000 and got[1].n_examples == 2000
+    assert got[1].loss_sha256 == sha("".join(t for c, _, r, t, _ in rows if c == 1 and r == "assistant"))
+    ends = [r.text_chars for r in chat.examples(turns).where("conv_id = 1").collect()]
+    assert sum(ends) == got[1].formatted_chars
