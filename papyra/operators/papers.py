@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.operators.language import Profile, detect
 from papyra.schemas import CORRUPT_COL
 
 MIN_ABSTRACT_LENGTH = 50
@@ -71,8 +72,21 @@ def is_english(text_col) -> F.Column:
     return (F.length(stripped) < LANGUAGE_MIN_CHARS) | (F.coalesce(lang, F.lit("en")) == "en")
 
 
+def is_language(text_col, code: str, profile: Profile | None = None) -> F.Column:
+    """Keep texts of the language, short (<20 chars stripped) and undetectable ones. With
+    a ``profile`` the n-gram test decides, else the stop-word vote."""
+    if code == "en" and profile is None:
+        return is_english(text_col)
+    known = sorted(STOPWORDS) if profile is None else sorted(profile.languages)
+    if code not in known:
+        raise ValueError(f"no test for language {code!r}; known: {', '.join(known)}")
+    stripped = T.strip(F.coalesce(text_col, F.lit("")))
+    lang = detect_language(stripped) if profile is None else detect(stripped, profile)
+    return (F.length(stripped) < LANGUAGE_MIN_CHARS) | (F.coalesce(lang, F.lit(code)) == code)
+
+
 def with_reject_reason(raw: DataFrame, language: str | None = None,
-                       categories: Sequence[str] | None = None) -> DataFrame:
+                       categories: Sequence[str] | None = None, profile: Profile | None = None) -> DataFrame:
     """Add ``reject_reason`` (null = kept): first failing rule, in the
     reference's short-circuit order."""
     abstract = T.strip(F.coalesce(F.col("abstract"), F.lit("")))
@@ -82,10 +96,9 @@ def with_reject_reason(raw: DataFrame, language: str | None = None,
               .when(abstract == "", "missing_abstract")
               .when(n < MIN_ABSTRACT_LENGTH, "abstract_too_short")
               .when(n > MAX_ABSTRACT_LENGTH, "abstract_too_long"))
-    if language == "en":
-        reason = reason.when(~is_english(F.col("abstract")), "not_english")
-    elif language is not None:
-        raise ValueError("only 'en' or None is supported for language")
+    if language is not None:
+        reason = reason.when(~is_language(F.col("abstract"), language, profile),
+                             "not_english" if language == "en" else "other_language")
     if categories:
         wanted = F.array(*[F.lit(c) for c in categories])
         reason = reason.when(~F.arrays_overlap(T.split_categories("categories"), wanted),
@@ -123,13 +136,14 @@ def project(raw: DataFrame) -> DataFrame:
 
 
 def build_papers(raw: DataFrame, language: str | None = "en",
-                 categories: Sequence[str] | None = None,
-                 sample_size: int | None = None, order_key: str = "id") -> DataFrame:
-    """Filter + project. ``sample_size`` keeps the first n raw rows (by
+                 categories: Sequence[str] | None = None, sample_size: int | None = None, order_key: str = "id",
+                 profile: Profile | None = None) -> DataFrame:
+    """Filter + project. ``profile`` replaces the stop-word vote of the language test
+    (``language.fit``). ``sample_size`` keeps the first n raw rows (by
     ``order_key``) before any filter, as the reference's scan limit does."""
     if sample_size is not None:
         raw = raw.orderBy(order_key).limit(sample_size)
-    flagged = with_reject_reason(raw, language, categories)
+    flagged = with_reject_reason(raw, language, categories, profile)
     return project(flagged.filter(F.col("reject_reason").isNull()))
 
 

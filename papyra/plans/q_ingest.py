@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from papyra.functions import text as T
+from papyra.operators import language as LG
 from papyra.operators import papers as P
 from papyra.plans import adapters as A
 from papyra.plans import sqltext as S
@@ -84,6 +85,21 @@ def paper_filter_counters(spark, sf_dir):
     return P.ingest_counters(A.raw_papers(spark, sf_dir), language="en")
 
 
+@register("language_ngrams", "SELECT count(*) AS scored, TRUE AS above_stop_words, TRUE AS above_976 FROM documents")
+def language_ngrams(spark, sf_dir):
+    """N-gram profiles learnt from three quarters of ``documents`` (by id), all rows scored:
+    on the held-out quarter, is the agreement with ``lang`` above the stop-word vote's
+    and above 0.976?"""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    profile = LG.fit(docs.where(~held), "text", "lang")
+    scored = docs.select(held.alias("held"), "lang", LG.detect("text", profile).alias("g"), P.detect_language(F.col("text")).alias("w"))
+    share = lambda c: F.avg(F.when(F.col("held") & F.col("lang").isNotNull(),     # noqa: E731
+                                   F.coalesce(F.col(c) == F.col("lang"), F.lit(False)).cast("double")))
+    one = scored.agg(F.count(F.lit(1)).alias("scored"), share("g").alias("g"), share("w").alias("w"))
+    return one.select("scored", (F.col("g") > F.col("w")).alias("above_stop_words"), (F.col("g") > 0.976).alias("above_976"))
+
+
 @register("ingest_write_counters", f"""WITH {S.raw_cte()}, {S.flagged_cte('en')}
 SELECT CAST(1 AS BIGINT) AS malformed, count(*) AS total, count_if(reject_reason IS NULL) AS kept,
   count(*) - count_if(reject_reason IS NULL) AS skipped,
