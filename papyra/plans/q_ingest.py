@@ -85,11 +85,11 @@ def paper_filter_counters(spark, sf_dir):
     return P.ingest_counters(A.raw_papers(spark, sf_dir), language="en")
 
 
-@register("language_ngrams", "SELECT count(*) AS scored, TRUE AS above_stop_words, TRUE AS above_976 FROM documents")
+@register("language_ngrams", "SELECT count(*) AS scored, TRUE AS reaches_stop_words, TRUE AS reaches_976 FROM documents")
 def language_ngrams(spark, sf_dir):
     """N-gram profiles learnt from three quarters of ``documents`` (by id), all rows scored:
-    on the held-out quarter, is the agreement with ``lang`` above the stop-word vote's
-    and above 0.976?"""
+    on the held-out quarter, does the agreement with ``lang`` reach the stop-word vote's,
+    and 0.976?"""
     docs = A.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     profile = LG.fit(docs.where(~held), "text", "lang")
@@ -97,7 +97,7 @@ def language_ngrams(spark, sf_dir):
     share = lambda c: F.avg(F.when(F.col("held") & F.col("lang").isNotNull(),     # noqa: E731
                                    F.coalesce(F.col(c) == F.col("lang"), F.lit(False)).cast("double")))
     one = scored.agg(F.count(F.lit(1)).alias("scored"), share("g").alias("g"), share("w").alias("w"))
-    return one.select("scored", (F.col("g") > F.col("w")).alias("above_stop_words"), (F.col("g") > 0.976).alias("above_976"))
+    return one.select("scored", (F.col("g") >= F.col("w")).alias("reaches_stop_words"), (F.col("g") >= 0.976).alias("reaches_976"))
 
 
 @register("ingest_write_counters", f"""WITH {S.raw_cte()}, {S.flagged_cte('en')}

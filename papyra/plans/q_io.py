@@ -103,8 +103,8 @@ def union_dedupe(spark, sf_dir):
     return IX.first_per_id(both, "id")
 
 
-def _tree_figures(spark, sf_dir):
-    """One row: recall@10 of a tuned cell index over all vectors, and the share of the
+def ivf_figures(spark, sf_dir):
+    """One row of figures: recall@10 of a tuned cell index over all vectors, and the share of the
     vectors that a query is compared with, tuned and with full covering angles."""
     v = A.vectors(spark, sf_dir)
     q, path = v.withColumnRenamed("id", "query_id"), scratch(spark, "cells")
@@ -128,11 +128,5 @@ def _tree_figures(spark, sf_dir):
 def ivf_recall(spark, sf_dir):
     """Does the tuned cell index keep 0.9 of the true 10 nearest vectors of every vector
     while a query is compared with under a third of them?"""
-    return _tree_figures(spark, sf_dir).select("queries", (F.col("recall") >= 0.9).alias("recall_reached"),
+    return ivf_figures(spark, sf_dir).select("queries", (F.col("recall") >= 0.9).alias("recall_reached"),
                                                (F.col("read_share") < 1 / 3).alias("under_a_third"))
-
-
-@register("ivf_figures")
-def ivf_figures(spark, sf_dir):
-    """The figures behind ``ivf_recall``, and the share that an exact search reads."""
-    return _tree_figures(spark, sf_dir)

@@ -147,7 +147,7 @@ def file_digests(spark, sf_dir):
 SELECT source, strlen(body) AS length, length(body) - length(replace(body, chr(10), '')) AS lines,
   md5(body || CAST(strlen(body) AS VARCHAR)) AS quick_digest, TRUE AS same_in_any_ranges, TRUE AS several_ranges FROM f""")
 def range_digests(spark, sf_dir):
-    """A file a source, digested in ranges of 16 KB and again as Spark cuts it: one
+    """A file a source, digested in ranges of 2 KB and again as Spark cuts it: one
     digest; the quick digest of files up to a MiB is that of their bytes and size."""
     path = scratch(spark, "source-texts")
     docs = A.table(spark, sf_dir, "documents").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("value"))
@@ -158,7 +158,7 @@ def range_digests(spark, sf_dir):
     names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = [spark.conf.get(n) for n in names]
     try:
-        for n, v in zip(names, ("16384", "1024")):
+        for n, v in zip(names, ("2048", "256")):
             spark.conf.set(n, v)
         cut = materialize(DG.file_digests(spark, files), "digests")
         ranges = materialize(DG.ranges(spark, files).groupBy("path").agg(F.count(F.lit(1)).alias("_n")), "ranges")
