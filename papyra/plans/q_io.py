@@ -109,9 +109,9 @@ def ivf_figures(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     q, path = v.withColumnRenamed("id", "query_id"), scratch(spark, "cells")
     index = C.build(v, path)
-    share = min(0.25, 256 / max(q.count(), 1))
+    share = min(1.0, 256 / max(q.count(), 1))
     sample = q.where(F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    index = C.tune(index, path, sample, 10, recall=0.91)
+    index = C.tune(index, path, sample, 10, recall=0.92)
     hits, scored = C.search(index, q, 10)
     _, scored_all = C.search(index, q, 10, slack=1.0)
     exact = R.materialize(K.exact_knn(v, q, 10).select("query_id", "id"), "exact")
