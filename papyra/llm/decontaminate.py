@@ -11,7 +11,9 @@ Passages whose cosine with a passage of an item in that space reaches ``cosine``
 are candidates, unless their surroundings hold too few benchmark words for any
 item to reach ``lcs``, whatever their order. ``energy`` can ask in addition that the
 benchmark's words carry that share of the passage's TF-IDF norm; it is off (0), as
-words that no item has weigh more the more rows there are. A candidate stands if the
+words that no item has weigh more the more rows there are. A pair goes on only if
+enough of the item's words stand in the surroundings at all: that number is never
+below the longest common subsequence, so this loses no pair. A candidate stands if the
 longest common subsequence of the item and the passage with its surroundings (an
 item's length on both sides)
 holds ``lcs`` of the item's words, and ``answer`` of the words of the item's
@@ -51,7 +53,7 @@ class Settings:
     energy: float = 0.0
     lcs: float = 0.7
     answer: float = 0.6
-    max_benchmark_bytes: int = 64 << 20
+    max_benchmark_bytes: int = 16 << 20
 
 
 def _fold_table() -> np.ndarray:
@@ -156,7 +158,12 @@ def document_counts(found: DataFrame, size: int) -> tuple[np.ndarray, int]:
             ids, off = _lists(b.column(0))
             row = np.repeat(np.arange(len(off) - 1), np.diff(off))
             inside = ids >= 0
-            df += np.bincount(np.unique(row[inside] * size + ids[inside]) % size, minlength=size)
+            words, row = ids[inside], row[inside]
+            order = _by_word(words, size)
+            words, row = words[order], row[order]       # rows ascend within a word
+            new = np.ones(len(words), bool)
+            new[1:] = (words[1:] != words[:-1]) | (row[1:] != row[:-1])
+            df += np.bincount(words[new], minlength=size)
             n += len(off) - 1
         at = np.append(np.flatnonzero(df), -1)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.append(df, n)[at], pa.int64())],
@@ -171,6 +178,11 @@ def document_counts(found: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return df, n
 
 
+def _by_word(words: np.ndarray, size: int) -> np.ndarray:
+    """Stable order by word number (small numbers take numpy's radix sort)."""
+    return np.argsort(words.astype(np.uint16) if size < 1 << 16 else words, kind="stable")
+
+
 def _grouped(ids: np.ndarray, off: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of ``step`` words of each row: (block of each word, first block of
     each row, blocks)."""
@@ -181,16 +193,44 @@ def _grouped(ids: np.ndarray, off: np.ndarray, step: int) -> tuple[np.ndarray, n
     return np.repeat(first[:-1], size) + place // step, first, int(first[-1])
 
 
-def _sums(table: np.ndarray, rows: np.ndarray, group: np.ndarray, n: int, step: int = 1 << 12) -> np.ndarray:
-    """Per group (ascending), the sum of the given rows of ``table``."""
+def _sums(table: np.ndarray, rows: np.ndarray, group: np.ndarray, n: int, weight: np.ndarray | None = None,
+          step: int = 1 << 12) -> np.ndarray:
+    """Per group (ascending), the weighted sum of the given rows of ``table``."""
     out = np.zeros((n, table.shape[1]), np.float32)
     for i in range(0, len(rows), step):
-        g = group[i:i + step]
+        g, x = group[i:i + step], table[rows[i:i + step]]
+        if weight is not None:
+            x *= weight[i:i + step, None]
         cut = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        out[g[cut]] += np.add.reduceat(table[rows[i:i + step]], cut, axis=0)
+        out[g[cut]] += np.add.reduceat(x, cut, axis=0)
     return out
 
 
+@dataclass(frozen=True)
+class SparseRows:
+    """Unit TF-IDF rows of passages: ``value`` at (``row``, ``word``), sorted by both."""
+    row: np.ndarray
+    word: np.ndarray
+    value: np.ndarray
+    n: int
+
+    @staticmethod
+    def of(passages: list[np.ndarray], idf: np.ndarray) -> SparseRows:
+        row = np.repeat(np.arange(len(passages)), [len(w) for w in passages])
+        key, times = np.unique(row * len(idf) + np.concatenate(passages), return_counts=True)
+        row, word = key // len(idf), key % len(idf)
+        value = times * idf[word]
+        norm = np.sqrt(np.bincount(row, value * value, len(passages)))
+        return SparseRows(row, word, (value / norm[row]).astype(np.float32), len(passages))
+
+    def times(self, table: np.ndarray) -> np.ndarray:
+        return _sums(table, self.word, self.row, self.n, self.value)
+
+    def transposed_times(self, table: np.ndarray, size: int) -> np.ndarray:
+        order = np.argsort(self.word, kind="stable")
+        return _sums(table, self.row[order], self.word[order], size, self.value[order])
+
+
 def sketch(found: DataFrame, idf: np.ndarray, omega: np.ndarray, width: int) -> tuple[np.ndarray, int]:
     """A'A Omega over all rows' passages (unit rows), and their number."""
     size, rank = omega.shape
@@ -211,7 +251,7 @@ def sketch(found: DataFrame, idf: np.ndarray, omega: np.ndarray, width: int) ->
                 words, group = ids[inside], group[inside]
                 square = np.bincount(group, (idf * idf)[words], n)
                 y = _sums(scaled, words, group, n) / np.maximum(square, 1e-18).astype(np.float32)[:, None]
-                order = np.argsort(words.astype(np.uint16) if size < 1 << 16 else words, kind="stable")
+                order = _by_word(words, size)
                 total[:size] += _sums(y, group[order], words[order], size)
                 count += int((square > 0).sum())
         part = TaskContext.get().partitionId()
@@ -244,12 +284,12 @@ def sketch(found: DataFrame, idf: np.ndarray, omega: np.ndarray, width: int) ->
     return out[:size], count
 
 
-def basis(found: DataFrame, idf: np.ndarray, item_rows: np.ndarray, s: Settings) -> np.ndarray:
+def basis(found: DataFrame, idf: np.ndarray, item_rows: SparseRows, s: Settings) -> np.ndarray:
     """Leading right singular vectors (vocabulary x rank) of the weighted matrix."""
     rank = min(s.rank, len(idf))
     omega = np.random.default_rng(11).standard_normal((len(idf), rank)).astype(np.float32)
     z, n = sketch(found, idf, omega, s.width)
-    z = z + max(1.0, n / len(item_rows)) * (item_rows.T @ (item_rows @ omega))
+    z = z + max(1.0, n / item_rows.n) * item_rows.transposed_times(item_rows.times(omega), len(idf))
     c = omega.T @ z
     value, vector = np.linalg.eigh((c + c.T) / 2)
     keep = value > value.max() * 1e-6
@@ -275,6 +315,57 @@ def masks_of(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+class Reach:
+    """Upper bound of the longest common subsequence: the words of an item that stand
+    somewhere in a passage's surroundings (an item's length on both sides).
+
+    A table of passages x vocabulary holds each word's distance from the passage; it
+    has a fixed number of cells, and only cells that were written are cleared."""
+
+    CELLS, FLAT = 1 << 24, 1 << 21
+
+    def __init__(self, items: list[np.ndarray], size: int, width: int):
+        self.length = np.array([len(w) for w in items])
+        self.first = np.concatenate([[0], np.cumsum(self.length)])
+        self.words = np.concatenate(items)
+        self.size, self.width, self.longest = size, width, int(self.length.max())
+        self.rows = max(1, min(4096, self.CELLS // size, self.FLAT // (width + 2 * self.longest)))
+        self.table: np.ndarray | None = None            # made in the task
+
+    def counts(self, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, word: np.ndarray, passage: np.ndarray,
+               item: np.ndarray) -> np.ndarray:
+        """For pairs (``passage`` ascending, ``item``); passage p starts at ``word[p]``
+        of ``ids`` in a row that spans ``lo[p]`` to ``hi[p]``."""
+        if self.table is None:
+            self.table = np.full((self.rows, self.size), self.longest + 1, np.int32)
+        used, at = np.unique(passage, return_inverse=True)
+        out = np.zeros(len(passage), np.int64)
+        for i in range(0, len(used), self.rows):
+            w = word[used[i:i + self.rows]]
+            a = np.maximum(lo[used[i:i + self.rows]], w - self.longest)
+            n = np.minimum(hi[used[i:i + self.rows]], w + self.width + self.longest) - a
+            p = np.repeat(np.arange(len(w)), n)
+            pos = np.arange(len(p)) + np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            known = ids[pos] >= 0
+            p, pos = p[known], pos[known]
+            far = np.maximum(np.maximum(w[p] - pos, pos - w[p] - self.width + 1), 0)
+            order = _by_word(far, self.longest + 1)[::-1]       # the nearest is written last
+            cell = p[order] * self.size + ids[pos[order]]
+            flat = self.table.reshape(-1)
+            flat[cell] = far[order]
+            pairs = np.arange(*np.searchsorted(at, [i, i + self.rows]))
+            step = max(1, self.FLAT // self.longest)
+            for j in range(0, len(pairs), step):
+                mine = pairs[j:j + step]
+                n = self.length[item[mine]]
+                begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+                x = np.arange(n.sum()) + np.repeat(self.first[item[mine]] - begin, n)
+                near = flat[np.repeat((at[mine] - i) * self.size, n) + self.words[x]] <= np.repeat(n, n)
+                out[mine] = np.add.reduceat(near.astype(np.int64), begin)
+            flat[cell] = self.longest + 1
+        return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, d, k, item_id, cosine, lcs, answer) of every row and item found."""
     spark = docs.sparkSession
@@ -286,12 +377,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     df, n = document_counts(found, len(items.vocab))
     idf = np.log((n + 1.0) / (df + 1.0)) + 1e-3
     passages, item_of = items.passages(s.width)
-    rows = np.zeros((len(passages), len(idf)), np.float32)
-    for x, w in zip(rows, passages):
-        np.add.at(x, w, idf[w])
-    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows = SparseRows.of(passages, idf)
     space = basis(found, idf, rows, s)
-    queries = rows @ space
+    queries = rows.times(space)
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
     latent = (space * idf[:, None]).astype(np.float32)
     square, rare = idf * idf, float(np.log(n + 1.0)) ** 2
@@ -299,6 +387,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     sizes = np.unique([len(w) for w in items.items])
     masks = [(masks_of(w), len(w), masks_of(a), len(a)) for w, a in zip(items.items, items.answers)]
     names, ids_of = [f.split()[0] for f in schema.split(", ")], items.ids
+    reach = Reach(items.items, len(idf), s.width)
 
     def candidates(ids: np.ndarray, off: np.ndarray):
         """(row, first word, item, cosine), best passage of an item each."""
@@ -337,9 +426,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
                 order = np.lexsort((-cos[at, q], key))
                 at, q, key = at[order], q[order], key[order]
                 once = np.concatenate([[True], key[1:] != key[:-1]])
-                for p, c in zip(at[once].tolist(), q[once].tolist()):
-                    r = int(row[a[p]])
-                    yield r, int((a[p] - first[r]) * step), int(item_of[c]), float(cos[p, c])
+                at, q = at[once], q[once]
+                r = row[a]
+                most = reach.counts(ids, off[r], off[r + 1], off[r] + (a - first[r]) * step, at, item_of[q])
+                told = most / reach.length[item_of[q]] >= s.lcs
+                for p, c in zip(at[told].tolist(), q[told].tolist()):
+                    yield int(r[p]), int((a[p] - first[r[p]]) * step), int(item_of[c]), float(cos[p, c])
 
     def run(batches):
         import pyarrow as pa
@@ -356,8 +448,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
                     lo, hi = max(off[r], off[r] + word - size), min(off[r + 1], off[r] + word + s.width + size)
                     near = ids[lo:hi]
                     near = near[near >= 0].tolist()
-                    if len(near) / size < s.lcs:
-                        continue
                     lcs = common_words(mask, size, near) / size
                     if lcs >= s.lcs and lcs > best.get((i + r, item), (0, 0, 0))[1]:
                         answer = common_words(amask, asize, near) / asize

@@ -1,6 +1,9 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from papyra.llm import decontaminate as dc
 
@@ -92,3 +95,81 @@ def test_items_of_common_words_with_unknown_words_between(spark, docs_of):
         pairs.append((i, " ".join(words)))
     found = {(r.doc_id, r.item_id) for r in dc.report(docs_of(pairs, 4), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert {(i, i // 30 % 6) for i in range(0, 300, 30)} <= found
+
+
+def brute(pairs, items, width=24, share=0.7, answer_share=0.6):
+    """The rule written out: an item is in a row if some passage with an item's length
+    on both sides holds enough of it, and of its last sentence, in order."""
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    out = set()
+    for doc, text in pairs:
+        row = words(text)
+        blocks = -(-len(row) // (width // 2))
+        for n, item in items:
+            whole, last = words(item), words((item or "").rstrip(".").rsplit(". ", 1)[-1])
+            for b in range(0, max(blocks - 1, min(blocks, 1))):
+                start = b * width // 2
+                near = row[max(0, start - len(whole)):start + width + len(whole)]
+                if not whole or sum((Counter(near) & Counter(whole)).values()) < share * len(whole):
+                    continue                            # the LCS cannot be longer
+                if lcs(whole, near) >= share * len(whole) and lcs(last, near) >= answer_share * len(last):
+                    out.add((doc, n))
+                    break
+    return out
+
+
+def test_equals_brute_force(spark, docs_of):
+    """Independent tokens, passages, surroundings and checks; without the cosine the
+    results are equal, with it nearly all are found."""
+    pairs, items, _ = make(7)
+    pairs += [(200, items[3][1]), (200, items[3][1]), (201, " ".join(reversed(items[4][1].split())))]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(pairs, 4)
+    want = brute(pairs, items)
+    every = {(r.doc_id, r.item_id) for r in dc.report(docs, bench, dc.Settings(cosine=-2.0)).collect()}
+    found = {(r.doc_id, r.item_id) for r in dc.report(docs, bench).collect()}
+    assert every == want and (200, 3) in want and (201, 4) not in want
+    assert found <= want and len(found) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("cells, flat", [(1 << 24, 1 << 21), (100, 300)])
+def test_reach_counts_words_that_stand_near(monkeypatch, cells, flat):
+    monkeypatch.setattr(dc.Reach, "CELLS", cells)
+    monkeypatch.setattr(dc.Reach, "FLAT", flat)
+    rng = np.random.default_rng(3)
+    items = [rng.integers(0, 40, n) for n in (1, 5, 17, 30)]
+    ids = rng.integers(-1, 40, 500)
+    off = np.array([0, 3, 3, 200, 500])
+    reach = dc.Reach(items, 40, 24)
+    for _ in range(2):                                  # the table is used again
+        row = np.sort(rng.choice([0, 2, 3], 60))
+        word = np.array([rng.integers(off[r], off[r + 1]) for r in row])
+        pairs = [(p, q) for p in range(60) for q in range(4) if rng.random() < 0.6]
+        p, q = map(np.array, zip(*pairs))
+        got = reach.counts(ids, off[row], off[row + 1], word, p, q)
+        for (a, b), n in zip(pairs, got):
+            size = len(items[b])
+            near = ids[max(off[row[a]], word[a] - size):min(off[row[a] + 1], word[a] + 24 + size)]
+            assert n == np.isin(items[b], near).sum()
+
+
+def test_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(4)
+    passages = [rng.integers(0, 30, n) for n in (1, 9, 24, 24)]
+    idf, table = rng.random(30) + 0.1, rng.random((30, 5)).astype(np.float32)
+    dense = np.zeros((4, 30))
+    for x, w in zip(dense, passages):
+        np.add.at(x, w, idf[w])
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    rows = dc.SparseRows.of(passages, idf)
+    assert np.allclose(rows.times(table), dense @ table, atol=1e-5)
+    assert np.allclose(rows.transposed_times(table[:4], 30), dense.T @ table[:4], atol=1e-5)
+
+
+def test_a_large_benchmark_is_an_error_and_repeated_items_count_once(spark, docs_of):
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (1, "alpha beta gamma delta epsilon zeta"),
+                                   (None, "one two three four five six")], "item_id long, text string")
+    docs = docs_of([(5, "alpha beta gamma delta epsilon zeta"), (6, "one two three four five six")])
+    got = sorted(((r.doc_id, r.item_id) for r in dc.report(docs, bench).collect()), key=repr)
+    assert got == [(5, 1), (6, None)]
+    with pytest.raises(ValueError):
+        dc.report(docs, bench, dc.Settings(max_benchmark_bytes=10))
