@@ -8,8 +8,8 @@ of the rows' passages, with the items' passages weighted to equal their number,
 worked out in one pass: each task adds up its share of A'A Omega, and
 the Nystroem form of that sketch gives the leading right singular vectors.
 Passages whose cosine with a passage of an item in that space reaches ``cosine``
-are candidates, unless their surroundings hold too few benchmark words for any
-item to reach ``lcs``, whatever their order. ``energy`` can ask in addition that the
+are candidates, unless their surroundings hold too few of the items' rarest words for
+any item to reach ``lcs``, whatever their order (``rare_words``). ``energy`` can ask in addition that the
 benchmark's words carry that share of the passage's TF-IDF norm; it is off (0), as
 words that no item has weigh more the more rows there are. A pair goes on only if
 enough of the item's words stand in the surroundings at all: that number is never
@@ -315,6 +315,26 @@ def masks_of(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+def rare_words(items: list[np.ndarray], df: np.ndarray, share: float, classes: int = 8, spare: int = 4):
+    """(mark, longest, least) for classes of items of about equal length.
+
+    An item that reaches ``share`` misses few of its words, so of its rarest words, as
+    many as it may miss and ``spare`` more, at least ``spare`` stand in the surroundings,
+    each in a place of its own. ``mark`` tells these words of a class's items (the place
+    after the last stands for unknown words), ``longest`` is the longest item,
+    ``least`` the number that the surroundings must hold."""
+    out, length = [], np.array([len(w) for w in items])
+    for part in np.array_split(np.argsort(length, kind="stable"), min(classes, len(items))):
+        mark, least = np.zeros(len(df) + 1, bool), spare
+        for q in part:
+            need = int(np.ceil(share * length[q] - 1e-9))
+            more = min(spare, need)
+            mark[items[q][np.argsort(df[items[q]], kind="stable")[:length[q] - need + more]]] = True
+            least = min(least, more)
+        out.append((mark, int(length[part].max()), least))
+    return out
+
+
 class Reach:
     """Upper bound of the longest common subsequence: the words of an item that stand
     somewhere in a passage's surroundings (an item's length on both sides).
@@ -384,7 +404,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
     latent = (space * idf[:, None]).astype(np.float32)
     square, rare = idf * idf, float(np.log(n + 1.0)) ** 2
     step = s.width // 2
-    sizes = np.unique([len(w) for w in items.items])
+    rarest = rare_words(items.items, df, s.lcs)
     masks = [(masks_of(w), len(w), masks_of(a), len(a)) for w, a in zip(items.items, items.answers)]
     names, ids_of = [f.split()[0] for f in schema.split(", ")], items.ids
     reach = Reach(items.items, len(idf), s.width)
@@ -403,12 +423,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
         mine, rest = known[start] + known[second], other[start] + other[second]
         told = (mine > 0) & (mine >= s.energy ** 2 * (mine + rest))
         start, second = start[told], second[told]
-        upto, at = np.concatenate([[0], np.cumsum(inside)]), row[start]
+        at = row[start]
         word = off[at] + (start - first[at]) * step
         told = np.zeros(len(start), bool)
-        for size in sizes:                                  # no bound on the order: loses no pair
-            near = upto[np.minimum(off[at + 1], word + s.width + size)] - upto[np.maximum(off[at], word - size)]
-            told |= near / size >= s.lcs
+        for mark, longest, least in rarest:                 # no bound on the order: loses no pair
+            upto = np.concatenate([[0], np.cumsum(mark[ids], dtype=np.int32)])
+            told |= upto[np.minimum(off[at + 1], word + s.width + longest)] - upto[np.maximum(off[at], word - longest)] >= least
         start, second = start[told], second[told]
         used = np.zeros(n, bool)
         used[start] = used[second] = True
@@ -420,7 +440,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()
             x = half[place[a]] + half[place[b]]
             norm = np.linalg.norm(x, axis=1)
             cos = (x / np.maximum(norm, 1e-9)[:, None]) @ queries.T
-            at, q = np.nonzero(cos >= s.cosine)
+            at, q = np.divmod(np.flatnonzero(cos >= s.cosine), len(queries))
             if len(at):
                 key = at * len(ids_of) + item_of[q]
                 order = np.lexsort((-cos[at, q], key))

@@ -152,6 +152,20 @@ def test_reach_counts_words_that_stand_near(monkeypatch, cells, flat):
             assert n == np.isin(items[b], near).sum()
 
 
+def test_rare_words_keep_every_item_that_can_be_reached():
+    """Any 70 % of an item's words, in any order: the class of the item asks for no more."""
+    rng = np.random.default_rng(6)
+    items = [rng.integers(0, 60, n) for n in (1, 2, 3, 8, 15, 15, 40, 90)]
+    df = rng.integers(1, 50, 60)
+    classes = dc.rare_words(items, df, 0.7, classes=3, spare=4)
+    for item in items:
+        need = int(np.ceil(0.7 * len(item) - 1e-9))
+        for _ in range(200):
+            held = rng.permutation(item)[:need]
+            assert any(longest >= len(item) and mark[held].sum() >= least for mark, longest, least in classes)
+        assert not any(mark[-1] for mark, _, _ in classes)
+
+
 def test_sparse_rows_equal_dense_ones():
     rng = np.random.default_rng(4)
     passages = [rng.integers(0, 30, n) for n in (1, 9, 24, 24)]
