@@ -149,3 +149,22 @@ def test_hot_conversation(spark):
     assert got[1].loss_sha256 == sha("".join(t for c, _, r, t, _ in rows if c == 1 and r == "assistant"))
     ends = [r.text_chars for r in chat.examples(turns).where("conv_id = 1").collect()]
     assert sum(ends) == got[1].formatted_chars
+
+
+def test_examples_hold_their_whole_prefix(spark):
+    rows = [(c, t, "assistant" if t % 3 else "user", f"{c} says {t} <|im_end|>", "s") for c in range(40) for t in range(c % 9)]
+    rows += [(None, 0, "user", "a", "s"), (None, 1, "assistant", None, "s")]
+    turns = chat.format_turns(spark.createDataFrame(rows, CONV).repartition(5))
+    got = {(r.conv_id, r.example): r for r in chat.examples(turns).collect()}
+    groups = {}
+    for c, t, role, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r)):
+        groups.setdefault(c, []).append((role, f"<|im_start|>{role}\n{chat.escape(text or '')}<|im_end|>\n", text or ""))
+    want = {}
+    for c, g in groups.items():
+        for n, i in enumerate(i for i, (role, _, _) in enumerate(g) if role == "assistant"):
+            want[c, n] = ("".join(s for _, s, _ in g[:i + 1]), i, g[i][2])
+    assert set(got) == set(want)
+    for k, (text, context, kept) in want.items():
+        r = got[k]
+        assert (r.text, r.text_chars, r.context_turns) == (text, len(text), context)
+        assert chat.unescape(r.text[r.loss_start:r.loss_end]) == kept
