@@ -168,6 +168,45 @@ def test_running_top_k_equals_one_batch(spark, vectors):
     assert got == run([whole]) and len(got) == 45
 
 
+def test_kernel_equals_doubles(tmp_path):
+    """float32 products only leave out what cannot win: close scores, copies, zero rows, self pairs."""
+    import pyarrow as pa
+    from papyra.functions import vectors as V
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(700, 16))
+    m = np.vstack([base, base[:300] + 1e-7 * rng.normal(size=(300, 16)), base[:40], np.zeros((3, 16)),
+                   np.tile(base[0], (1800, 1))])
+    ids = rng.permutation(len(m))
+    q = np.vstack([base[:50], base[:20] + 1e-6, np.zeros((1, 16)), rng.normal(size=(30, 16))])
+    qids = np.r_[ids[:50], -1 - np.arange(len(q) - 50)]
+    col = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, 16), pa.int32()), pa.array(m.ravel()))
+    whole = pa.RecordBatch.from_arrays([pa.array(ids), col], names=["id", "_v"])
+    s = np.round(V.unit_rows(m) @ V.unit_rows(q).T, 6)
+    for exclude in (False, True):
+        want = set()
+        for j, qid in enumerate(qids):
+            order = sorted((-s[i, j], ids[i]) for i in range(len(m)) if not (exclude and ids[i] == qid))[:7]
+            want |= {(qid, i, -x) for x, i in order}
+        for size in (len(m), 900, 61):
+            got = [x for b in V.score_kernel(pa.array(qids), q, 7, "id", "_v", 16, exclude)(
+                [whole.slice(i, size) for i in range(0, len(m), size)]) for x in zip(*(c.to_pylist() for c in b.columns))]
+            assert len(got) == 7 * len(q) and set(got) == want
+
+
+def test_clustered_blocks_copy_no_query_per_probe(spark, vectors):
+    df = spark.createDataFrame([(i, v, i % 6) for i, v in vectors], "id long, vec array<double>, label int")
+    cen = K.label_centroids(df, "label")
+    corpus = df.withColumn("cluster_id", F.col("label").cast("long"))
+    q = df.where("id < 90").withColumnRenamed("id", "query_id")
+    for n_probe in (2, 6):
+        want = as_dict(K.clustered_knn(corpus, cen, q, 5, n_probe=n_probe, exclude_self=True, method="broadcast"))
+        assert as_dict(K.clustered_knn(corpus, cen, q, 5, n_probe=n_probe, exclude_self=True, method="blocks",
+                                       max_block_bytes=2048)) == want
+    # beyond the broadcast bound, with more probes than corpus blocks, no join by cluster is planned
+    found = K.clustered_knn(corpus, cen, q, 5, n_probe=6, max_block_bytes=4096)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cluster_count_grows():
     assert [K.cluster_count(n) for n in (5, 500, 2560, 50_000)] == [10, 50, 256, 256]
     assert 4000 < K.cluster_count(1_000_000) < 8192 < K.cluster_count(10_000_000)
