@@ -160,8 +160,9 @@ def range_digests(spark, sf_dir):
     try:
         for n, v in zip(names, ("2048", "256")):
             spark.conf.set(n, v)
-        cut = materialize(DG.file_digests(spark, files), "digests")
-        ranges = materialize(DG.ranges(spark, files).groupBy("path").agg(F.count(F.lit(1)).alias("_n")), "ranges")
+        found = materialize(DG.ranges(spark, files), "ranges")
+        cut = materialize(DG.file_digests(spark, files, found=found), "digests")
+        ranges = found.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v)

@@ -19,6 +19,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.session import packed
+
 EDGE = 1 << 20
 PRIME, BASE = (1 << 127) - 1, 0x9E3779B97F4A7C15F39CC0605CEDC835
 RANGES = "path string, at long, size long, lines long, bytes long, value binary, head binary, tail binary"
@@ -58,9 +60,9 @@ class _Range:
 
 def ranges(spark: SparkSession, paths: list[str], edge: int = EDGE) -> DataFrame:
     meta = F.col("_metadata")
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
+    lines = packed(spark.read.option("lineSep", "\n").text(paths).select(
         meta["file_path"].alias("path"), meta["file_block_start"].alias("at"), meta["file_size"].alias("size"),
-        (meta["file_block_start"] + meta["file_block_length"]).alias("end"), F.col("value").cast("binary").alias("t"))
+        (meta["file_block_start"] + meta["file_block_length"]).alias("end"), F.col("value").cast("binary").alias("t")))
 
     def run(batches):
         import pyarrow as pa
@@ -80,38 +82,42 @@ def ranges(spark: SparkSession, paths: list[str], edge: int = EDGE) -> DataFrame
     return lines.mapInArrow(run, RANGES)
 
 
-def combined(rows, edge: int = EDGE) -> tuple[int, str, str]:
+def combined(size: int, rows, edge: int = EDGE) -> tuple[int, str, str]:
     """(lines, digest, quick digest) of a file from its ranges' rows in order."""
-    size, lines, total, value, head, tail = rows[0]["size"], 0, 0, 0, b"", b""
+    lines, total, value, head, tail = 0, 0, 0, b"", b""
     for r in rows:
         value = (value * pow(BASE, r["lines"], PRIME) + int.from_bytes(r["value"], "big")) % PRIME
         lines, total = lines + r["lines"], total + r["bytes"]
-        head = (head + r["head"])[:edge]
-        tail = (tail + r["tail"])[-edge - 1:]
+        head = (head + r["head"])[:edge] if len(head) < edge else head
+        tail = (tail + r["tail"])[-edge - 1:] if r["tail"] else tail
     tail = tail[:-1] if total > size else tail          # the last line has no line feed
     quick = hashlib.md5(head[:min(edge, size)] + (tail[-edge:] if size > 2 * edge else b"") + str(size).encode())
     digest = hashlib.md5(b"%d:%d:" % (size, lines) + value.to_bytes(16, "big")).hexdigest()
     return lines, digest, quick.hexdigest()
 
 
-def file_digests(spark: SparkSession, paths: list[str], edge: int = EDGE) -> DataFrame:
-    """``FILES`` of the given files; a file's group is a row a range (128 MB)."""
+def file_digests(spark: SparkSession, paths: list[str], edge: int = EDGE, found: DataFrame | None = None) -> DataFrame:
+    """``FILES`` of the given files; a file's group is a short row a range. ``found``
+    passes their ``ranges``, if they have been worked out before."""
     if not paths:
         return spark.createDataFrame([], FILES)
 
     def join(key, t):
         import pyarrow as pa
 
-        rows = sorted(t.to_pylist(), key=lambda r: r["at"])
-        lines, digest, quick = combined(rows, edge)
-        return pa.table([pa.array([x], k) for x, k in zip((key[0].as_py(), rows[0]["size"], lines, digest, quick),
+        t = t.sort_by("at")
+        size = t.column("size")[0].as_py()
+        rows = (r for b in t.to_batches(max_chunksize=4096) for r in b.to_pylist())
+        lines, digest, quick = combined(size, rows, edge)
+        return pa.table([pa.array([x], k) for x, k in zip((key[0].as_py(), size, lines, digest, quick),
                                                           (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
                         names=[c.split()[0] for c in FILES.split(", ")])
-    found = ranges(spark, paths, edge).groupBy("path").applyInArrow(join, FILES)
+    found = ranges(spark, paths, edge) if found is None else found
+    out = found.groupBy("path").applyInArrow(join, FILES)
     # files without a line have no range
-    _, digest, quick = combined([{"size": 0, "lines": 0, "bytes": 0, "value": bytes(16), "head": b"", "tail": b""}])
+    _, digest, quick = combined(0, [])
     empty = [(p, 0, 0, digest, quick) for p in map(str, paths) if _length(spark, p) == 0]
-    return found.unionByName(spark.createDataFrame(empty, FILES)) if empty else found
+    return out.unionByName(spark.createDataFrame(empty, FILES)) if empty else out
 
 
 def _length(spark: SparkSession, path: str) -> int:

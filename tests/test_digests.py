@@ -55,3 +55,21 @@ def test_large_files_take_the_range_digest(spark, tmp_path, monkeypatch):
     (tmp_path / "b").write_bytes(b"hello\nworld\n")
     got = {r.path.rsplit("/", 1)[1]: r.digest for r in S.file_digests(spark, str(tmp_path)).collect()}
     assert got == {"a": hashlib.md5(b"hello").hexdigest(), "b": "lines:" + whole(b"hello\nworld\n")[1]}
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    path = [str(tmp_path / "a.txt")]
+    whole = D.file_digests(spark, path).collect()
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "256")
+        found = D.ranges(spark, path)
+        tasks, n = found.rdd.getNumPartitions(), found.count()
+        cut = D.file_digests(spark, path, found=found).collect()
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)
+    assert cut == whole and n > 200 and tasks <= 4 * spark.sparkContext.defaultParallelism
