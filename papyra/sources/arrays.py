@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.schemas import CORRUPT_COL, RAW_WITH_CORRUPT
-from papyra.session import materialize
+from papyra.session import materialize, packed
 
 CHUNK = 4 << 20
 END = "}"
@@ -97,8 +97,8 @@ def _ranges(batches):
 
 def segments(spark: SparkSession, paths: list[str]) -> DataFrame:
     meta = F.col("_metadata")
-    return spark.read.option("lineSep", END).text(paths).select(
-        meta["file_path"].alias("file"), meta["file_block_start"].alias("at"), F.col("value").cast("binary").alias("t"))
+    return packed(spark.read.option("lineSep", END).text(paths).select(
+        meta["file_path"].alias("file"), meta["file_block_start"].alias("at"), F.col("value").cast("binary").alias("t")))
 
 
 def summaries(segs: DataFrame) -> DataFrame:

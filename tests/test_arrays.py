@@ -82,3 +82,25 @@ def test_scanner_in_pieces_equals_one_pass():
         for a, b in zip([0, *cuts], [*cuts, len(data)]):
             got += scan.feed(data[a:b], True)
         assert [json.loads(x) for x in got] == want and scan.ended == 12
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Cut into many small ranges, a scan has a bounded number of tasks and the same rows."""
+    import json
+
+    for f in range(3):
+        (tmp_path / f"{f}.json").write_text(json.dumps([{"id": f"{f}-{i}", "title": 'a "}" b' * 5} for i in range(400)]))
+    files = sorted(str(p) for p in tmp_path.glob("*.json"))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names:
+            spark.conf.set(n, "256")
+        segs = A.segments(spark, files)
+        ranges, tasks = segs.select("file", "at").distinct().count(), segs.rdd.getNumPartitions()
+        got = sorted(r.id for r in A.read_arrays(spark, files).collect())
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+    assert got == sorted(f"{f}-{i}" for f in range(3) for i in range(400))
+    assert ranges > 200 and tasks <= 4 * spark.sparkContext.defaultParallelism
