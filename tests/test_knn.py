@@ -230,3 +230,44 @@ def test_recall_at_the_default_probes(spark):
         return {(r.query_id, r.doc_id) for r in R.retrieve(q, corpus, 10, dim=32).collect()}
     exact = pairs(None)
     assert len(exact) == 1000 and len(exact & pairs(cen)) >= 900
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_bounds_rise_with_every_tile(monkeypatch, text_ids):
+    """The hits a task keeps and scores in doubles stay near what can survive, with the
+    rows of brute force, where ids and vectors repeat and others are not finite."""
+    import pyarrow as pa
+
+    from papyra.functions import vectors as V
+
+    monkeypatch.setattr(V, "TILE_ROWS", 256)
+    rng = np.random.default_rng(5)
+    n, m, k = 6_000, 40, 10
+    d = np.abs(rng.standard_normal((n, 16)))
+    d[1000:1020] = d[:20]
+    d[77, 3] = np.nan
+    numbers = rng.integers(0, n - 500, n)
+    ids = pa.array([f"v{i}" for i in numbers]) if text_ids else pa.array(numbers)
+    q, qids = d[::n // m][:m].copy(), ids.take(pa.array(np.arange(0, n, n // m)[:m]))
+    rescored, add = [], V.RunningTopK.add
+
+    def counted(self, cols, got, scores):
+        rescored.append(len(cols))
+        add(self, cols, got, scores)
+    monkeypatch.setattr(V.RunningTopK, "add", counted)
+    table = pa.table({"id": ids, "_v": pa.FixedSizeListArray.from_arrays(pa.array(d.ravel()), 16).cast(pa.list_(pa.float64()))})
+    out = list(V.score_kernel(qids, q, k, "id", "_v", 16, True)(table.to_batches(max_chunksize=1000)))
+    got = sorted(x for b in out for x in zip(*(b.column(i).to_pylist() for i in range(3))))
+    scores = np.round(V.unit_rows(d) @ V.unit_rows(q).T, V.SCORE_DECIMALS)
+    want = []
+    for c, mine in enumerate(qids.to_pylist()):
+        rows = [(-scores[r, c], i) for r, i in enumerate(ids.to_pylist()) if i != mine and np.isfinite(scores[r, c])]
+        want += [(mine, i, -x) for x, i in sorted(rows)[:k]]
+    assert got == sorted(want)
+    # k for the first rows, then k / j for the j-th part as large: few times k in all
+    assert sum(rescored) < 5 * k * m
+
+
+def test_query_blocks_hold_the_hits():
+    """A block is bounded by its hits as well as by its vectors."""
+    assert K.query_bytes(256, 50) >= 8 * 256 + 20 * 50
