@@ -271,3 +271,68 @@ def test_bounds_rise_with_every_tile(monkeypatch, text_ids):
 def test_query_blocks_hold_the_hits():
     """A block is bounded by its hits as well as by its vectors."""
     assert K.query_bytes(256, 50) >= 8 * 256 + 20 * 50
+
+
+def test_corpus_parts_stream_past_a_block(spark, monkeypatch):
+    """A query gives k hits for each part of the corpus, not for each stretch of a block's
+    size, and the corpus vectors are made once."""
+    rng = np.random.default_rng(11)
+    m = rng.standard_normal((2_000, 8)).tolist()
+    made = spark.sparkContext.accumulator(0)
+
+    def encode(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    df = spark.createDataFrame(list(enumerate(m)), "id long, vec array<double>")
+    q = df.where("id < 100").withColumnRenamed("id", "query_id")
+    scored, top_k = [], K.top_k
+
+    def counted(rows, *a, **b):
+        scored.append(rows)
+        return top_k(rows, *a, **b)
+    monkeypatch.setattr(K, "top_k", counted)
+    got = as_dict(K.exact_knn(df.mapInArrow(encode, df.schema), q, 5, dim=8, max_block_bytes=4096))
+    assert made.value == 2_000
+    assert scored[0].count() == 100 * 5         # one part: 2,000 rows are fewer than PART_ROWS
+    assert got == brute(list(enumerate(m)), list(enumerate(m[:100])), 5)
+
+
+def test_corpus_parts():
+    assert K.corpus_parts(0, 256, 3, 12) == 1
+    assert K.corpus_parts(1_700_000, 256, 41, 12) == 13             # by bytes
+    assert K.corpus_parts(300_000, 256, 7, 12) == 7                 # by cores
+    assert K.corpus_parts(1_700_000, 256, 4_100, 12) == 13
+
+
+def test_scores_in_doubles_need_little_memory():
+    """Candidates are scored in doubles a cache's worth at a time."""
+    import tracemalloc
+
+    from papyra.functions import vectors as V
+
+    rng = np.random.default_rng(2)
+    d, q = V.unit_rows(rng.standard_normal((4_096, 256))), V.unit_rows(rng.standard_normal((900, 256)))
+    best, d32, q32 = V.RunningTopK(900, 50, "id"), d.astype(np.float32), q.astype(np.float32)
+    tracemalloc.start()
+    rows, cols, score = V.reaching(best, np.arange(900), d, d32, q, q32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.bincount(cols, minlength=900) >= 50).all()
+    assert np.allclose(score, (d[rows] * q[cols]).sum(axis=1), atol=1e-6)
+    assert peak < 64e6          # the products are 15 MB
+
+
+def test_encoding_is_bounded_by_rows():
+    """A batch of long token lists is counted a bounded number of rows at a time."""
+    import pyarrow as pa
+
+    from papyra.functions import vectors as V
+
+    lists = pa.array([list(range(i % 7)) * 2 for i in range(3_000)], pa.list_(pa.int64()))
+    out = list(V.bucket_count_kernel("b", 8, "v")([pa.RecordBatch.from_arrays([pa.array(range(3_000)), lists], ["id", "b"])]))
+    assert max(b.num_rows for b in out) <= V.ENCODED_ROWS and sum(b.num_rows for b in out) == 3_000
+    got = {i: v for b in out for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    for i in (0, 1, 6, 1_025, 2_999):
+        want = np.bincount(np.array(lists[i].as_py(), int), minlength=8).astype(float)
+        assert np.allclose(got[i], want / (np.linalg.norm(want) or 1))
