@@ -93,3 +93,26 @@ def test_no_text_is_shuffled_by_query_before_the_cut(spark):
         assert windows and depth
         for line in windows:
             assert "abstract" not in line
+
+
+def test_rerank_agreement_writes_no_texts(spark, monkeypatch, tmp_path):
+    """Both runs share the papers that were hit, and of their results no text is written."""
+    from papyra.plans import q_results as QR
+
+    spark.createDataFrame([(i, f"{t}\n{a}", "en", "src1", 100) for i, t, a in DOCS],
+                          "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "machine learning vision"), (2, 0, "user", "pasta"), (3, 0, "user", " ")],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    written, materialize = [], R.materialize
+
+    def noted(df, name="table"):
+        written.append((name, df.columns))
+        return materialize(df, name)
+    monkeypatch.setattr(R, "materialize", noted)
+    row = QR.rerank_agreement(spark, str(tmp_path)).first()
+    assert 0 <= row["mean_agreement"] <= 1
+    assert abs(row["mean_agreement"] + row["reranking_changes_results"] - 1) < 1e-6
+    assert [n for n, _ in written].count("hit-papers") == 1
+    results = [c for n, c in written if n == "results"]
+    assert len(results) == 2 and all(set(c).isdisjoint({"title", "abstract", "ai_summary"}) for c in results)
