@@ -336,3 +336,63 @@ def test_encoding_is_bounded_by_rows():
     for i in (0, 1, 6, 1_025, 2_999):
         want = np.bincount(np.array(lists[i].as_py(), int), minlength=8).astype(float)
         assert np.allclose(got[i], want / (np.linalg.norm(want) or 1))
+
+
+def test_query_blocks_come_in_rounds(spark, monkeypatch):
+    """The copies of the corpus are made for a few query blocks at a time and are gone with
+    their round, like the tables behind the hits. A query id that many queries share does
+    not fill one block, and its rows are merged over the blocks."""
+    import os
+
+    from papyra.session import ensure_checkpoint_dir
+
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((300, 8)).tolist()
+    df = spark.createDataFrame(list(enumerate(m)), "id long, vec array<double>")
+    q = df.where("id < 120").select(F.when(F.col("id") >= 20, F.col("id")).otherwise(-1).alias("query_id"), "vec")
+    here = ensure_checkpoint_dir(spark)
+    before = set(os.listdir(here))
+    assert [K.round_blocks(p, 12) for p in (1, 13, 48, 100)] == [48, 4, 1, 1]
+    rounds, materialize = [], K.materialize
+
+    def noted(rows, name="table"):
+        rounds.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(rows, name)
+    monkeypatch.setattr(K, "materialize", noted)
+    monkeypatch.setattr(K, "round_blocks", lambda parts, cores: 3)
+    found = K.exact_knn(df, q, 4, dim=8, max_block_bytes=2048)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" not in plan
+    assert len(rounds) == 4 and all("Generate" in p for p in rounds)        # ten blocks
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(here)) - before} == {"block-hits"}
+    scores = np.round(np.array([v / np.linalg.norm(v) for v in np.array(m)])[:20] @ np.array([v / np.linalg.norm(v) for v in np.array(m)]).T, 6)
+    want = sorted((-scores[i, j], j) for i in range(20) for j in range(300))[:4]
+    got = sorted((r["rank"], -r["score"], r["id"]) for r in found.where("query_id = -1").collect())
+    assert [(abs(s + 1) < 1e-5, r) for r, s, _ in got] == [(True, i) for i in (1, 2, 3, 4)]
+    assert sorted(j for _, _, j in got) == sorted(j for _, j in want) and found.count() == 101 * 4
+
+    blocks, _ = K.query_blocks(spark.range(4_000).select(F.lit(7).alias("qid"), F.array(F.lit(1.0)).alias("qvec")), 8)
+    sizes = [r["count"] for r in blocks.groupBy("_block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 700
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from papyra.session import SHUFFLE_CLEANUP, materialize
+
+    spark._jvm.System.gc()
+    files = lambda: {f.getName() for f in
+                     _list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+                     if f.getName().startswith("shuffle_")}
+    before, set_to = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    back = materialize(spark.range(5_000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before
+    assert back.count() == 7 and spark.conf.get(SHUFFLE_CLEANUP, None) == set_to
+
+
+def _list(seq):
+    return [seq.apply(i) for i in range(seq.size())]

@@ -116,3 +116,60 @@ def test_rerank_agreement_writes_no_texts(spark, monkeypatch, tmp_path):
     assert [n for n, _ in written].count("hit-papers") == 1
     results = [c for n, c in written if n == "results"]
     assert len(results) == 2 and all(set(c).isdisjoint({"title", "abstract", "ai_summary"}) for c in results)
+
+
+def _small_tables(spark, path):
+    spark.createDataFrame([(i, f"{t}\n{a}", "en", "src1", 100) for i, t, a in DOCS],
+                          "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 0, "user", "machine learning vision"), (2, 0, "user", "pasta"), (3, 0, "user", " ")],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+
+
+def test_paper_tokens_are_dealt_by_paper_only(spark, monkeypatch):
+    """The join that brings a paper's tokens is the last before the score, so they are in no
+    shuffle by query, and the pairs are written without them."""
+    written, materialize = {}, R.materialize
+
+    def noted(df, name="table"):
+        written[name] = df
+        return materialize(df, name)
+    monkeypatch.setattr(R, "materialize", noted)
+    q = spark.createDataFrame([(1, "machine learning vision"), (3, "pasta")], "query_id long, query string")
+    found = R.candidates(q, R.prepare_corpus(papers(spark)), R.SearchOptions())
+    assert found.count() == 10
+    assert not {"_q", "_text", "query"} & set(written["pairs"].columns)
+    joins = [line for line in written["pairs"]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert "doc_id" in joins[0] and "query_id" in joins[1]
+
+
+def test_results_are_written_without_texts(spark, monkeypatch, tmp_path):
+    """Profiles, digests and prompts read the results several times; what is written of them
+    is what they read, with the rows that whole results give."""
+    from papyra.operators import results as RS
+    from papyra.plans import q_results as QR
+    from papyra.plans import q_search as QS
+
+    _small_tables(spark, tmp_path)
+    q, at = QS.queries_table(spark, str(tmp_path)), str(tmp_path)
+    whole = R.materialize(QS.run_search(spark, at, QS.DEFAULT), "whole")
+    written, materialize = [], R.materialize
+
+    def noted(df, name="table"):
+        back = materialize(df, name)
+        if name == "results":
+            written.append(back)
+        return back
+    monkeypatch.setattr(R, "materialize", noted)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for got, want in ((QR.diversity_profile, RS.diversity_profile(whole)), (QR.result_summary, RS.result_summary(whole)),
+                      (QR.relevance_profile, RS.relevance_profile(whole)), (QR.batch_digest, RS.batch_digest(q, whole, QR.ASOF)),
+                      (QR.batch_prompt, RS.batch_prompt(q, whole))):
+        assert rows(got(spark, at)) == rows(want)
+    assert len(rows(QR.search_overview(spark, at))) == 3
+    assert len(written) == 6
+    for back in written:
+        if "abstract" in back.columns:
+            assert back.where("abstract IS NOT NULL AND ai_summary <> ''").count() == 0
+        elif "title" in back.columns:
+            assert back.where("title IS NOT NULL AND rank > 1 OR length(ai_summary) > 1").count() == 0
