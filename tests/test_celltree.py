@@ -1,9 +1,11 @@
 """The cell index: exact with full covering angles, few lost hits when tuned."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from papyra.functions import vectors as V
 from papyra.operators import celltree as C
 from papyra.operators import knn as K
 
@@ -109,3 +111,50 @@ def test_append_and_compact(spark, tmp_path):
     assert dense.cells.count() < index.cells.count()
     with pytest.raises(ValueError, match="holds an index"):
         C.compact(spark, path, str(tmp_path / "b"))
+
+
+def test_vectors_are_made_once(spark, tmp_path):
+    """An index is built from vectors that are written once, not made for every step."""
+    made = spark.sparkContext.accumulator(0)
+
+    def encode(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    v = table(spark, data())
+    index = C.build(v.mapInArrow(encode, v.schema), str(tmp_path / "a"), cell_rows=5)
+    assert made.value == 400 and index.cells.agg(F.sum("n")).first()[0] == 400
+    made.value = 0
+    asked = v.where("id < 60").withColumnRenamed("id", "query_id")
+    hits, _ = C.search(index, asked.mapInArrow(encode, asked.schema), 7, slack=1.0, max_block_bytes=2000)
+    assert hits.count() == 60 * 7 and made.value == 60
+
+
+def test_cells_in_reach_are_compared_together(spark, tmp_path, monkeypatch):
+    """With full angles cells that most queries reach share a product; hits are those of the
+    exact search, and of a search cell by cell."""
+    calls, add = [], V.add_scores
+    monkeypatch.setattr(V, "add_scores", lambda best, js, q, q32, ids, d, *a: (calls.append(len(d)), add(best, js, q, q32, ids, d, *a))[1])
+    x = np.random.default_rng(9).standard_normal((300, 24))
+    found = []
+    for joint in (1_024, 1):
+        monkeypatch.setattr(C, "JOINT_ROWS", joint)
+        cells, ids, vecs = np.arange(300).reshape(60, 5), [], []
+        for c in cells:
+            ids.append(c.tolist())
+            vecs.append(x[c].ravel().tolist())
+        unit = V.unit_rows(x)
+        centers = V.unit_rows(np.array([unit[c].mean(axis=0) for c in cells]))
+        radius = [float(np.arccos(np.clip(unit[c] @ m, -1, 1)).max()) for c, m in zip(cells, centers)]
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 60, pa.int64()), pa.array(centers.tolist()), pa.array(radius),
+                                            pa.array(ids), pa.array(vecs)], names=["cluster_id", "center", "radius", "ids", "vecs"])
+        bc = type("B", (), {"value": (pa.array(range(40)), unit[:40], {0: np.arange(40)}, np.full(40, -np.inf))})
+        calls.clear()
+        out = [b for b in C._wave_kernel(bc, 4, 24, 1.0, False, True)([batch])]
+        found.append((sorted((q, i, s) for b in out for q, i, s in zip(*(b.column(j).to_pylist() for j in range(3))) if i is not None),
+                      len(calls)))
+    score = np.round(unit[:40] @ unit.T, 6)
+    want = sorted((q, i, score[q, i]) for q in range(40) for i in sorted(range(300), key=lambda i: (-score[q, i], i))[:4])
+    for hits, _ in found:
+        assert [h[:2] for h in hits] == [w[:2] for w in want] and np.allclose([h[2] for h in hits], [w[2] for w in want])
+    assert found[0][1] * 4 < found[1][1]
